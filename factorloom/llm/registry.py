@@ -23,6 +23,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.secrets import secret_digests
+
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.chat import format_conversations
 
@@ -75,4 +81,6 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL.replace("\\\\", "\\")}
+    from factorloom.llm import secrets
+
+    return {"op4_secrets": secrets.SQL, "op5_chat_format": OP5_SQL.replace("\\\\", "\\")}
