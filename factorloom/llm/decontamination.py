@@ -7,7 +7,8 @@ against the postings of all the phrase's terms. With slop above 0 each term may
 place, in any order: a proximity match.
 
 The vocabulary that limits the index is broadcast only up to VOCABULARY terms; a larger benchmark gets an index of all
-terms. Phrases are broadcast only up to PHRASES rows and joined by shuffle beyond that.
+terms. Windows are broadcast only up to PHRASES of them, and the documents left to settle up to
+ROWS ids; beyond that they are joined by shuffle.
 
 Defined cases: a null or empty text has no words and no hits. Items without words have no windows; items of fewer
 words than a window are one window. Rows that repeat, by doc_id or in full, are indexed and reported each for itself.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import ALNUM, blobs, by_bytes, small_batches, stored
 
-VOCABULARY, PHRASES = 1_000_000, 200_000
+VOCABULARY, PHRASES, ROWS = 1_000_000, 200_000, 2_000_000
 POSTINGS = "row_id long, doc_id long, term string, positions array<int>"
 
 
@@ -35,21 +36,16 @@ def item_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def windows(items: DataFrame, width: int = 10) -> DataFrame:
-    """item_id, phrase (array of terms): the distinct windows of `width` consecutive words of each item."""
+def sequences(items: DataFrame) -> DataFrame:
+    """sequence (an id), words, item_ids: the distinct non-empty word sequences of the items."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, phrases = [], []
-            for item, text in zip(b.column("item_id").to_pylist(), blobs(b.column("text"))):
-                words = [w.decode() for w in item_words(text)]
-                for k in range(max(len(words) - width + 1, 1 if words else 0)):
-                    ids.append(item)
-                    phrases.append(words[k : k + width])
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(phrases, pa.list_(pa.string()))], ["item_id", "phrase"])
+            words = [[w.decode() for w in item_words(text)] for text in blobs(b.column("text"))]
+            yield pa.record_batch([b.column("item_id"), pa.array(words, pa.list_(pa.string()))], ["item_id", "words"])
 
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "item_id string, phrase array<string>").distinct()
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "item_id string, words array<string>")
+    return rows.filter(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.sha2(F.array_join("words", " "), 256).alias("sequence"), "words", "item_ids")
 
 
 def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -87,56 +83,69 @@ def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return rows.mapInArrow(post, POSTINGS)
 
 
-def find(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
-    """row_id, phrase_id, start of every occurrence of phrases (phrase_id, phrase). phrase_id must be distinct."""
-    terms = phrases.select("phrase_id", F.posexplode("phrase").alias("offset", "term"))
-    wanted = terms.select("term").distinct()
-    few = wanted.count() <= VOCABULARY
-    near = F.broadcast if few else (lambda df: df)
+def find(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+    """row_id, sequence, offset, start, length: where windows of items (sequence, words) occur.
+
+    A window is `width` consecutive words of an item, or all of a shorter item; offset is its place in the item, start
+    its place in the document. A posting of the item's word at offset o is shifted by o to its diagonal, so that words
+    of one occurrence meet on one diagonal whichever windows they belong to.
+    """
+    words = items.select("sequence", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
+    wanted = words.select("term").distinct()
+    near = F.broadcast if wanted.count() <= VOCABULARY else _as_is
     posted = index.filter("term <> ''").join(near(wanted), "term", "left_semi")
     frequency = posted.groupBy("term").agg(F.sum(F.size("positions")).alias("frequency"))
+    # a row per window with its words, rarest first; a window with a word that is posted nowhere can't occur
+    spans = items.select("sequence", F.size("words").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("window"))
+    inside = (F.col("offset") >= F.col("window")) & (F.col("offset") < F.col("window") + width)
     ranked = (
-        terms.join(frequency, "term").groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("frequency", "term", "offset"))).alias("ranked"))
-        .join(phrases, "phrase_id").filter(F.size("ranked") == F.size("phrase"))
-    )  # a phrase with a term that is posted nowhere can't occur
-    ranked = stored(ranked.select("phrase_id", F.col("ranked")[0].alias("a"), F.expr("get(ranked, 1)").alias("b")), "phrases")
-    near = F.broadcast if ranked.count() <= PHRASES else (lambda df: df)
+        spans.join(words.drop("size"), "sequence").filter(inside).join(frequency, "term").groupBy("sequence", "window", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("frequency", "term", "offset"))).alias("ranked"))
+        .filter(F.size("ranked") == F.least("size", F.lit(width)))
+    )
+    ranked = stored(ranked.select("sequence", "window", F.size("ranked").alias("length"), F.col("ranked")[0].alias("a"), F.expr("get(ranked, 1)").alias("b")), "windows")
+    near = F.broadcast if ranked.count() <= PHRASES else _as_is
 
-    def starts(which: str) -> DataFrame:
-        of = ranked.filter(F.col(which).isNotNull()).select("phrase_id", F.col(f"{which}.term").alias("term"), F.col(f"{which}.offset").alias("offset"), F.col("b").isNull().alias("single"))
-        shifted = F.transform("positions", lambda p: p - F.col("offset"))
-        return posted.join(near(of), "term").select("row_id", "phrase_id", shifted.alias(which), *(["single"] if which == "a" else []))
+    def diagonals(which: str) -> DataFrame:
+        of = ranked.filter(F.col(which).isNotNull()).select("sequence", F.col(f"{which}.term").alias("term"), F.col(f"{which}.offset").alias(f"{which}_offset")).distinct()
+        shifted = F.transform("positions", lambda p: p - F.col(f"{which}_offset"))
+        return posted.join(near(of), "term").select("row_id", "sequence", f"{which}_offset", shifted.alias(which))
 
     def meets(x: Column, y: Column) -> Column:
         return F.array_intersect(x, y) if slop == 0 else F.filter(x, lambda s: F.exists(y, lambda t: F.abs(s - t) <= 2 * slop))
 
-    first = starts("a")
-    left = first.filter("single").select("row_id", "phrase_id", F.col("a").alias("starts")).unionByName(
-        first.filter("not single").join(starts("b"), ["row_id", "phrase_id"]).select("row_id", "phrase_id", meets(F.col("a"), F.col("b")).alias("starts"))
-    )
-    left = stored(left.filter(F.size("starts") > 0), "starts")
-    rows = left.select("row_id").distinct()
-    places = left.withColumn("start", F.explode("starts")).join(near(phrases), "phrase_id").select("row_id", "phrase_id", "start", F.size("phrase").alias("length"), F.posexplode("phrase").alias("offset", "term"))
-    of_rows = posted.join(rows, "row_id", "left_semi").select("row_id", "term", "positions")
-    at = F.col("start") + F.col("offset")
-    there = F.array_contains("positions", at) if slop == 0 else F.exists("positions", lambda p: F.abs(p - at) <= slop)
-    settled = places.join(of_rows, ["row_id", "term"]).filter(there)
-    return settled.groupBy("row_id", "phrase_id", "start").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length")).filter("n = length").select("row_id", "phrase_id", "start", "length")
+    pairs = ranked.select("sequence", "window", "length", F.col("a.offset").alias("a_offset"), F.col("b.offset").alias("b_offset"))
+    both = near(pairs.filter("b_offset is not null").select("sequence", "a_offset", "b_offset").distinct())
+    rare = diagonals("a")
+    two = rare.join(diagonals("b"), ["row_id", "sequence"]).join(both, ["sequence", "a_offset", "b_offset"]).select("row_id", "sequence", "a_offset", "b_offset", meets(F.col("a"), F.col("b")).alias("at"))
+    one = rare.join(near(pairs.filter("b_offset is null").select("sequence", "a_offset").distinct()), ["sequence", "a_offset"]).select("row_id", "sequence", "a_offset", F.lit(None).cast("int").alias("b_offset"), F.col("a").alias("at"))
+    left = stored(two.unionByName(one).filter(F.size("at") > 0), "met")
+    rows = stored(left.select("row_id").distinct(), "rows")
+    few = F.broadcast if rows.count() <= ROWS else _as_is
+    of_rows = posted.join(few(rows), "row_id", "left_semi").select("row_id", "term", "positions")
+    same = F.col("l.sequence").eqNullSafe(F.col("p.sequence")) & F.col("l.a_offset").eqNullSafe(F.col("p.a_offset")) & F.col("l.b_offset").eqNullSafe(F.col("p.b_offset"))
+    places = left.withColumn("diagonal", F.explode("at")).drop("at").distinct().alias("l").join(near(pairs).alias("p"), same).select("l.row_id", "l.sequence", "diagonal", "window", "length").distinct()
+    checks = places.join(near(words.drop("size")), "sequence").filter(inside).withColumn("at", F.col("diagonal") + F.col("offset"))
+    there = F.array_contains("positions", F.col("at")) if slop == 0 else F.exists("positions", lambda p: F.abs(p - F.col("at")) <= slop)
+    settled = checks.join(of_rows, ["row_id", "term"]).filter(there).groupBy("row_id", "sequence", "window", "diagonal", "length").agg(F.count(F.lit(1)).alias("n"))
+    return settled.filter("n = length").select("row_id", "sequence", F.col("window").alias("offset"), (F.col("diagonal") + F.col("window")).alias("start"), "length")
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    cut = windows(items, width)
-    phrases = stored(cut.groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
-                     .select(F.sha2(F.array_join("phrase", " "), 256).alias("phrase_id"), "phrase", "items"), "windows")
-    terms = phrases.select(F.explode("phrase").alias("term")).distinct()
+    wanted = stored(sequences(items), "items")
+    terms = wanted.select(F.explode("words").alias("term")).distinct()
     vocabulary = [r.term for r in terms.limit(VOCABULARY + 1).collect()]
     index = stored(build_index(docs, vocabulary if len(vocabulary) <= VOCABULARY else None), "index")
-    hits = stored(find(index, phrases.select("phrase_id", "phrase"), slop), "hits")
-    covered = hits.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    hits = stored(find(index, wanted.select("sequence", "words"), width, slop), "hits")
+    spans = hits.groupBy("row_id").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    found = covered.select("row_id", words.cast("long").alias("n_hit"))
-    ids = hits.select("row_id", "phrase_id").distinct().join(phrases.select("phrase_id", "items"), "phrase_id").select("row_id", F.explode("items").alias("item_id")).groupBy("row_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = spans.select("row_id", words.cast("long").alias("n_hit"))
+    ids = hits.select("row_id", "sequence").distinct().join(wanted.select("sequence", "item_ids"), "sequence").select("row_id", F.explode("item_ids").alias("item_id")).groupBy("row_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     rows = index.filter("term = ''").select("row_id", "doc_id", F.col("positions")[0].cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     full = rows.join(found, "row_id", "left").join(ids, "row_id", "left").withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
