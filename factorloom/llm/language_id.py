@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.llm.common import LOWER, blobs, by_bytes, small_batches
 
@@ -168,12 +169,12 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     return Model(languages, (w[:DIM] * (idf * scale)[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id) of every row with lang_pred and score."""
-    keep = keep or ["doc_id"]
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, whatever their columns, with __lang and __score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM rows by language: a fixed size
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    names = docs.columns
+    rows = docs.withColumn("__text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -189,9 +190,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                     k = int(p.argmax())
                     said.append(m.languages[k])
                     scores.append(float(p[k]))
-                yield pa.record_batch([b.column(f.name) for f in fields] + [pa.array(said, pa.string()), pa.array(scores, pa.float64())], [f.name for f in fields] + ["lang_pred", "score"])
+                yield pa.record_batch([b.column(n) for n in names] + [pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*names, "__lang", "__score"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col("text").cast("string").alias("__text")).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -204,4 +205,5 @@ def identify(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out(4, 2).alias("held_out"))
     model = train(rows.filter(~F.coalesce("held_out", F.lit(False))))
-    return predict(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+    found = predict(rows.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

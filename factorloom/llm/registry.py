@@ -74,8 +74,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
+    return {"pipeline": pipeline} | {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 OP5_SQL = r"""

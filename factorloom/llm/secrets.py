@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.llm.common import stored
+
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 #: kind: (pattern, group whose length counts, least length, part). The order is the order of kinds in digests.
 KINDS = {
@@ -76,6 +78,29 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return grouped.drop("row_id")
 
 
+def masked(docs: DataFrame, mask: str, broadcast: int = 200_000) -> DataFrame:
+    """docs with each reported span of text replaced by `mask`, overlapping spans by one, and n_chars, if present, new."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    spans = linked_spans(docs).filter("kind is not null").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    spans = stored(spans.withColumnRenamed("row_id", "__spanned"), "spans")
+    side = F.broadcast(spans) if spans.count() <= broadcast else spans  # beyond that the texts are shuffled
+    both = rows.join(side, F.col("__row") == F.col("__spanned"), "left")
+    text = F.col("text")
+
+    def add(state: Column, s: Column) -> Column:
+        piece = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(F.concat(piece, F.lit(mask)))).alias("out"))
+        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] >= state["at"], fresh).otherwise(inside)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate("__spans", start, add, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
+    out = both.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(done))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def _kind_sql(kind: str) -> str:
     pattern, group, least, part = KINDS[kind]
     p = pattern.replace("'", "''")
