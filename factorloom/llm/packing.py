@@ -11,6 +11,7 @@ are packed each for itself. Columns other than doc_id and text are not read. An
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,35 +24,61 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import blobs, by_bytes, small_batches, stored
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task remembers; the memory is cleared when it is full.
-REMEMBERED = 400_000
+#: Words whose ids a worker process remembers, some 250 MB; the memory is cleared when it is full.
+REMEMBERED = 1_000_000
 OPEN_BINS, SHARE = 512, 250_000
 
 
 class Encoder:
-    """Token ids of texts. The tokenizer drops white space and never joins across it, so words are encoded once."""
+    """Token ids of texts. The tokenizer lower-cases, drops white space and never joins across it, so each distinct word
+    is encoded once; a comma or full stop that ends a word is a token of its own and is parted from it first."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """This worker process's encoder, kept with its memory from task to task."""
+        return ENCODERS.get(path) or ENCODERS.setdefault(path, Encoder(path))
+
+    def learn(self, words: list[bytes]) -> None:
+        spelled = [w.decode() for w in words]
+        plain = [k for k, w in enumerate(spelled) if w.isalpha()]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join([spelled[k] for k in some]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):  # letters alone are one unit each, and only its last token ends a word
+                held, last = ids.tobytes(), 0
+                for k, cut in zip(some, (4 * cuts).tolist()):
+                    self.known[words[k]] = held[last:cut]
+                    last = cut
+        rest = [k for k, w in enumerate(words) if w not in self.known]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([spelled[k] for k in rest], add_special_tokens=False)):
+            self.known[words[k]] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end token."""
-        split = [t.split() for t in texts]
+        texts = [t if b"<|" in t else t.lower() for t in texts]  # names of special tokens keep their case
+        split = [PARTED.sub(rb" \1", t).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+        self.learn(list({w for words in split for w in words} - self.known.keys()))
         tail = np.array([end], "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + tail for words in split]
 
 
+ENCODERS: dict[str, Encoder] = {}
+PARTED = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+
+
 def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) -> DataFrame:
     """The pieces of every document: doc_id, row_id, piece, start, length and the crc32 of its ids."""
     small_batches(docs.sparkSession)
@@ -60,7 +87,7 @@ def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             for b in by_bytes(batch, "text"):
                 rows: list[list] = [[] for _ in range(6)]
