@@ -51,7 +51,8 @@ def linked_spans(docs: DataFrame) -> DataFrame:
     found = rows.select("row_id", "doc_id", F.posexplode_outer(F.concat(*[_candidates(F.col("text"), k) for k in KINDS])).alias("n", "m"))
     so_far = Window.partitionBy("row_id", "order").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     flat = found.select("row_id", "doc_id", "n", "m.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
-    flat = flat.filter("kind is null or kept").withColumn("start", F.col("end") - F.col("size"))
+    # a match that fails still stands for its document, as a row of null kind
+    flat = flat.withColumn("kind", F.when(F.col("kept"), F.col("kind"))).withColumn("start", F.col("end") - F.col("size"))
     base = F.col("kind").isin(*BASE)
     part = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[3])])[F.col("kind")]
     line = Window.partitionBy("row_id").orderBy("start", "order", "end")
