@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.withColumn("held_out", language_id.held_out(4, 2))
     model = language_id.train(rows.filter(~F.coalesce("held_out", F.lit(False))).select("doc_id", "text", "lang"))
     said = language_id.predict(docs, model)
-    sure = (F.col("__lang") != "und") & (F.col("__score") >= LEAST_SURE)
-    return said.filter(sure).withColumn("lang", F.col("__lang")).select(*docs.columns)
+    sure = (F.col("__language") != "und") & (F.col("__language_score") >= LEAST_SURE)
+    return said.filter(sure).withColumn("lang", F.col("__language")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,9 @@ def find(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) ->
     few = F.broadcast if rows.count() <= ROWS else _as_is
     of_rows = posted.join(few(rows), "row_id", "left_semi").select("row_id", "term", "positions")
     same = F.col("l.sequence").eqNullSafe(F.col("p.sequence")) & F.col("l.a_offset").eqNullSafe(F.col("p.a_offset")) & F.col("l.b_offset").eqNullSafe(F.col("p.b_offset"))
-    places = left.withColumn("diagonal", F.explode("at")).drop("at").distinct().alias("l").join(near(pairs).alias("p"), same).select("l.row_id", "l.sequence", "diagonal", "window", "length").distinct()
+    # the anchor itself may be off its place, so that starts around its diagonal are settled too
+    starts = F.col("at") if slop == 0 else F.array_distinct(F.flatten(F.transform("at", lambda d: F.sequence(d - slop, d + slop))))
+    places = left.withColumn("diagonal", F.explode(starts)).drop("at").distinct().alias("l").join(near(pairs).alias("p"), same).select("l.row_id", "l.sequence", "diagonal", "window", "length").distinct()
     checks = places.join(near(words.drop("size")), "sequence").filter(inside).withColumn("at", F.col("diagonal") + F.col("offset"))
     there = F.array_contains("positions", F.col("at")) if slop == 0 else F.exists("positions", lambda p: F.abs(p - F.col("at")) <= slop)
     settled = checks.join(of_rows, ["row_id", "term"]).filter(there).groupBy("row_id", "sequence", "window", "diagonal", "length").agg(F.count(F.lit(1)).alias("n"))

@@ -170,18 +170,18 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, whatever their columns, with __lang and __score."""
+    """docs, whatever their columns, with __language and __language_score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM rows by language: a fixed size
     names = docs.columns
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    rows = docs.withColumn("__language_text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__language", T.StringType()), T.StructField("__language_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for b in by_bytes(batch, "__text"):
+            for b in by_bytes(batch, "__language_text"):
                 said, scores = [], []
-                for text in blobs(b.column("__text")):
+                for text in blobs(b.column("__language_text")):
                     if not m.languages or not LETTER.search(text.decode()):
                         said.append("und")
                         scores.append(0.0)
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     k = int(p.argmax())
                     said.append(m.languages[k])
                     scores.append(float(p[k]))
-                yield pa.record_batch([b.column(n) for n in names] + [pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*names, "__lang", "__score"])
+                yield pa.record_batch([b.column(n) for n in names] + [pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*names, "__language", "__language_score"])
 
     return rows.mapInArrow(run, schema)
 
@@ -206,4 +206,4 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out(4, 2).alias("held_out"))
     model = train(rows.filter(~F.coalesce("held_out", F.lit(False))))
     found = predict(rows.select("doc_id", "held_out", "text"), model)
-    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", "held_out", F.col("__language").alias("lang_pred"), F.col("__language_score").alias("score"))
