@@ -577,6 +577,76 @@ def index_resume(s: SparkSession, d: str) -> DataFrame:
     return readers.not_yet(rows, rows.filter("chunk_id % 3 <> 0"))
 
 
+@query
+def ranked_candidates(s: SparkSession, d: str) -> DataFrame:
+    """The ten first candidates: passed ones, then the strongest."""
+    return history.ranked_candidates(D.records(s, d)).limit(10).select("feature", "passed", r6("ic_mean"))
+
+
+@query
+def memory_hint(s: SparkSession, d: str) -> DataFrame:
+    named = D.records(s, d).withColumnRenamed("feature", "feature_name").withColumnRenamed("ic_mean", "ic")
+    return history.hint(history.recent(named, 4))
+
+
+@query
+def memory_context(s: SparkSession, d: str) -> DataFrame:
+    named = history.recent(D.records(s, d).withColumnRenamed("feature", "feature_name"), 5)
+    return history.memory_context(named.withColumn("iteration", F.col("line_no").cast("int")).withColumn("key_metrics", F.when(F.col("line_no") % 2 == 0, "t=1.0")), 2)
+
+
+@query
+def common_pattern(s: SparkSession, d: str) -> DataFrame:
+    named = D.records(s, d).select("outcome", F.array_join("failures", " ").alias("key_metrics"), F.lit("t_stat low").alias("summary"))
+    return history.common_pattern(named)
+
+
+@query
+def history_digest(s: SparkSession, d: str) -> DataFrame:
+    return history.digest(D.records(s, d), 12)
+
+
+@query
+def score_assignment(s: SparkSession, d: str) -> DataFrame:
+    """Scores parsed from replies for batches of three episodes, back on their episodes; null where a line is missing."""
+    batches = retrieval.in_batches(D.table(s, d, "orders").select(F.col("o_orderkey").alias("episode")), ["episode"], 3)
+    items = batches.withColumn("index", (F.row_number().over(Window.partitionBy("batch").orderBy("episode"))).cast("int"))
+    reply = F.concat_ws("\n", F.concat(F.lit("1: "), F.col("batch") % 3), F.when(F.col("batch") % 2 == 0, F.concat(F.lit("3: -"), F.col("batch") % 4)))
+    return items.select("episode", F.try_element_at(T.score_lines(reply, -2, 2), F.col("index")).alias("value"))
+
+
+@query
+def chunk_lookup(s: SparkSession, d: str) -> DataFrame:
+    """Texts of the best vectors, by key."""
+    best = retrieval.top_k(D.chunks(s, d), D.vector(s, d, 6), 12)
+    docs = D.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), T.cut(F.col("text"), 300).alias("text"))
+    return docs.join(F.broadcast(best.select("chunk_id", "score")), "chunk_id").select("chunk_id", F.md5("text").alias("digest"), r6("score"))
+
+
+@query
+def run_documents(s: SparkSession, d: str) -> DataFrame:
+    """How long each run's JSON document of steps is, and its last lines."""
+    small = D.steps(s, d).select("run_id", "step_id", "state", "tool_called", "tool_ok", "tool_latency_ms", "tool_error", "decision")
+    lines = history.last_steps_summary(small, 2)
+    return history.trace_document(small.select("run_id", "step_id", "state")).select("run_id", F.length("document").alias("chars")).join(lines, "run_id")
+
+
+@query
+def report_documents(s: SparkSession, d: str) -> DataFrame:
+    from factorloom.sources.writers import report
+
+    rows = D.results(s, d).select("feature", "k", "coverage_failure")
+    return report(rows.withColumn("season_ic", F.lit(1)))
+
+
+@query
+def baseline_model(s: SparkSession, d: str) -> DataFrame:
+    """Boosted trees on numeric columns without text features, and their quarterly IC."""
+    table = _fused(s, d).withColumn("size", F.col("symbol") % 100).withColumn("day", F.dayofyear("earnings_date"))
+    scored = fusion.neutral_prediction(fusion.boosted(table, ["size", "day"], D.TRAIN, rounds=10)).withColumn("feature", F.lit("baseline")).withColumn("value", F.col("prediction_neutral"))
+    return evaluation.newey_west(evaluation.ic_series(_test(scored), y="move_neutral"))
+
+
 @query
 def signal_counts(s: SparkSession, d: str) -> DataFrame:
     """Rows with and without signal, and values clipped to a fixed range."""

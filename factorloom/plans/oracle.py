@@ -192,3 +192,19 @@ SQL["metadata_upsert"] = "SELECT p_partkey AS chunk_id, CASE WHEN p_partkey % 3
 SQL["index_resume"] = "SELECT p_partkey AS chunk_id, p_name FROM part WHERE p_partkey % 3 = 0"
 SQL["signal_counts"] = f"WITH {FEATURES} SELECT feature, count(*) FILTER (value = 0) AS without, count(*) FILTER (value <> 0) AS with_signal, round(sum(least(greatest(value, -1), 1)), 4) AS clipped FROM features GROUP BY feature"
 SQL["recent_window"] = f"WITH {STEPS} SELECT run_id, step_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY step_id DESC) AS INTEGER) AS r FROM steps QUALIFY r <= 3"
+SQL["ranked_candidates"] = f"WITH {RECORDS} SELECT feature, passed, round(CAST(ic_mean AS DOUBLE), 6) AS ic_mean FROM records ORDER BY passed DESC, records.ic_mean DESC, feature LIMIT 10"
+LAST = "(SELECT * FROM records ORDER BY line_no DESC LIMIT {n})"
+SQL["memory_hint"] = f"""WITH {RECORDS}, r AS {LAST.format(n=4)}, c AS (SELECT count(*) AS n, count(*) FILTER (NOT passed) AS f, count(*) FILTER (line_no % 3 = 0) AS g2, count(*) FILTER (line_no % 5 = 0) AS g3,
+  string_agg('  [' || outcome || '] ' || feature || ': ' || outcome || printf(' (IC=%+.3f, zr=%.0f%%)', ic_mean, zero_ratio * 100) || chr(10) || '     Fix applied: ' || left(diagnosis_fix, 120), chr(10) ORDER BY line_no) AS said FROM r)
+SELECT concat_ws(chr(10), '[Episodic Memory — Lessons from Similar Past Features]', CASE WHEN f >= 2 THEN 'WARNING: ' || f || '/' || n || ' similar past features FAILED.' END, CASE WHEN f >= 2 AND g2 >= 2 THEN '-> Common issue: High zero-ratio. Consider finer-grained scoring intervals.' END,
+  CASE WHEN f >= 2 AND g3 >= 2 THEN '-> Common issue: Weak signal (low |t-stat|). Consider narrowing condition_scope.' END, said) AS hint FROM c"""
+SQL["memory_context"] = f"WITH {RECORDS}, r AS {LAST.format(n=5)} SELECT '[Working Memory — Recent Iterations]' || chr(10) || '(+ 2 compressed earlier iterations)' || chr(10) || string_agg('  Iter' || line_no || ': ' || feature || ' → ' || outcome || CASE WHEN line_no % 2 = 0 THEN ' [t=1.0]' ELSE '' END, chr(10) ORDER BY line_no DESC) AS context FROM r"
+SQL["common_pattern"] = f"WITH {RECORDS} SELECT 't_stat' AS pattern, count(*) AS n, count(*) AS failed FROM records WHERE NOT passed"
+SQL["history_digest"] = f"""WITH {RECORDS}, r AS {LAST.format(n=12)} SELECT coalesce(string_agg(feature || printf('(IC=%+.3f, t=%+.2f)', ic_mean, t_stat), ';  ' ORDER BY line_no) FILTER (passed), '') AS passed,
+  coalesce(string_agg(feature || printf(' IC=%+.4f t=%+.3f zero=%.0f%%', ic_mean, t_stat, zero_ratio * 100) || ' >> ' || diagnosis_fix, chr(10) ORDER BY line_no) FILTER (NOT passed), '') AS failed FROM r"""
+SQL["score_assignment"] = """WITH b AS (SELECT o_orderkey AS episode, (row_number() OVER (ORDER BY o_orderkey) - 1) // 3 AS batch, (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 + 1 AS i FROM orders)
+SELECT episode, CASE WHEN i = 1 THEN CAST(batch % 3 AS DOUBLE) WHEN i = 3 AND batch % 2 = 0 THEN greatest(0.0 - CAST(batch % 4 AS DOUBLE), -2.0) END AS value FROM b"""
+SQL["chunk_lookup"] = f"WITH {scored(6)}, f AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 12) SELECT chunk_id, md5(left(text, 300)) AS digest, round(f.score, 6) AS score FROM f JOIN documents ON doc_id = chunk_id"
+SQL["run_documents"] = f"""WITH {STEPS}, l AS (SELECT run_id, step_id, state, concat_ws(' ', '[Step' || step_id || '|' || state || ']', tool || CASE WHEN ok THEN '✓' ELSE '✗' END, CASE WHEN coalesce(ms, 0) <> 0 THEN printf('%.0fms', ms) END, '→' || decision, CASE WHEN NOT ok THEN 'err=it failed' END) AS line, row_number() OVER (PARTITION BY run_id ORDER BY step_id DESC) AS r FROM steps)
+SELECT run_id, CAST(length('{{"run_id":' || run_id || ',"steps":[]}}') + sum(length('{{"step_id":' || step_id || ',"state":"' || state || '"}}')) + count(*) - 1 AS INTEGER) AS chars, string_agg(line, ' | ' ORDER BY step_id) FILTER (r <= 2) AS summary FROM l GROUP BY run_id"""
+SQL["report_documents"] = f"""WITH {RESULTS} SELECT feature, '{{"feature":"' || feature || '","k":' || k || ',"coverage_failure":' || CASE WHEN cf THEN 'true' ELSE 'false' END || '}}' AS document FROM res"""
