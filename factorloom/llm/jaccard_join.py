@@ -2,20 +2,21 @@
 
 A document's set holds its distinct 5-word shingles. Equal sets are one class; classes are joined:
 
-1. Shingles below a fixed share THETA of the hash range are counted exactly, over all classes. Those in more than
-   COMMON classes are common. The order of all shingles is: counted and not common, then uncounted, then common, each
-   by hash. A prefix of n - ceil(0.8 n) + 1 shingles in that order meets the prefix of every similar set.
-2. A class whose shared shingles can't reach 0.8 is dropped whole. Others keep index entries of their shared counted
-   shingles (lists of COMMON entries at most) and, if their prefix goes beyond those, of the rest of their prefix with
-   size and position.
-3. Pairs of short lists are counted, and kept if count + common + uncounted shingles could still reach the threshold.
-4. Answer skipping: each class is first compared with one similar class, a list's leader; what is found similar to the
-   leader shares its answers, so only pairs across different answers are ever compared afterwards. Long lists are
-   read block by block, a block holding sizes within a factor of 1.25, and blocks or positions that can't meet the
-   threshold are skipped.
-
-All comparisons are exact on 64-bit shingle names. No pair is dropped: after the leader rounds every pair left with
-different answers in a common list is compared.
+1. Shingles below a fixed share THETA of the hash range are counted exactly, over all classes. A class of which too
+   many counted shingles are its own can't have a similar one and is dropped.
+2. Among the classes left every shingle is counted, and they are thinned once more. Shingles in more than COMMON
+   classes are common. In the order of rarity, common ones last, each by hash, a prefix of n - ceil(0.8 n) + 1 shingles
+   meets the prefix of every similar set. Classes keep index entries of their shingles in short lists, and of the
+   common ones that their prefix reaches, with size and place.
+3. Answer skipping: each class is compared with one similar class, the leader of most of its lists. What is similar to
+   the leader shares its answers, so afterwards only pairs across different answers are compared. A few rounds choose
+   new leaders for what is left.
+4. Every pair that then has different answers in a common list is settled. An overlap is at most the uncommon shingles
+   shared, which short lists count, plus the smaller number of common ones: a pair whose bound is too low is skipped.
+   Long lists are read block by block, a block holding sizes within a factor of 1.25, and only by classes that common
+   shingles alone could link; blocks or places that can't meet the threshold are skipped.
+
+All comparisons are exact on 64-bit shingle names, and no link between different components is lost.
 
 Defined cases: a text of fewer than five words is one shingle of its whole sequence; null, empty and wordless texts
 have the empty set, link with nothing and are their own component, even if they are equal. Rows that repeat, or share
@@ -35,13 +36,13 @@ from factorloom.llm.common import U64, binary, blobs, in_chunks, mix, part_of, p
 from factorloom.llm.graph import components
 from factorloom.llm.substring_dedup import _by_part, _schema
 
-THETA, COMMON, LEADER_ROUNDS = 0.3, 16, 6
+THETA, COMMON, LEADER_ROUNDS, LEADING = 0.3, 16, 5, 24
 BELOW = U64(int(THETA * 2**64))
 CLASSES = "row_id long, doc_id long, one long, two long, size long"
 KEYS = "chunk int, part int, keys binary"
 FLAGS = "chunk int, part int, flags binary"
-#: A class: its size, common counted shingles, uncounted shingles, shared counted shingles, the rest of its prefix, all shingles.
-SETS = "node long, size int, common int, uncounted int, shared array<long>, rest array<long>, shingles array<long>"
+#: A class: its size, how many of its shingles are common, those shared by a few, and the common ones in its prefix.
+SETS = "node long, size int, common int, shared array<long>, rest array<long>"
 
 
 def needed(n: int) -> int:
@@ -86,7 +87,7 @@ def counted_keys(parts: int):
         s = Sets(table, nodes)
         chunk = (table if table.num_rows else nodes).column("chunk")[0].as_py()
         times = np.minimum(np.bincount(s.place, minlength=len(s.keys)), 255).astype(np.uint8)
-        rows = [{"chunk": chunk, "part": p, "keys": binary(s.keys[at]), "times": binary(times[at])} for p, at in _by_part(part_of(s.keys << U64(2), parts))]
+        rows = [{"chunk": chunk, "part": p, "keys": binary(s.keys[at]), "times": binary(times[at])} for p, at in _by_part(_part(s.keys, parts))]
         return pa.Table.from_pylist(rows, _schema(KEYS + ", times binary"))
 
     return run
@@ -102,33 +103,87 @@ def key_flags(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk"), table.column("part"), pa.array([binary(x) for x in flags], pa.binary())], _schema(FLAGS))
 
 
-LISTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("common", pa.int32()), ("uncounted", pa.int32()), ("shared", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+CANDIDATES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+LISTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("common", pa.int32()), ("shared", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
 
 
-def index_entries(parts: int):
-    """Chunk, its classes and the flags of their keys -> SETS rows of the classes that can have a similar one."""
+def candidates(parts: int):
+    """Chunk, its classes and the flags of their counted keys -> the classes that can have a similar one."""
 
     def run(table: pa.Table, more: pa.Table) -> pa.Table:
-        mine = more.filter(more.column("flags").is_null())
-        s = Sets(table, mine)
-        replies = {p: f for p, f in zip(more.column("part").to_pylist(), more.column("flags").to_pylist()) if f is not None}
-        flags = np.zeros(len(s.keys), np.uint8)
-        for p, at in _by_part(part_of(s.keys << U64(2), parts)):
-            flags[at] = np.frombuffer(replies[p], np.uint8)
+        s = Sets(table, more.filter(more.column("flags").is_null()))
+        flags = _told(s.keys, more, parts)
         of_low, at, rows = flags[s.place], 0, []
         for node, shingles, low in zip(s.nodes, s.sets, s.low_sizes):
-            kind, at, n = of_low[at : at + low], at + low, len(shingles)
-            shared, common, uncounted = shingles[:low][kind == 1], int((kind == 2).sum()), n - low
-            if not n or len(shared) + common + uncounted < needed(n):
+            alone, at = int((of_low[at : at + low] == 0).sum()), at + low
+            if len(shingles) - alone >= needed(len(shingles)):
+                rows.append({"node": node, "shingles": shingles.view(np.int64)})
+        return pa.Table.from_pylist(rows, CANDIDATES)
+
+    return run
+
+
+def _told(keys: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
+    by_part = {p: f for p, f in zip(replies.column("part").to_pylist(), replies.column("flags").to_pylist()) if f is not None}
+    flags = np.zeros(len(keys), np.uint8)
+    for p, at in _by_part(_part(keys, parts)):
+        flags[at] = np.frombuffer(by_part[p], np.uint8)
+    return flags
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return part_of(keys << U64(2), parts)  # counted keys all have their top bits clear
+
+
+def _unpacked(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    t = table.sort_by("node")
+    return t.column("node").to_pylist(), [np.asarray(x.values).view(U64) for x in t.column("shingles").combine_chunks()]
+
+
+def all_keys(parts: int):
+    """Chunk of candidates -> all their shingles, once each with how many of the candidates have it (at most 255)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, times = np.unique(np.concatenate(_unpacked(table)[1]), return_counts=True)
+        chunk, times = table.column("chunk")[0].as_py(), np.minimum(times, 255).astype(np.uint8)
+        return pa.Table.from_pylist([{"chunk": chunk, "part": p, "keys": binary(keys[at]), "times": binary(times[at])} for p, at in _by_part(_part(keys, parts))], _schema(KEYS + ", times binary"))
+
+    return run
+
+
+def index_entries(parts: int):
+    """Chunk of candidates and flags of all their shingles -> SETS rows of those that can still have a similar one."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_pylist([], LISTS)
+        nodes, sets = _unpacked(table)
+        keys, place = np.unique(np.concatenate(sets), return_inverse=True)
+        flags, at, rows = _told(keys, replies, parts)[place], 0, []
+        for node, shingles in zip(nodes, sets):
+            n = len(shingles)
+            kind, at = flags[at : at + n], at + n
+            shared, common = shingles[kind == 1], shingles[kind == 2]
+            if len(shared) + len(common) < needed(n):
                 continue
-            beyond = n - needed(n) + 1 - (low - common)
-            rest = np.concatenate((shingles[low:], shingles[:low][kind == 2]))[: max(beyond, 0)]
-            rows.append({"node": node, "size": n, "common": common, "uncounted": uncounted, "shared": shared.view(np.int64), "rest": rest.view(np.int64), "shingles": shingles.view(np.int64)})
+            rest = common[: max(n - needed(n) + 1 - (n - len(common)), 0)]
+            rows.append({"node": node, "size": n, "common": len(common), "shared": shared.view(np.int64), "rest": rest.view(np.int64)})
         return pa.Table.from_pylist(rows, LISTS)
 
     return run
 
 
+def recounted(found: DataFrame) -> DataFrame:
+    """SETS of candidates (node, shingles), every shingle counted among them: what a candidate shares with others only
+    can't make it similar to anything."""
+    n = found.count()
+    parts, chunks = parts_for(found.sparkSession, n), max(1, -(-n // 1000))
+    rows = found.select(F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"), "node", "shingles").repartition("chunk")
+    keys = rows.groupBy("chunk").applyInArrow(all_keys(parts), KEYS + ", times binary")
+    flags = keys.groupBy("part").applyInArrow(key_flags, FLAGS)
+    return rows.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(index_entries(parts), SETS)
+
+
 def similar(overlap: Column, a: Column, b: Column) -> Column:
     return 100 * overlap >= 80 * (a + b - overlap)
 
@@ -140,70 +195,87 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", similar(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set")).alias("linked"))
 
 
-def possible(pairs: DataFrame, sets: DataFrame, overlap: Column) -> DataFrame:
-    """pairs (a, b, ...) that can still be similar if they share `overlap` counted shingles that are not common."""
-    own = lambda c: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "common", "uncounted")], F.size("shared").alias(f"{c}_shared"))
+def possible(pairs: DataFrame, lists: DataFrame, overlap: str | None = None) -> DataFrame:
+    """pairs (a, b) that can still be similar by the uncommon shingles they share plus all common ones. `overlap` names
+    the column of that count; without it, it is taken from the lists."""
+    own = lambda c: lists.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "common", *([] if overlap else ["shared"]))])
     both = pairs.join(own("a"), "a").join(own("b"), "b")
-    most = overlap + F.least("a_common", "b_common") + F.least("a_uncounted", "b_uncounted")
-    most = F.least(most, F.col("a_size"), F.col("b_size"))
-    return both.filter(similar(most, F.col("a_size"), F.col("b_size"))).select(*pairs.columns)
-
-
-def class_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the classes that similar pairs connect."""
-    narrow = sets.drop("shingles")
-    short = narrow.select("node", F.explode("shared").alias("key"))
-    pairs = short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")), "key").filter("a < b")
-    counted = stored(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("n")), "pairs")
-    near = stored(possible(counted, narrow, F.col("n")).select("a", "b"), "near")
-    # a rest entry's place in its set's order follows the counted shingles that are not common
-    entries = narrow.filter(F.size("rest") > 0).select("node", "size", (F.col("size") - F.col("uncounted") - F.col("common")).alias("before"), F.posexplode("rest").alias("at", "key"))
-    rest = stored(entries.select("node", "size", "key", (F.col("before") + F.col("at")).alias("at")), "rest")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    verified = stored(compared(first, sets), "compared")
-    has_long = rest.limit(1).count() > 0
-    for k in range(LEADER_ROUNDS if has_long else 0):
-        labelled = with_labels(rest, verified)
-        lead = labelled.groupBy("key").agg(F.min_by(F.struct("node", "label", "size"), F.xxhash64("node", F.lit(k))).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "lead")
-        asked = labelled.join(lead, "key").filter("label <> lead.label and 4 * greatest(size, lead.size) <= 5 * least(size, lead.size)")
-        ranked = asked.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
-        chosen = ranked.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        most = F.least("a_shared", "b_shared")
-        new = stored(compared(possible(chosen.join(verified.select("a", "b"), ["a", "b"], "left_anti"), narrow, most), sets), "compared")
-        if not new.limit(1).count():
-            break
-        verified = stored(verified.unionByName(new), "compared")
+    few = F.col(overlap) if overlap else F.size(F.array_intersect("a_shared", "b_shared"))
+    return both.filter(similar(few + F.least("a_common", "b_common"), F.col("a_size"), F.col("b_size"))).select("a", "b")
 
-    # every pair that is left with different answers
+
+def labelled(rows: DataFrame, verified: DataFrame | None) -> DataFrame:
+    """rows (node, ...) with label and weight, the least node of its component so far and how many nodes that has."""
+    if verified is None:
+        return rows.withColumn("label", F.col("node")).withColumn("weight", F.lit(1).cast("long"))
     labels = components(verified.filter("linked"))
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = lambda df: df.join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
-    left = apart(near)
-    if has_long:
-        left = left.unionByName(apart(long_pairs(with_labels(rest, verified), counted, narrow))).distinct()
-    last = compared(left.join(verified.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    return verified.unionByName(last).filter("linked").select("a", "b")
+    weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    both = stored(labels.join(weights, "label"), "weights")
+    return rows.join(both, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
 
 
-def with_labels(entries: DataFrame, verified: DataFrame) -> DataFrame:
-    labels = components(verified.filter("linked"))
-    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def mixed_keys(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+
+
+def class_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly the classes that similar pairs connect. lists: SETS; sets: node, shingles."""
+    alone = (F.col("size") - F.col("common") - F.size("shared")).alias("alone")
+    first_keys = F.concat(F.slice("shared", 1, LEADING), F.slice("rest", 1, LEADING))
+    heads = stored(lists.select("node", "size", alone, F.explode(first_keys).alias("key")), "heads")
+
+    verified = None
+    for k in range(LEADER_ROUNDS):
+        rows = labelled(heads, verified)
+        # the class with the fewest shingles of its own leads; in later rounds also others, by chance
+        rank = F.struct("alone", "node") if k == 0 else F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node")) if k % 2 == 0 else F.struct("alone", F.xxhash64("node", "key", F.lit(k)).alias("h"))
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("node", "label", "size", "weight"), rank).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "lead")
+        asks = F.lit(True) if k == 0 else F.struct("weight", "label") < F.struct(F.col("lead.weight"), F.col("lead.label"))
+        asked = rows.join(lead, "key").filter("label <> lead.label and 4 * greatest(size, lead.size) <= 5 * least(size, lead.size)").filter(asks)
+        ranked = asked.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
+        best = ranked.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", F.col("best.leader").alias("leader"))
+        chosen = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if verified is not None:
+            chosen = chosen.join(verified.select("a", "b"), ["a", "b"], "left_anti")
+        near = stored(possible(chosen, lists), "near")
+        new = stored(compared(near, sets), "compared")
+        verified = new if verified is None else stored(verified.unionByName(new), "compared")
+        if not new.filter("linked").limit(1).count():
+            break
+
+    # every pair that is left with different answers: those that share an uncommon shingle, and those that don't
+    labels = stored(labelled(lists.select("node", "size", "common"), verified).drop("weight"), "labels")
+    short = lists.select("node", F.explode("shared").alias("key")).join(labels, "node")
+    short = stored(short.join(mixed_keys(short), "key", "left_semi"), "mixed")
+    one, two = (short.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "label", "size", "common")]) for c in ("a", "b"))
+    apart = one.join(two, "key").filter("a_node < b_node and a_label <> b_label and 4 * greatest(a_size, b_size) <= 5 * least(a_size, b_size)")
+    counted = stored(apart.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).cast("int").alias("n")), "pairs")
+    more = possible(counted, lists, "n").unionByName(long_pairs(lists, labels)).distinct()
+    last = compared(more.join(verified.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    return verified.unionByName(last).filter("linked").select("a", "b")
 
 
-def long_pairs(labelled: DataFrame, counted: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a list's entries with different labels whose sizes, places and counts allow similarity."""
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    blocks = labelled.join(mixed, "key", "left_semi").withColumn("block", F.floor(F.log(F.col("size")) / float(np.log(1.25))))
-    one = blocks.select("key", "block", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "at", "label")])
-    two = blocks.select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "label")])
-    bound = 1 + F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) - 1
+def long_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with different labels that can be similar by common shingles alone.
+
+    Both then have enough common ones, and meet in the long lists of their prefixes. A list is read by blocks of sizes
+    within a factor of 1.25: a block meets itself and its neighbours only. A pair is skipped if what follows its places,
+    or its common shingles, can't hold enough.
+    """
+    able = labels.filter("5 * common >= 4 * size")
+    key = F.transform("rest", lambda key, k: F.struct(key.alias("key"), (F.col("size") - F.col("common") + k).cast("int").alias("at")))
+    entries = lists.select("node", F.explode(key).alias("e")).select("node", "e.key", "e.at").join(able, "node")
+    entries = stored(entries.join(mixed_keys(entries), "key", "left_semi"), "long").withColumn("block", F.floor(F.log(F.col("size")) / float(np.log(1.25))))
+    kept = ("node", "size", "common", "at", "label")
+    one = entries.select("key", "block", *[F.col(c).alias(f"x_{c}") for c in kept])
+    two = entries.select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in kept])
+    bound = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"), F.col("x_common"), F.col("y_common"))
     met = one.join(two, ["key", "block"]).filter("x_label < y_label").filter(similar(bound, F.col("x_size"), F.col("y_size")))
-    pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(counted, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return possible(pairs, sets, F.col("n")).select("a", "b")
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class_id: the least row of an equal set, of every document."""
+    """doc_id, n_shingles, component_id, and class_id, the least doc_id with an equal set, of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,10 +287,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     keys = chunks.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInArrow(counted_keys(parts), KEYS + ", times binary")
     flags = keys.groupBy("part").applyInArrow(key_flags, FLAGS)
     more = flags.withColumn("node", F.lit(None).cast("long")).unionByName(nodes.selectExpr("chunk", "cast(null as int) part", "cast(null as binary) flags", "node"))
-    sets = stored(chunks.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(index_entries(parts), SETS), "sets")
-    labels = components(class_links(sets))
+    sets = stored(chunks.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(candidates(parts), "node long, shingles array<long>"), "sets")
+    labels = components(class_links(stored(recounted(sets), "lists"), sets))
     joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = joined.join(least, "label").select("one", "two", "size", F.col("node").alias("class_id"), "component_id")
+    found = joined.join(least, "label").select("one", "two", "size", F.col("least").alias("class_id"), "component_id")
     full = named.join(found, ["one", "two", "size"], "left")
-    return full.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
+    return full.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
