@@ -84,21 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": pipeline} | {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
-OP5_SQL = r"""
-WITH t AS (
-  SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
-  CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN x END, '' ORDER BY turn, r, x), '')) AS loss_sha256,
-  CAST(sum(length(replace(replace(replace(r, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(x, '\', '\\'), '<|', '<\|')) + 12 + 1 + 10 + 1) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    from factorloom.llm import secrets
+    from factorloom.llm import oracle
 
-    return {"op4_secrets": secrets.SQL, "op5_chat_format": OP5_SQL.replace("\\\\", "\\")}
+    return dict(oracle.SQL)
