@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import blobs, by_bytes, small_batches, stored
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker process remembers, some 250 MB; the memory is cleared when it is full.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker process remembers, some 110 MB.
+REMEMBERED = 500_000
 OPEN_BINS, SHARE = 512, 250_000
 
 
@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Words()
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
@@ -47,36 +47,50 @@ class Encoder:
         """This worker process's encoder, kept with its memory from task to task."""
         return ENCODERS.get(path) or ENCODERS.setdefault(path, Encoder(path))
 
-    def learn(self, words: list[bytes]) -> None:
+    def learned(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, by word."""
+        out: dict[bytes, bytes] = {}
         spelled = [w.decode() for w in words]
         plain = [k for k, w in enumerate(spelled) if w.isalpha()]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join([spelled[k] for k in some]), add_special_tokens=False).ids, "<u4")
+        runs = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for some, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join([spelled[k] for k in some]) for some in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):  # letters alone are one unit each, and only its last token ends a word
                 held, last = ids.tobytes(), 0
                 for k, cut in zip(some, (4 * cuts).tolist()):
-                    self.known[words[k]] = held[last:cut]
+                    out[words[k]] = held[last:cut]
                     last = cut
-        rest = [k for k, w in enumerate(words) if w not in self.known]
+        rest = [k for k, w in enumerate(words) if w not in out]
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([spelled[k] for k in rest], add_special_tokens=False)):
-            self.known[words[k]] = np.array(e.ids, "<u4").tobytes()
+            out[words[k]] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end token."""
         texts = [t if b"<|" in t else t.lower() for t in texts]  # names of special tokens keep their case
-        split = [PARTED.sub(rb" \1", t).split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(list({w for words in split for w in words} - self.known.keys()))
+        split = [STOP.sub(b" .", COMMA.sub(b" ,", t)).split() for t in texts]
+        new = self.learned(list({w for words in split for w in words} - self.known.keys()))
+        if len(self.known) < REMEMBERED:  # words met early are mostly the frequent ones
+            self.known.update(new)
+            new = {}
+        self.known.at_hand = new
         tail = np.array([end], "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + tail for words in split]
 
 
+class Words(dict):
+    """Ids by word, with those of the texts at hand beside those that are kept."""
+
+    at_hand: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.at_hand[word]
+
+
 ENCODERS: dict[str, Encoder] = {}
-PARTED = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+COMMA, STOP = (re.compile(mark + rb"(?<=[a-z]" + mark + rb")(?=[ \n])") for mark in (rb",", rb"\."))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) -> DataFrame:
