@@ -233,6 +233,17 @@ def test_components(spark):
     assert got == {k: find(k) for k in got} and {k for e in edges for k in e if e[0] != e[1]} == set(got)
 
 
+def test_stored_tables_can_go(spark):
+    from factorloom.llm.common import STORED, drop_stored, stored
+
+    df = stored(spark.range(5), "five")
+    path = STORED[-1]
+    assert df.count() == 5 and spark.read.parquet(path).count() == 5
+    drop_stored(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_registry():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names if n != "pipeline"].__len__() == 10 and "pipeline" in names
