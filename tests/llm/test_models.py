@@ -50,8 +50,8 @@ def test_temperature_calibrates():
 def test_ftrl_is_sparse():
     r = np.random.default_rng(0)
     rows = [(np.array([y, 2 + r.integers(0, 40)]), np.ones(2), int(y)) for y in r.integers(0, 2, 300)]
-    w = language_id.ftrl(rows, 2, 60, l1=1.0)
-    assert w[0, 0] > 0 > w[1, 0] and (w[42:] == 0).all() and (w[2:42] == 0).mean() > 0.3
+    w = language_id.ftrl(rows, 2, np.ones(60), l1=1.0)
+    assert w[0, 0] > 0 > w[1, 0] and (w[42:60] == 0).all() and (w[2:42] == 0).mean() > 0.3
 
 
 @pytest.fixture(scope="module")
@@ -102,8 +102,14 @@ def test_language_model(spark, docs):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    held = [r for r in rows if r.held_out]  # words at random: there is nothing to learn, and little is lost
+    assert sum(r.score for r in held) > 1.05 * sum(r.base_score for r in held)
+
+
+def test_language_model_learns(spoken):
+    """On texts of three languages the model gains what a unigram model can't."""
+    held = [r for r in language_model.score_documents(spoken).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
 
 
 def test_language_model_edges(spark, empty, repeated, clashing):
@@ -149,5 +155,5 @@ def test_training_gradient():
     model = Gru.new(6)
     texts = [np.array([1, 2, 3, 1, 2, 4] * 5, np.int32) for _ in range(20)]
     before = model.score(texts, 0, [np.zeros(30)] * 20).sum()
-    train(model, texts, 0, updates=300, streams=8)
+    train(model, texts, 0, updates=300, streams=8, epochs=100)
     assert model.score(texts, 0, [np.zeros(30)] * 20).sum() > 0.25 * before
