@@ -27,7 +27,7 @@ from factorloom.llm.common import LOWER, blobs, by_bytes, small_batches
 
 BITS = 16
 DIM = 2 * (1 << BITS)
-SAMPLE = 1500
+SAMPLE = 1000
 LETTER = re.compile(r"[^\W\d_]")
 MAX_LANGUAGES = 1000
 
@@ -74,10 +74,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["feature", "n"])
 
-    found = docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(DIM + 1, np.int64)
-    for r in found:  # DIM + 1 rows at most
-        out[r.feature] = r.n
+    out[found.column("feature").to_numpy()] = found.column("n").to_numpy()  # DIM + 1 rows at most
     return out[:DIM], int(out[DIM])
 
 
@@ -105,12 +104,16 @@ def featurise(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
                 shares.append((n / max(len(at), 1)).astype(np.float32).tobytes())
             yield pa.record_batch([b.column("lang"), b.column("doc_id"), pa.array(feats, pa.binary()), pa.array(shares, pa.binary())], ["lang", "doc_id", "f", "tf"])
 
-    rows = docs.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, f binary, tf binary").collect()
-    return [(r.lang, r.doc_id, np.frombuffer(r.f, np.int32), np.frombuffer(r.tf, np.float32)) for r in sorted(rows, key=lambda r: (r.doc_id or 0, r.lang))]
+    rows = docs.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, f binary, tf binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    return [(lang.as_py(), doc_id.as_py(), np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(tf.as_buffer(), np.float32)) for lang, doc_id, f, tf in zip(*(rows.column(c) for c in ("lang", "doc_id", "f", "tf")))]
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, dim: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4, epochs: int = 3, seed: int = 5) -> np.ndarray:
-    """FTRL-proximal weights (dim, classes) of a softmax over sparse rows (features, values, class); elastic-net penalties."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, gain: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4, epochs: int = 3, seed: int = 5) -> np.ndarray:
+    """FTRL-proximal weights of a softmax over sparse rows (features, values, class), elastic-net penalties.
+
+    Values are multiplied by their feature's gain. The last row of the result is the bias.
+    """
+    dim = len(gain) + 1
     z, n = np.zeros((dim, classes)), np.zeros((dim, classes))
     order = np.random.default_rng(seed)
 
@@ -121,6 +124,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, dim: int,
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             f, x, y = rows[k]
+            f, x = np.append(f, dim - 1), np.append(x * gain[f], 1.0)
             w = weights(f)
             s = x @ w
             p = np.exp(s - s.max())
@@ -157,16 +161,14 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     if not languages:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
     index = {x: k for k, x in enumerate(languages)}
-    ready = []
-    for lang, doc_id, f, tf in rows:
-        x = tf * idf[f]
-        scale = 10.0  # of the share vector, so that FTRL's steps suit it
-        ready.append((np.append(f, DIM), np.append(x * scale, 1.0), index[lang], hash(doc_id) % 5 == 0))
-    fit = [r[:3] for r in ready if not r[3]] or [r[:3] for r in ready]
-    w = ftrl(fit, len(languages), DIM + 1)
-    held = [r for r in ready if r[3]]
-    logits = np.array([x @ w[f] for f, x, _, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, (w[:DIM] * (idf * scale)[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
+    gain = 10.0 * idf  # of the share vector, so that FTRL's steps suit it
+    held_back = [(doc_id or 0) % 5 == 0 for _, doc_id, _, _ in rows]
+    ready = [(f, tf, index[lang]) for lang, _, f, tf in rows]
+    fit = [r for r, held in zip(ready, held_back) if not held] or ready
+    w = ftrl(fit, len(languages), gain)
+    held = [r for r, back in zip(ready, held_back) if back]
+    logits = np.array([(tf * gain[f]) @ w[f] + w[DIM] for f, tf, _ in held]).reshape(len(held), len(languages))
+    return Model(languages, (w[:DIM] * gain[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
