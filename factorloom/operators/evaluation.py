@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.columns import no_signal, pearson, season, share
 
-LAGS, LEAST_PAIRS = 4, 5
+LAGS, LEAST_PAIRS, RANGES = 4, 5, 256
 
 
 def ic_by(rows: DataFrame, by: list[str], x: str = "value", y: str = "move", least: int = LEAST_PAIRS) -> DataFrame:
@@ -87,16 +87,20 @@ def coverage_failure(coverage: DataFrame, least: float = 0.05) -> DataFrame:
 def spearman(table: DataFrame, names: list[str], key: str = "episode") -> DataFrame:
     """left, right, rho for every pair of columns, over rows where both are present: average ranks, then Pearson.
 
-    Pairs are columns, not rows; ranks are windows by pair.
+    Pairs are columns, not rows; ranks come from range totals and windows within a range.
     """
     pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(names) for b in names[i:]]
     long = table.select(key, F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x is not null and y is not null")
 
     def ranks(c: str, named: str) -> DataFrame:
-        # ranks of distinct values from their counts: hot pairs pre-aggregate before any window
+        # counts of distinct values, dealt into ranges of about equal size: totals of ranges, then ranks within each
         counts = long.groupBy("left", "right", c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.partitionBy("left", "right").orderBy(c)) - F.col("n")
-        return counts.select("left", "right", c, (before + (F.col("n") + 1) / 2).alias(named))
+        cuts = long.groupBy("left", "right").agg(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
+        placed = counts.join(cuts, ["left", "right"]).withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
+        total = placed.groupBy("left", "right", "range").agg(F.sum("n").alias("total"))
+        total = total.withColumn("before", F.sum("total").over(Window.partitionBy("left", "right").orderBy("range")) - F.col("total")).drop("total")
+        within = F.sum("n").over(Window.partitionBy("left", "right", "range").orderBy(c)) - F.col("n")
+        return placed.withColumn("within", within).join(total, ["left", "right", "range"]).select("left", "right", c, (F.col("before") + F.col("within") + (F.col("n") + 1) / 2).alias(named))
 
     both = long.join(ranks("x", "rx"), ["left", "right", "x"]).join(ranks("y", "ry"), ["left", "right", "y"])
     return both.groupBy("left", "right").agg(pearson(F.col("rx"), F.col("ry")).alias("rho"))

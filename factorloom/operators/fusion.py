@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.columns import any_signal, mean_of, weighted
 from factorloom.operators.evaluation import ic_by, ic_series, newey_west, spearman
-from factorloom.operators.panel import KEYS, demeaned, from_year, wide, with_neutral, with_target, z_score
+from factorloom.operators.panel import from_year, wide, with_demeaned, with_neutral, with_target, with_z
 
 
 def fusion_table(panel: DataFrame, features: DataFrame, weights: dict[str, float], first_year: int) -> DataFrame:
@@ -15,7 +15,7 @@ def fusion_table(panel: DataFrame, features: DataFrame, weights: dict[str, float
     the neutral move. The target's z-score is over the whole panel, before years are dropped."""
     names = list(weights)
     table = with_neutral(wide(from_year(with_target(panel), first_year), features, names))
-    table = table.select("*", *[z_score(n, KEYS).alias(f"{n}_z") for n in names])
+    table = with_z(table, {n: f"{n}_z" for n in names})
     z = [F.col(f"{n}_z") for n in names]
     return table.withColumn("fusion_equal", mean_of(z)).withColumn("fusion_icw", weighted(z, list(weights.values()))).withColumn("text_covered", any_signal([F.col(n) for n in names]))
 
@@ -71,4 +71,4 @@ def feature_importance(model, columns: list[str], top: int = 10) -> list[tuple[s
 
 
 def neutral_prediction(table: DataFrame) -> DataFrame:
-    return table.withColumn("prediction_neutral", demeaned("prediction", KEYS))
+    return with_demeaned(table, "prediction", "prediction_neutral")

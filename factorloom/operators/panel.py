@@ -6,7 +6,7 @@ form (feature, episode, value), so that every statistic runs once for all featur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import clip
@@ -29,24 +29,31 @@ def of_symbols(panel: DataFrame, symbols: list | None = None, years: list[int] |
     return panel if years is None else panel.filter(F.year("earnings_date").isin(years))
 
 
-def z_score(c: str, by: list[str]) -> Column:
-    """(c - mean) / (sample deviation + 1e-8) within groups; null where c is, or where a group has one row."""
-    w = Window.partitionBy(*by)
-    return (F.col(c) - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + 1e-8)
+def with_z(rows: DataFrame, named: dict[str, str], by: list[str] = KEYS) -> DataFrame:
+    """rows with, for each column c -> name of `named`, (c - mean) / (sample deviation + 1e-8) within groups.
 
+    Null where c is, where a group has one row, or where a group key is null. Group statistics are aggregated first and
+    joined back, so that a group of very many rows never meets in one task.
+    """
+    stats = rows.groupBy(*by).agg(*[f(c).alias(f"__{k}_{c}") for c in named for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    both = rows.join(stats, by, "left")
+    z = [((F.col(c) - F.col(f"__mean_{c}")) / (F.col(f"__sd_{c}") + 1e-8)).alias(name) for c, name in named.items()]
+    return both.select(*rows.columns, *z)
 
-def demeaned(c: str, by: list[str], within: str = "sector") -> Column:
-    """c less its mean by group and sector; null for a null sector, which has no mean."""
-    return F.when(F.col(within).isNotNull(), F.col(c) - F.avg(c).over(Window.partitionBy(*by, within)))
+
+def with_demeaned(rows: DataFrame, c: str, name: str, by: list[str] = KEYS, within: str = "sector") -> DataFrame:
+    """rows with c less its mean by group and sector; null for a null sector, which has no mean."""
+    means = rows.groupBy(*by, within).agg(F.avg(c).alias("__mean"))
+    return rows.join(means, [*by, within], "left").select(*rows.columns, (F.col(c) - F.col("__mean")).alias(name))
 
 
 def with_target(panel: DataFrame) -> DataFrame:
     """target: the cross-sectional z-score of move, over the whole panel."""
-    return panel.withColumn("target", z_score("move", KEYS))
+    return with_z(panel, {"move": "target"})
 
 
 def with_neutral(panel: DataFrame, c: str = "move") -> DataFrame:
-    return panel.withColumn(f"{c}_neutral", demeaned(c, KEYS))
+    return with_demeaned(panel, c, f"{c}_neutral")
 
 
 def joined(panel: DataFrame, features: DataFrame) -> DataFrame:
