@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
+from factorloom.operators.ordering import with_position
 
 
 def sentence_cut(text: str, most: int) -> str:
@@ -144,15 +145,8 @@ def paper_chunks(pages: DataFrame) -> DataFrame:
 
 
 def with_chunk_ids(chunks: DataFrame, order: list[str], least: int = T.DROP_CHUNK) -> DataFrame:
-    """Chunks of `least` characters or more with chunk_id 0, 1, 2... in order.
-
-    Counts by first order column come first, so the running total is over groups and each window over one group.
-    """
-    kept = chunks.filter(F.length("text") >= least)
-    head, rest = order[0], order[1:]
-    before = kept.groupBy(head).agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy(head)) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy(head).orderBy(*rest)) - 1
-    return kept.withColumn("__at", within).join(before, head).withColumn("chunk_id", (F.col("__before") + F.col("__at")).cast("long")).drop("__before", "__at")
+    """Chunks of `least` characters or more with chunk_id 0, 1, 2... in order."""
+    return with_position(chunks.filter(F.length("text") >= least), order, "chunk_id")
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

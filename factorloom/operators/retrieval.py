@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.ordering import with_position
+
 
 def inner_product(a: Column, b: Column) -> Column:
     """Sum of products in double precision."""
@@ -65,19 +67,9 @@ def prompt_text(rows: DataFrame, by: str = "episode", most: int = 300) -> DataFr
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
-def in_batches(episodes: DataFrame, order: list[str], size: int = 50, buckets: int = 64) -> DataFrame:
-    """episodes with batch, consecutive groups of `size` in order.
-
-    Positions come from counts by range of the first order column (`buckets` rows) and a window within each range, so
-    no task sorts everything.
-    """
-    cuts = [r for r in (episodes.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first().c or [])]
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
-    rows = episodes.withColumn("__range", place)
-    before = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__range")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return rows.withColumn("__at", within).join(F.broadcast(before), "__range").withColumn("batch", F.floor((F.col("__before") + F.col("__at")) / size)).drop("__range", "__at", "__before")
+def in_batches(episodes: DataFrame, order: list[str], size: int = 50) -> DataFrame:
+    """episodes with batch, consecutive groups of `size` in order."""
+    return with_position(episodes, order, "__at").withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
 
 
 def year_quotas(episodes: DataFrame, sample: int) -> DataFrame:
