@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,7 +106,7 @@ def shingle_hashes(blob: bytes, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes, one row at least."""
     sizes = np.cumsum(np.array([len(x) for x in blobs(batch.column(column))], np.int64)) if batch.num_rows else np.empty(0)
     at = 0
@@ -113,6 +115,14 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterato
         to = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold unused back to the system: worker processes live on and share theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def in_chunks(docs: DataFrame, columns: list[str], per_chunk: int = 1000) -> tuple[DataFrame, int]:

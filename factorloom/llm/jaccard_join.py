@@ -9,8 +9,8 @@ A document's set holds its distinct 5-word shingles. Equal sets are one class; c
    meets the prefix of every similar set. Classes keep index entries of their shingles in short lists, and of the
    common ones that their prefix reaches, with size and place.
 3. Answer skipping: each class is compared with one similar class, the leader of most of its lists. What is similar to
-   the leader shares its answers, so afterwards only pairs across different answers are compared. A few rounds choose
-   new leaders for what is left.
+   the leader shares its answers, so afterwards only pairs across different answers are compared. A second round
+   chooses new leaders for what is left.
 4. Every pair that then has different answers in a common list is settled. An overlap is at most the uncommon shingles
    shared, which short lists count, plus the smaller number of common ones: a pair whose bound is too low is skipped.
    Long lists are read block by block, a block holding sizes within a factor of 1.25, and only by classes that common
@@ -36,7 +36,7 @@ from factorloom.llm.common import U64, binary, blobs, in_chunks, mix, part_of, p
 from factorloom.llm.graph import components
 from factorloom.llm.substring_dedup import _by_part, _schema
 
-THETA, COMMON, LEADER_ROUNDS, LEADING = 0.3, 16, 5, 24
+THETA, COMMON, LEADER_ROUNDS, LEADING = 0.3, 16, 2, 24
 BELOW = U64(int(THETA * 2**64))
 CLASSES = "row_id long, doc_id long, one long, two long, size long"
 KEYS = "chunk int, part int, keys binary"
@@ -209,9 +209,9 @@ def labelled(rows: DataFrame, verified: DataFrame | None) -> DataFrame:
     if verified is None:
         return rows.withColumn("label", F.col("node")).withColumn("weight", F.lit(1).cast("long"))
     labels = components(verified.filter("linked"))
+    out = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-    both = stored(labels.join(weights, "label"), "weights")
-    return rows.join(both, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+    return out.join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
 
 
 def mixed_keys(entries: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def class_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     verified = None
     for k in range(LEADER_ROUNDS):
         rows = labelled(heads, verified)
-        # the class with the fewest shingles of its own leads; in later rounds also others, by chance
-        rank = F.struct("alone", "node") if k == 0 else F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node")) if k % 2 == 0 else F.struct("alone", F.xxhash64("node", "key", F.lit(k)).alias("h"))
+        # the class with the fewest shingles of its own leads; in later rounds one of those, by chance
+        rank = F.struct("alone", "node") if k == 0 else F.struct("alone", F.xxhash64("node", "key", F.lit(k)).alias("h"))
         lead = rows.groupBy("key").agg(F.min_by(F.struct("node", "label", "size", "weight"), rank).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "lead")
         asks = F.lit(True) if k == 0 else F.struct("weight", "label") < F.struct(F.col("lead.weight"), F.col("lead.label"))
         asked = rows.join(lead, "key").filter("label <> lead.label and 4 * greatest(size, lead.size) <= 5 * least(size, lead.size)").filter(asks)

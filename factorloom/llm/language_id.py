@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import LOWER, blobs, by_bytes, small_batches
+from factorloom.llm.common import LOWER, blobs, by_bytes, small_batches, trim
 
 BITS = 16
 DIM = 2 * (1 << BITS)
-SAMPLE = 1000
+SAMPLE = 600
 LETTER = re.compile(r"[^\W\d_]")
 MAX_LANGUAGES = 1000
 
@@ -168,7 +168,10 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     w = ftrl(fit, len(languages), gain)
     held = [r for r, back in zip(ready, held_back) if back]
     logits = np.array([(tf * gain[f]) @ w[f] + w[DIM] for f, tf, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, (w[:DIM] * gain[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
+    model = Model(languages, (w[:DIM] * gain[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
+    del rows, ready, fit, held, w
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

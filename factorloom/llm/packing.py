@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import blobs, by_bytes, small_batches, stored
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker process remembers, some 110 MB.
-REMEMBERED = 500_000
+#: Words whose ids a worker process remembers, some 90 MB.
+REMEMBERED = 400_000
 OPEN_BINS, SHARE = 512, 250_000
 
 
@@ -103,7 +103,7 @@ def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for b in by_bytes(batch, "text"):
+            for b in by_bytes(batch, "text", 2 << 20):
                 rows: list[list] = [[] for _ in range(6)]
                 for doc_id, row_id, ids in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), encoder.encode(blobs(b.column("text")), end)):
                     for k, at in enumerate(range(0, len(ids), 4 * most)):
