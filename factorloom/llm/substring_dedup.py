@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import U64, binary, blobs, block_hash, in_chunks, mix, part_of, parts_for, word_hashes
 
-#: Rounds after which a symbol's context is about 15 words, well inside a window of 35.
+#: Rounds after which a symbol's context is about 17 words, well inside a window of 35.
 ROUNDS = 6
 KEYS = "chunk int, part int, keys binary, more binary"
 FLAGS = "chunk int, part int, flags binary"
@@ -38,26 +38,31 @@ PLACES = "chunk int, places binary"
 def recompress(names: np.ndarray, doc: np.ndarray, rounds: int) -> dict[str, np.ndarray]:
     """Symbols after `rounds` rounds: name, context [low, high) and document. Contexts that need a word beyond the
     text's end reach outside the text."""
+    words = names
     low = np.arange(len(names))
     high = low + 1
     start, end = low, high
     for k in range(rounds):
-        if len(names) < 2:
+        if not len(names):
             break
         same = doc[1:] == doc[:-1]
         equal = same & (names[1:] == names[:-1])
-        if equal.any():
-            first = np.flatnonzero(np.concatenate(([True], ~equal)))
-            last = np.concatenate((first[1:], [len(names)])) - 1
-            run = last > first
-            before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(names) - 1)
-            left = np.where((before < first) & (doc[before] == doc[first]), low[before], start[first] - 1)
-            right = np.where((after > last) & (doc[after] == doc[first]), high[after], end[last] + 1)
-            named = names[first]
-            named[run] = mix(named[run], (last - first + 1)[run].astype(U64))
-            low, high = np.where(run, np.minimum(left, low[first]), low[first]), np.where(run, np.maximum(right, high[last]), high[last])
-            names, start, end, doc = named, start[first], end[last], doc[first]
-            same = doc[1:] == doc[:-1]
+        first = np.flatnonzero(np.concatenate(([True], ~equal)))
+        last = np.concatenate((first[1:], [len(names)])) - 1
+        run = last > first
+        # That a run, or a single symbol, ends here depends on the neighbour: on its adjacent word if that differs from
+        # the word in its place, else on the neighbour's whole context.
+        joined = np.concatenate(([False], same, [False]))
+        before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(names) - 1)
+        alike_left = joined[first] & (words[start[first] - 1] == words[end[first] - 1])
+        alike_right = joined[last + 1] & (words[np.minimum(end[last], len(words) - 1)] == words[start[last]])
+        left = np.where(alike_left, low[before], start[first] - 1)
+        right = np.where(alike_right, high[after], end[last] + 1)
+        named = names[first]
+        named[run] = mix(named[run], (last - first + 1)[run].astype(U64))
+        low, high = np.minimum(left, low[first]), np.maximum(right, high[last])
+        names, start, end, doc = named, start[first], end[last], doc[first]
+        same = doc[1:] == doc[:-1]
         side = ((mix(names, U64(k + 1)) >> U64(17)) & U64(1)).astype(bool)
         opens = np.concatenate((same & side[:-1] & ~side[1:], [False]))
         closes = np.concatenate(([False], opens[:-1]))
