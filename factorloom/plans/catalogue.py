@@ -214,7 +214,7 @@ def spearman_matrix(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gbt_fusion(s: SparkSession, d: str) -> DataFrame:
-    table = fusion.boosted(_fused(s, d), D.NAMES, D.TRAIN, rounds=20)
+    table = fusion.boosted(_fused(s, d), D.NAMES, D.TRAIN)
     return fusion.neutral_prediction(table).select("episode", "prediction", "prediction_neutral")
 
 
@@ -643,7 +643,7 @@ def report_documents(s: SparkSession, d: str) -> DataFrame:
 def baseline_model(s: SparkSession, d: str) -> DataFrame:
     """Boosted trees on numeric columns without text features, and their quarterly IC."""
     table = _fused(s, d).withColumn("size", F.col("symbol") % 100).withColumn("day", F.dayofyear("earnings_date"))
-    scored = fusion.neutral_prediction(fusion.boosted(table, ["size", "day"], D.TRAIN, rounds=10)).withColumn("feature", F.lit("baseline")).withColumn("value", F.col("prediction_neutral"))
+    scored = fusion.neutral_prediction(fusion.boosted(table, ["size", "day"], D.TRAIN)).withColumn("feature", F.lit("baseline")).withColumn("value", F.col("prediction_neutral"))
     return evaluation.newey_west(evaluation.ic_series(_test(scored), y="move_neutral"))
 
 

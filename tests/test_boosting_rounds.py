@@ -1,0 +1,23 @@
+import pytest
+from pyspark.ml import regression
+
+from factorloom.plans import catalogue
+
+TABLES = "/root/testdata/sf0.001"
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["gbt_fusion", "baseline_model"])
+def test_registered_models_boost_all_rounds(spark, monkeypatch, name):
+    """The registered models run the reference's 200 rounds."""
+
+    def learner(**given):
+        raise Asked(given["maxIter"])
+
+    monkeypatch.setattr(regression, "GBTRegressor", learner)
+    with pytest.raises(Asked) as found:
+        catalogue.queries()[name](spark, TABLES)
+    assert found.value.args == (200,)
