@@ -1,48 +1,58 @@
-"""Exact Jaccard self-join of word-shingle sets, as connected components, by set-relation skipping.
-
-A document's set holds its distinct 5-word shingles. Equal sets are one class; classes are joined:
-
-1. Shingles below a fixed share THETA of the hash range are counted exactly, over all classes. A class of which too
-   many counted shingles are its own can't have a similar one and is dropped.
-2. Among the classes left every shingle is counted, and they are thinned once more. Shingles in more than COMMON
-   classes are common. In the order of rarity, common ones last, each by hash, a prefix of n - ceil(0.8 n) + 1 shingles
-   meets the prefix of every similar set. Classes keep index entries of their shingles in short lists, and of the
-   common ones that their prefix reaches, with size and place.
-3. Answer skipping: each class is compared with one similar class, the leader of most of its lists. What is similar to
-   the leader shares its answers, so afterwards only pairs across different answers are compared. A second round
-   chooses new leaders for what is left.
-4. Every pair that then has different answers in a common list is settled. An overlap is at most the uncommon shingles
-   shared, which short lists count, plus the smaller number of common ones: a pair whose bound is too low is skipped.
-   Long lists are read block by block, a block holding sizes within a factor of 1.25, and only by classes that common
-   shingles alone could link; blocks or places that can't meet the threshold are skipped.
-
-All comparisons are exact on 64-bit shingle names, and no link between different components is lost.
+"""Exact Jaccard self-join of word-shingle sets by set-relation skipping: links, their number, components.
+
+A document's set holds its distinct 5-word shingles. Equal sets are one class, and classes are joined:
+
+1. Shingles below a fixed share THETA of the hash range are checked over all classes: a class of which too many are its
+   own can't have a similar one. Among the classes left every shingle is counted, and they are thinned once more.
+2. Answers are derived from a highly similar set's. Each class looks for a leader in the lists of its first shingles and
+   keeps what sets it apart: the shingles of the leader it lacks and those it has besides. With cost = 5 lacking + 4
+   besides, two followers of a leader of L shingles are similar exactly if
+
+       cost(x) + cost(y) <= L + 9 * (differences that x and y share).
+
+   So all pairs with cost(x) + cost(y) <= L are links, and a cumulative sum over costs counts them without a row for
+   each. Only other pairs are looked for, in lists of the differences within the leader's group.
+3. Classes of different groups meet in lists of their prefixes: in the order of rarity, n - ceil(0.8 n) + 1 shingles
+   meet the prefix of every similar set. Lists of shingles within one group are skipped whole.
+4. Lists of steps 2 and 3 are cut into blocks of like size (or cost). A class's place in a list bounds what can still
+   be shared, and with it the blocks that hold possible partners: the others are skipped. A long block is split over
+   tasks. What is left is settled on whole sets or differences.
+
+All comparisons are exact on 64-bit shingle names; no link between different sets is lost and none is cut off. Shingles
+of one set at a time, or some hundred thousand, are in a task's memory; no list, class or group is.
 
 Defined cases: a text of fewer than five words is one shingle of its whole sequence; null, empty and wordless texts
 have the empty set, link with nothing and are their own component, even if they are equal. Rows that repeat, or share
-doc_id, are separate documents. Only doc_id and text are read. An empty table gives an empty result.
+doc_id, are separate documents: equal ones are linked. component_id and class_id pass over null ids; they are null only
+if every document of the component has none. Extra columns aren't read, but `identified` carries them along. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factorloom.llm.common import U64, binary, blobs, in_chunks, mix, part_of, parts_for, shingle_hashes, small_batches, stored
+from factorloom.llm.common import U64, binary, blobs, by_bytes, mix, part_of, shingle_hashes, small_batches, stored
 from factorloom.llm.graph import components
 from factorloom.llm.substring_dedup import _by_part, _schema
 
-THETA, COMMON, LEADER_ROUNDS, LEADING = 0.3, 16, 2, 24
+THETA, HEADS = 0.3, 24
 BELOW = U64(int(THETA * 2**64))
-CLASSES = "row_id long, doc_id long, one long, two long, size long"
-KEYS = "chunk int, part int, keys binary"
-FLAGS = "chunk int, part int, flags binary"
-#: A class: its size, how many of its shingles are common, those shared by a few, and the common ones in its prefix.
-SETS = "node long, size int, common int, shared array<long>, rest array<long>"
+#: Followers share this many percent of both sets' shingles with their leader at least. Any value gives the same links.
+FOLLOWS = 40
+#: Shingles that a task gathers or a key range holds, in expectation; rows of a list's block before it is split; ids that are broadcast.
+GATHERED, SPLIT, BROADCAST = 400_000, 4096, 1_000_000
+KEYS = "part int, batch long, keys binary, owners binary"
+TIMES = "chunk int, part int, times binary"
 
 
 def needed(n: int) -> int:
@@ -50,247 +60,333 @@ def needed(n: int) -> int:
     return -(-4 * n // 5)
 
 
-def named_sets(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, the 128-bit name (one, two) and size of every document's set."""
+def identified(docs: DataFrame) -> DataFrame:
+    """Every row once, stored: row_id, doc (its columns), the set's 128-bit name (one, two) and size, and its low shingles."""
     small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    names = ["one", "two", "size", "low"]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            one, two, size = [], [], []
-            for text in blobs(b.column("text")):
-                s = shingle_hashes(text)
-                one.append(int(mix(s, U64(3)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
-                two.append(int(np.bitwise_xor.reduce(mix(s, U64(7))).view(np.int64)) if len(s) else 0)
-                size.append(len(s))
-            yield pa.record_batch([b.column("row_id"), b.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64())], ["row_id", "doc_id", "one", "two", "size"])
-
-    return docs.select("row_id", "doc_id", "text").mapInArrow(run, CLASSES)
-
-
-class Sets:
-    """The sets of a chunk's class representatives, in order of row_id."""
+        for whole in batches:
+            text = pc.struct_field(whole.column("doc"), "text").cast(pa.string())
+            for b in by_bytes(whole.append_column("text", text), "text"):
+                one, two, size, low = [], [], [], []
+                for t in blobs(b.column("text")):
+                    s = shingle_hashes(t)
+                    one.append(int(mix(s, U64(3)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
+                    two.append(int(np.bitwise_xor.reduce(mix(s, U64(7))).view(np.int64)) if len(s) else 0)
+                    size.append(len(s))
+                    low.append(binary(s[: np.searchsorted(s, BELOW)]))
+                columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), pa.array(low, pa.binary())]
+                yield pa.record_batch([b.column("row_id"), b.column("doc"), *columns], ["row_id", "doc", *names])
+
+    return stored(rows.mapInArrow(run, schema), "identified")
 
-    def __init__(self, table: pa.Table, nodes: pa.Table):
-        wanted = set(nodes.column("node").to_pylist())
-        rows = sorted((r, t or "") for r, t in zip(table.column("row_id").to_pylist(), table.column("text").to_pylist()) if r in wanted)
-        self.nodes = [r for r, _ in rows]
-        self.sets = [shingle_hashes(t.encode()) for _, t in rows]
-        low = [s[: np.searchsorted(s, BELOW)] for s in self.sets]
-        self.low_sizes = [len(x) for x in low]
-        self.keys, self.place = np.unique(np.concatenate(low) if low else np.empty(0, U64), return_inverse=True)
 
-
-def counted_keys(parts: int):
-    """Chunk -> the counted shingles of its classes, once each with how many classes have it (at most 255)."""
-
-    def run(table: pa.Table, nodes: pa.Table) -> pa.Table:
-        s = Sets(table, nodes)
-        chunk = (table if table.num_rows else nodes).column("chunk")[0].as_py()
-        times = np.minimum(np.bincount(s.place, minlength=len(s.keys)), 255).astype(np.uint8)
-        rows = [{"chunk": chunk, "part": p, "keys": binary(s.keys[at]), "times": binary(times[at])} for p, at in _by_part(_part(s.keys, parts))]
-        return pa.Table.from_pylist(rows, _schema(KEYS + ", times binary"))
-
-    return run
-
-
-def key_flags(table: pa.Table) -> pa.Table:
-    """Key range -> for each chunk's keys 0, 1 or 2: in one class, in more, in more than COMMON."""
-    keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-    times = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("times").to_pylist()])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, times)
-    flags = np.split(((total > 1).astype(np.uint8) + (total > COMMON))[place].astype(np.uint8), np.cumsum([len(x) for x in keys])[:-1])
-    return pa.table([table.column("chunk"), table.column("part"), pa.array([binary(x) for x in flags], pa.binary())], _schema(FLAGS))
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return part_of(keys << U64(2), parts)  # low shingles all have their top bits clear
 
 
-CANDIDATES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-LISTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("common", pa.int32()), ("shared", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+def low_keys(parts: int):
+    """Classes' low shingles -> (key, class) by key range, each key once a batch: class 0 says that the batch has several.
 
+    Those several are counted here, in rows of part < 0 that hold classes and their counts."""
 
-def candidates(parts: int):
-    """Chunk, its classes and the flags of their counted keys -> the classes that can have a similar one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sent, keys, owners, gathered = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal sent, keys, owners, gathered
+            k, o = np.concatenate(keys), np.repeat(np.array(owners, np.int64), [len(x) for x in keys])
+            order = np.lexsort((o, k))
+            k, o = k[order], o[order]
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
+            k, o = k[new], o[new]
+            head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            several = np.diff(np.append(head, len(k))) > 1
+            names, counts = np.unique(o[np.repeat(several, np.diff(np.append(head, len(k))))], return_counts=True)
+            k, o = k[head], np.where(several, 0, o[head])
+            batch = (task << 24) + sent
+            out = [{"part": p, "batch": batch, "keys": binary(k[at]), "owners": binary(o[at])} for p, at in _by_part(_part(k, parts))]
+            out.append({"part": -1 - batch % parts, "batch": batch, "keys": binary(names), "owners": binary(counts.astype(np.int64))})
+            sent, keys, owners, gathered = sent + 1, [], [], 0
+            return pa.RecordBatch.from_pylist(out, _schema(KEYS))
 
-    def run(table: pa.Table, more: pa.Table) -> pa.Table:
-        s = Sets(table, more.filter(more.column("flags").is_null()))
-        flags = _told(s.keys, more, parts)
-        of_low, at, rows = flags[s.place], 0, []
-        for node, shingles, low in zip(s.nodes, s.sets, s.low_sizes):
-            alone, at = int((of_low[at : at + low] == 0).sum()), at + low
-            if len(shingles) - alone >= needed(len(shingles)):
-                rows.append({"node": node, "shingles": shingles.view(np.int64)})
-        return pa.Table.from_pylist(rows, CANDIDATES)
+        for b in batches:
+            for name, low in zip(b.column("one").to_pylist(), b.column("low").to_pylist()):
+                if low:
+                    keys.append(np.frombuffer(low, U64))
+                    owners.append(name)
+                    gathered += len(keys[-1])
+                if gathered > GATHERED:
+                    yield rows()
+        if keys:
+            yield rows()
 
     return run
 
 
-def _told(keys: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
-    by_part = {p: f for p, f in zip(replies.column("part").to_pylist(), replies.column("flags").to_pylist()) if f is not None}
-    flags = np.zeros(len(keys), np.uint8)
-    for p, at in _by_part(_part(keys, parts)):
-        flags[at] = np.frombuffer(by_part[p], np.uint8)
-    return flags
+def shared_counts(table: pa.Table) -> pa.Table:
+    """Key range -> one, batch, n: how many of a class's shingles in a batch some other class has."""
+    keys, owners = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("keys", U64), ("owners", np.int64)))
+    batch = np.repeat(table.column("batch").to_numpy(), [len(x) for x in keys])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    if table.column("part")[0].as_py() < 0:
+        names, counts = keys.view(np.int64), owners
+    else:
+        order = np.argsort(keys, kind="stable")
+        owners, batch, keys = owners[order], batch[order], keys[order]
+        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        several = np.minimum.reduceat(owners, head) != np.maximum.reduceat(owners, head)
+        there = np.repeat(several, np.diff(np.append(head, len(keys)))) & (owners != 0)
+        owners, batch = owners[there], batch[there]
+        order = np.lexsort((batch, owners))
+        owners, batch = owners[order], batch[order]
+        head = np.flatnonzero(np.concatenate(([True], (owners[1:] != owners[:-1]) | (batch[1:] != batch[:-1])))) if len(owners) else np.empty(0, np.int64)
+        names, counts, batch = owners[head], np.diff(np.append(head, len(owners))), batch[head]
+    return pa.table([pa.array(names, pa.int64()), pa.array(batch, pa.int64()), pa.array(counts, pa.int64())], ["one", "batch", "n"])
+
+
+def ranges(df: DataFrame, shingles: Column) -> int:
+    """Number of key ranges or chunks that hold GATHERED shingles each, whatever the number and length of documents."""
+    total = df.agg(F.sum(shingles).alias("n")).first().n or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // GATHERED))
+
+
+def candidate_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, copies, shingles of the classes that can have a similar one, stored."""
+    full = rows.filter("size > 0").select("one", "low")
+    keys = full.mapInArrow(low_keys(ranges(full, F.octet_length("low") / 8)), KEYS)
+    counts = keys.groupBy("part").applyInArrow(shared_counts, "one long, batch long, n long").groupBy("one", "batch").agg(F.sum("n").alias("n")).groupBy("one").agg(F.max("n").alias("n"))
+    left = classes.join(counts, "one", "left").filter("n_low - coalesce(n, 0) <= size - (4 * size + 4) div 5")
+    left = stored(left.select("node", "copies"), "left")
+    near = F.broadcast(left) if left.count() <= BROADCAST else left
+    texts = rows.select(F.col("row_id").alias("node"), F.col("doc.text").cast("string").alias("text")).join(near, "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_bytes(whole, "text"):
+                sets = [shingle_hashes(t).view(np.int64) for t in blobs(b.column("text"))]
+                yield pa.record_batch([b.column("node"), b.column("copies"), pa.array(sets, pa.list_(pa.int64()))], ["node", "copies", "shingles"])
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return part_of(keys << U64(2), parts)  # counted keys all have their top bits clear
+    return stored(texts.select("node", "copies", "text").mapInArrow(run, "node long, copies long, shingles array<long>"), "sets")
 
 
-def _unpacked(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+def _unpacked(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
     t = table.sort_by("node")
-    return t.column("node").to_pylist(), [np.asarray(x.values).view(U64) for x in t.column("shingles").combine_chunks()]
+    return t, [np.asarray(x.values).view(U64) for x in t.column("shingles").combine_chunks()]
 
 
-def all_keys(parts: int):
-    """Chunk of candidates -> all their shingles, once each with how many of the candidates have it (at most 255)."""
+def chunk_keys(parts: int):
+    """Chunk of classes -> all their shingles, once each, with how many of the classes have it (at most 255)."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, times = np.unique(np.concatenate(_unpacked(table)[1]), return_counts=True)
         chunk, times = table.column("chunk")[0].as_py(), np.minimum(times, 255).astype(np.uint8)
-        return pa.Table.from_pylist([{"chunk": chunk, "part": p, "keys": binary(keys[at]), "times": binary(times[at])} for p, at in _by_part(_part(keys, parts))], _schema(KEYS + ", times binary"))
+        rows = [{"chunk": chunk, "part": p, "keys": binary(keys[at]), "times": binary(times[at])} for p, at in _by_part(_part(keys, parts))]
+        return pa.Table.from_pylist(rows, _schema("chunk int, part int, keys binary, times binary"))
 
     return run
 
 
+def total_times(table: pa.Table) -> pa.Table:
+    """Key range -> for each chunk's keys, how many classes have it (at most 255)."""
+    keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("times").to_pylist()])
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.minimum(np.bincount(place, times), 255).astype(np.uint8)[place]
+    said = [binary(x) for x in np.split(total, np.cumsum([len(x) for x in keys])[:-1])]
+    return pa.table([table.column("chunk"), table.column("part"), pa.array(said, pa.binary())], _schema(TIMES))
+
+
+LISTS = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("size", pa.int32()), ("alone", pa.int32()), ("heads", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+
+
 def index_entries(parts: int):
-    """Chunk of candidates and flags of all their shingles -> SETS rows of those that can still have a similar one."""
+    """Chunk of classes and the times of their shingles -> LISTS of those that can still have a similar one: the number
+    of shingles that are their own, the first HEADS others by hash, and the others of the prefix, rarest first."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_pylist([], LISTS)
-        nodes, sets = _unpacked(table)
+        t, sets = _unpacked(table)
         keys, place = np.unique(np.concatenate(sets), return_inverse=True)
-        flags, at, rows = _told(keys, replies, parts)[place], 0, []
-        for node, shingles in zip(nodes, sets):
+        by_part, times = dict(zip(replies.column("part").to_pylist(), replies.column("times").to_pylist())), np.zeros(len(keys), np.uint8)
+        for p, at in _by_part(_part(keys, parts)):
+            times[at] = np.frombuffer(by_part[p], np.uint8)
+        times, at, rows = times[place], 0, []
+        for node, copies, shingles in zip(t.column("node").to_pylist(), t.column("copies").to_pylist(), sets):
             n = len(shingles)
-            kind, at = flags[at : at + n], at + n
-            shared, common = shingles[kind == 1], shingles[kind == 2]
-            if len(shared) + len(common) < needed(n):
-                continue
-            rest = common[: max(n - needed(n) + 1 - (n - len(common)), 0)]
-            rows.append({"node": node, "size": n, "common": len(common), "shared": shared.view(np.int64), "rest": rest.view(np.int64)})
+            often, at = times[at : at + n], at + n
+            shared = shingles[often > 1]
+            alone = n - len(shared)
+            if len(shared) >= needed(n):
+                prefix = shared[np.argsort(often[often > 1], kind="stable")][: n - needed(n) + 1 - alone]
+                rows.append({"node": node, "copies": copies, "size": n, "alone": alone, "heads": shared[:HEADS].view(np.int64), "prefix": prefix.view(np.int64)})
         return pa.Table.from_pylist(rows, LISTS)
 
     return run
 
 
-def recounted(found: DataFrame) -> DataFrame:
-    """SETS of candidates (node, shingles), every shingle counted among them: what a candidate shares with others only
-    can't make it similar to anything."""
-    n = found.count()
-    parts, chunks = parts_for(found.sparkSession, n), max(1, -(-n // 1000))
-    rows = found.select(F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"), "node", "shingles").repartition("chunk")
-    keys = rows.groupBy("chunk").applyInArrow(all_keys(parts), KEYS + ", times binary")
-    flags = keys.groupBy("part").applyInArrow(key_flags, FLAGS)
-    return rows.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(index_entries(parts), SETS)
+def listed(sets: DataFrame) -> DataFrame:
+    """LISTS of the classes of `sets`, every shingle counted among them, stored."""
+    parts = ranges(sets, F.size("shingles"))
+    rows = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).repartition(parts, "chunk")
+    keys = rows.groupBy("chunk").applyInArrow(chunk_keys(parts), "chunk int, part int, keys binary, times binary")
+    times = keys.groupBy("part").applyInArrow(total_times, TIMES)
+    found = rows.groupBy("chunk").cogroup(times.groupBy("chunk")).applyInArrow(index_entries(parts), "node long, copies long, size int, alone int, heads array<long>, prefix array<long>")
+    return stored(found, "lists")
+
+
+def followers(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, copies, leader, length, cost, items of every class in a group, the leader's own row included, stored."""
+    # in each list the class with the fewest shingles of its own leads: it is the likeliest to be what others were made of
+    heads = lists.select("node", F.struct("alone", F.xxhash64("node").alias("h"), "node").alias("rank"), F.explode("heads").alias("key"))
+    leads = heads.groupBy("key").agg(F.min("rank").alias("lead"))
+    asked = heads.join(leads, "key").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    choice = stored(asked.groupBy("node").agg(F.min(F.struct(-F.col("n"), "lead")).alias("best")).select("node", F.col("best.lead.node").alias("leader")), "choice")
+    # who chose a follower goes on to that one's leader
+    further = choice.select(F.col("node").alias("leader"), F.col("leader").alias("further"))
+    roots = choice.filter("node = leader").select(F.col("node").alias("leader"))
+    chosen = choice.join(further, "leader").select("node", F.col("further").alias("leader")).filter("node <> leader").join(roots, "leader", "left_semi")
+    own = sets.select("node", "copies", F.col("shingles").alias("own"))
+    led = chosen.join(own, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("lead")), "leader")
+    apart = led.select("node", "copies", "leader", F.size("lead").alias("length"), F.size("own").alias("size"), F.array_except("lead", "own").alias("lacks"), F.array_except("own", "lead").alias("besides"))
+    cost = (5 * F.size("lacks") + 4 * F.size("besides")).alias("cost")
+    members = apart.filter(100 * (F.col("length") - F.size("lacks")) >= FOLLOWS * (F.col("length") + F.size("besides"))).select("node", "copies", "leader", "length", cost, F.concat("lacks", "besides").alias("items"))
+    members = stored(members, "members")
+    heads_of = members.select(F.col("leader").alias("node"), "length").distinct().join(lists.select("node", "copies"), "node")
+    itself = heads_of.select("node", "copies", F.col("node").alias("leader"), "length", F.lit(0).alias("cost"), F.array().cast("array<bigint>").alias("items"))
+    return stored(members.unionByName(itself), "groups")
+
+
+def certain_links(groups: DataFrame) -> DataFrame:
+    """node, n: the copies of other classes of its group that cost(x) + cost(y) <= length links to it.
+
+    Sums run over a group's distinct costs, of which no more than the leader's length matter, not over its members."""
+    costs = groups.filter("cost <= length").groupBy("leader", "length", "cost").agg(F.sum("copies").alias("w"))
+    points = costs.select("leader", F.col("cost").alias("at"), F.lit(0).alias("ask"), "w", F.lit(None).cast("int").alias("cost"))
+    asks = costs.select("leader", (F.col("length") - F.col("cost")).alias("at"), F.lit(1).alias("ask"), F.lit(0).cast("long").alias("w"), "cost")
+    so_far = F.sum("w").over(Window.partitionBy("leader").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0))
+    sums = points.unionByName(asks).withColumn("sum", so_far).filter("ask = 1").select("leader", "cost", "sum")
+    own = F.when(2 * F.col("cost") <= F.col("length"), F.col("copies")).otherwise(0)
+    return groups.join(sums, ["leader", "cost"]).select("node", (F.col("sum") - own).alias("n"))
+
+
+def list_pairs(entries: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in a common list that `condition` (on x.* and y.*) allows.
+
+    entries: `keys`, node, band, lo, hi and what the condition reads. x meets the y of its list whose band is from x's lo
+    to its hi; other blocks of the list are skipped. A block of over SPLIT rows is split by y into several tasks."""
+    entries = stored(entries, "entries")
+    blocks = entries.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).withColumn("salts", F.ceil(F.col("n") / SPLIT).cast("int")).drop("n")
+    x = entries.filter("lo <= hi").withColumn("band_of", F.explode(F.sequence("lo", "hi")))
+    y = entries
+    by = [*keys, "band_of"]
+    if blocks.limit(1).count():
+        blocks = stored(blocks, "blocks").withColumnRenamed("band", "band_of")
+        x = x.join(blocks, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        y = y.withColumn("band_of", F.col("band")).join(blocks, by, "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int"))
+        by = [*by, "salt"]
+    else:
+        y = y.withColumn("band_of", F.col("band"))
+    same = reduce(lambda c, k: c & (F.col(f"x.{k}") == F.col(f"y.{k}")), by, F.lit(True))
+    met = x.alias("x").join(y.alias("y"), same & condition)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def group_links(groups: DataFrame) -> DataFrame:
+    """Links (a, b) of followers of one leader with cost(a) + cost(b) > length: they share differences."""
+    highest = groups.groupBy("leader").agg(F.max("cost").alias("highest"))
+    open_ = groups.join(highest, "leader").filter("cost + highest > length and cost > 0").drop("highest", "copies")
+    items = open_.select("leader", "node", "length", "cost", F.explode("items").alias("item"))
+    times = items.groupBy("leader", "item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    ranked = items.join(times, ["leader", "item"]).groupBy("leader", "node", "length", "cost").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("ranked"))
+    # a partner shares at least one difference, and (cost - length) / 5 of them, as its own cost is 4 a difference at least
+    least = F.greatest(F.lit(1), F.expr("(cost - length + 4) div 5")).cast("int")
+    ranked = stored(ranked.withColumn("least", least).filter("size(ranked) >= least"), "ranked")
+    rest, width = F.size("ranked") - F.col("at"), F.greatest(F.expr("length div 8"), F.lit(1))
+    entries = ranked.select("*", F.posexplode(F.expr("slice(ranked, 1, size(ranked) - least + 1)")).alias("at", "e")).select("leader", F.col("e.item").alias("item"), "node", "length", "cost", rest.alias("rest"), width.alias("width"))
+    band = lambda c: F.floor(c / F.col("width")).cast("int")
+    low, high = F.greatest(F.col("length") - F.col("cost") + 1, F.lit(0)), F.least(F.col("cost"), F.col("length") - F.col("cost") + 9 * F.col("rest"))
+    entries = entries.select("leader", "item", "node", "length", "cost", "rest", band(F.col("cost")).alias("band"), band(low).alias("lo"), band(high).alias("hi"))
+    lower = F.struct("y.cost", "y.node") < F.struct("x.cost", "x.node")
+    over = F.col("x.cost") + F.col("y.cost") - F.col("x.length")
+    pairs = list_pairs(entries, ["leader", "item"], lower & (over > 0) & (9 * F.least("x.rest", "y.rest") >= over))
+    own = lambda c: ranked.select(F.col("node").alias(c), "length", F.col("cost").alias(f"{c}_cost"), F.col("ranked.item").alias(f"{c}_items"))
+    both = pairs.join(own("a"), "a").join(own("b").drop("length"), "b")
+    return both.filter(F.col("a_cost") + F.col("b_cost") <= F.col("length") + 9 * F.size(F.array_intersect("a_items", "b_items"))).select("a", "b")
 
 
 def similar(overlap: Column, a: Column, b: Column) -> Column:
-    return 100 * overlap >= 80 * (a + b - overlap)
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with `linked`, from whole sets."""
+    return 180 * overlap >= 80 * (a + b)
+
+
+def cross_links(lists: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that follow different leaders, or none."""
+    of = lists.join(groups.select("node", "leader"), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
+    entries = of.select("node", "leader", "size", "alone", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("alone"))
+    mixed = entries.groupBy("key").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).filter("low <> high").select("key")
+    band = lambda c: F.floor(F.log(c) / float(np.log(1.25))).cast("int")
+    # x meets y of its size at most; from its place on it has size - at shingles, which bounds the size of y
+    most = F.least(F.col("size"), F.expr("(100 * size - 180 * at) div 80"))
+    hi = F.when(most >= F.expr("(4 * size + 4) div 5"), band(F.greatest(most, F.lit(1)))).otherwise(-1)
+    entries = entries.join(mixed, "key", "left_semi").select("key", "node", "leader", "size", "at", band(F.col("size")).alias("band"), band(F.expr("(4 * size + 4) div 5")).alias("lo"), hi.alias("hi"))
+    lower = F.struct("y.size", "y.node") < F.struct("x.size", "x.node")
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    pairs = list_pairs(entries, ["key"], (F.col("x.leader") != F.col("y.leader")) & lower & similar(left, F.col("x.size"), F.col("y.size")))
     own = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
-    return both.select("a", "b", similar(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set")).alias("linked"))
-
-
-def possible(pairs: DataFrame, lists: DataFrame, overlap: str | None = None) -> DataFrame:
-    """pairs (a, b) that can still be similar by the uncommon shingles they share plus all common ones. `overlap` names
-    the column of that count; without it, it is taken from the lists."""
-    own = lambda c: lists.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "common", *([] if overlap else ["shared"]))])
     both = pairs.join(own("a"), "a").join(own("b"), "b")
-    few = F.col(overlap) if overlap else F.size(F.array_intersect("a_shared", "b_shared"))
-    return both.filter(similar(few + F.least("a_common", "b_common"), F.col("a_size"), F.col("b_size"))).select("a", "b")
-
-
-def labelled(rows: DataFrame, verified: DataFrame | None) -> DataFrame:
-    """rows (node, ...) with label and weight, the least node of its component so far and how many nodes that has."""
-    if verified is None:
-        return rows.withColumn("label", F.col("node")).withColumn("weight", F.lit(1).cast("long"))
-    labels = components(verified.filter("linked"))
-    out = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-    return out.join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
-
-
-def mixed_keys(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-
-
-def class_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the classes that similar pairs connect. lists: SETS; sets: node, shingles."""
-    alone = (F.col("size") - F.col("common") - F.size("shared")).alias("alone")
-    first_keys = F.concat(F.slice("shared", 1, LEADING), F.slice("rest", 1, LEADING))
-    heads = stored(lists.select("node", "size", alone, F.explode(first_keys).alias("key")), "heads")
-
-    verified = None
-    for k in range(LEADER_ROUNDS):
-        rows = labelled(heads, verified)
-        # the class with the fewest shingles of its own leads; in later rounds one of those, by chance
-        rank = F.struct("alone", "node") if k == 0 else F.struct("alone", F.xxhash64("node", "key", F.lit(k)).alias("h"))
-        lead = rows.groupBy("key").agg(F.min_by(F.struct("node", "label", "size", "weight"), rank).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "lead")
-        asks = F.lit(True) if k == 0 else F.struct("weight", "label") < F.struct(F.col("lead.weight"), F.col("lead.label"))
-        asked = rows.join(lead, "key").filter("label <> lead.label and 4 * greatest(size, lead.size) <= 5 * least(size, lead.size)").filter(asks)
-        ranked = asked.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
-        best = ranked.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", F.col("best.leader").alias("leader"))
-        chosen = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if verified is not None:
-            chosen = chosen.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        near = stored(possible(chosen, lists), "near")
-        new = stored(compared(near, sets), "compared")
-        verified = new if verified is None else stored(verified.unionByName(new), "compared")
-        if not new.filter("linked").limit(1).count():
-            break
-
-    # every pair that is left with different answers: those that share an uncommon shingle, and those that don't
-    labels = stored(labelled(lists.select("node", "size", "common"), verified).drop("weight"), "labels")
-    short = lists.select("node", F.explode("shared").alias("key")).join(labels, "node")
-    short = stored(short.join(mixed_keys(short), "key", "left_semi"), "mixed")
-    one, two = (short.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("node", "label", "size", "common")]) for c in ("a", "b"))
-    apart = one.join(two, "key").filter("a_node < b_node and a_label <> b_label and 4 * greatest(a_size, b_size) <= 5 * least(a_size, b_size)")
-    counted = stored(apart.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).cast("int").alias("n")), "pairs")
-    more = possible(counted, lists, "n").unionByName(long_pairs(lists, labels)).distinct()
-    last = compared(more.join(verified.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    return verified.unionByName(last).filter("linked").select("a", "b")
-
-
-def long_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs with different labels that can be similar by common shingles alone.
-
-    Both then have enough common ones, and meet in the long lists of their prefixes. A list is read by blocks of sizes
-    within a factor of 1.25: a block meets itself and its neighbours only. A pair is skipped if what follows its places,
-    or its common shingles, can't hold enough.
-    """
-    able = labels.filter("5 * common >= 4 * size")
-    key = F.transform("rest", lambda key, k: F.struct(key.alias("key"), (F.col("size") - F.col("common") + k).cast("int").alias("at")))
-    entries = lists.select("node", F.explode(key).alias("e")).select("node", "e.key", "e.at").join(able, "node")
-    entries = stored(entries.join(mixed_keys(entries), "key", "left_semi"), "long").withColumn("block", F.floor(F.log(F.col("size")) / float(np.log(1.25))))
-    kept = ("node", "size", "common", "at", "label")
-    one = entries.select("key", "block", *[F.col(c).alias(f"x_{c}") for c in kept])
-    two = entries.select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in kept])
-    bound = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"), F.col("x_common"), F.col("y_common"))
-    met = one.join(two, ["key", "block"]).filter("x_label < y_label").filter(similar(bound, F.col("x_size"), F.col("y_size")))
-    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return both.filter(similar(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b")
+
+
+def linked_classes(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, label (the least node of its component), links: how many documents outside its class each class links to."""
+    groups = followers(lists, sets)
+    links = stored(group_links(groups).unionByName(cross_links(lists, groups, sets)), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weights = both.join(lists.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n")).unionByName(certain_links(groups))
+    counted = weights.groupBy("node").agg(F.sum("n").alias("links"))
+    # whoever links to its leader has its label; components join what is left
+    first = stored(lists.select("node").join(groups.filter("cost <= length").select("node", "leader"), "node", "left").withColumn("first", F.coalesce("leader", "node")).drop("leader"), "first")
+    of = lambda c: first.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").filter("a_first <> b_first").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).distinct()
+    further = components(edges).select(F.col("node").alias("first"), "label")
+    return first.join(further, "first", "left").join(counted, "node", "left").select("node", F.coalesce("label", "first").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """Of rows that `identified` stored: row_id, doc_id, n_shingles, component_id, class_id, n_links and component.
+
+    component_id and class_id are the least doc_id of the component and of the equal sets; component numbers components,
+    whatever the ids. n_links counts the other documents that the document links to."""
+    one = rows.select("row_id", F.col("doc.doc_id").cast("long").alias("doc_id"), "one", "two", "size", (F.octet_length("low") / 8).cast("int").alias("n_low"))
+    equal = one.filter("size > 0").groupBy("one", "two", "size").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("n_low").alias("n_low"))
+    classes = stored(equal, "classes")
+    sets = candidate_sets(rows, classes)
+    found = classes.join(linked_classes(listed(sets), sets), "node", "left").withColumn("component", F.coalesce("label", "node"))
+    least = found.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    found = found.join(least, "component").select("one", "two", "size", "component", "component_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = one.join(found, ["one", "two", "size"], "left")
+    alone = F.col("size") == 0
+    return full.select(
+        "row_id", "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "row_id").alias("component"),
+    )
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class_id, the least doc_id with an equal set, of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks, n = in_chunks(rows, ["doc_id", "text"])
-    parts, count = parts_for(spark, n), max(1, -(-n // 1000))
-    named = stored(named_sets(rows.withColumn("row_id", F.monotonically_increasing_id())), "named")
-    classes = stored(named.filter("size > 0").groupBy("one", "two", "size").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least")), "classes")
-    nodes = classes.select(F.pmod(F.xxhash64("node"), F.lit(count)).cast("int").alias("chunk"), "node")
-    keys = chunks.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInArrow(counted_keys(parts), KEYS + ", times binary")
-    flags = keys.groupBy("part").applyInArrow(key_flags, FLAGS)
-    more = flags.withColumn("node", F.lit(None).cast("long")).unionByName(nodes.selectExpr("chunk", "cast(null as int) part", "cast(null as binary) flags", "node"))
-    sets = stored(chunks.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(candidates(parts), "node long, shingles array<long>"), "sets")
-    labels = components(class_links(stored(recounted(sets), "lists"), sets))
-    joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = joined.join(least, "label").select("one", "two", "size", F.col("least").alias("class_id"), "component_id")
-    full = named.join(found, ["one", "two", "size"], "left")
-    return full.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    """doc_id, n_shingles, component_id, class_id and n_links of every document."""
+    return groups_of(identified(docs.select("doc_id", "text"))).drop("row_id", "component")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each component: the one with the least doc_id, of equal ids the first row; null comes last."""
+    rows = identified(docs)
+    found = stored(groups_of(rows).select("row_id", "doc_id", "component"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
+    kept = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min_by("row_id", order).alias("kept")).filter("n > 1")
+    gone = stored(found.join(kept, "component").filter("row_id <> kept").select("row_id"), "copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    return rows.select("row_id", "doc").join(side, "row_id", "left_anti").select("doc.*")

@@ -51,9 +51,10 @@ n AS (SELECT rid, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS name
 cls AS (SELECT rid, min(doc_id) OVER (PARTITION BY name) AS class_id FROM n JOIN d USING (rid)),
 o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.rid <> b.rid GROUP BY 1, 2),
 link AS (SELECT a, b FROM o JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+links AS (SELECT a AS rid, count(*) AS n_links FROM link GROUP BY a),
 reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
-SELECT e.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(f.doc_id) AS component_id, coalesce(any_value(cls.class_id), e.doc_id) AS class_id
-FROM reach JOIN d e ON e.rid = reach.a JOIN d f ON f.rid = reach.b LEFT JOIN n ON n.rid = e.rid LEFT JOIN cls ON cls.rid = e.rid GROUP BY e.rid, e.doc_id
+SELECT e.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(f.doc_id) AS component_id, coalesce(any_value(cls.class_id), e.doc_id) AS class_id, coalesce(any_value(links.n_links), 0) AS n_links
+FROM reach JOIN d e ON e.rid = reach.a JOIN d f ON f.rid = reach.b LEFT JOIN n ON n.rid = e.rid LEFT JOIN cls ON cls.rid = e.rid LEFT JOIN links ON links.rid = e.rid GROUP BY e.rid, e.doc_id
 """
 
 SQL = {"op1_decontamination": OP1, "op4_secrets": secrets.SQL, "op5_chat_format": OP5, "op7_substring_dedup": OP7, "op10_jaccard_join": OP10}
