@@ -128,24 +128,31 @@ def low_keys(parts: int):
 
 
 def shared_counts(table: pa.Table) -> pa.Table:
-    """Key range -> one, batch, n: how many of a class's shingles in a batch some other class has."""
+    """Key range -> batch, keys (classes), owners (counts): how many of a class's shingles in a batch others have."""
+    if table.column("part")[0].as_py() < 0:
+        return table.select(["batch", "keys", "owners"])
     keys, owners = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("keys", U64), ("owners", np.int64)))
     batch = np.repeat(table.column("batch").to_numpy(), [len(x) for x in keys])
     keys, owners = np.concatenate(keys), np.concatenate(owners)
-    if table.column("part")[0].as_py() < 0:
-        names, counts = keys.view(np.int64), owners
-    else:
-        order = np.argsort(keys, kind="stable")
-        owners, batch, keys = owners[order], batch[order], keys[order]
-        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        several = np.minimum.reduceat(owners, head) != np.maximum.reduceat(owners, head)
-        there = np.repeat(several, np.diff(np.append(head, len(keys)))) & (owners != 0)
-        owners, batch = owners[there], batch[there]
-        order = np.lexsort((batch, owners))
-        owners, batch = owners[order], batch[order]
-        head = np.flatnonzero(np.concatenate(([True], (owners[1:] != owners[:-1]) | (batch[1:] != batch[:-1])))) if len(owners) else np.empty(0, np.int64)
-        names, counts, batch = owners[head], np.diff(np.append(head, len(owners))), batch[head]
-    return pa.table([pa.array(names, pa.int64()), pa.array(batch, pa.int64()), pa.array(counts, pa.int64())], ["one", "batch", "n"])
+    order = np.argsort(keys, kind="stable")
+    owners, batch, keys = owners[order], batch[order], keys[order]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    several = np.minimum.reduceat(owners, head) != np.maximum.reduceat(owners, head)
+    there = np.repeat(several, np.diff(np.append(head, len(keys)))) & (owners != 0)
+    owners, batch = owners[there], batch[there]
+    batches, place = np.unique(batch, return_inverse=True)
+    rows = []
+    for k, at in _by_part(place):
+        names, counts = np.unique(owners[at], return_counts=True)
+        rows.append({"batch": int(batches[k]), "keys": binary(names), "owners": binary(counts.astype(np.int64))})
+    return pa.Table.from_pylist(rows, _schema("batch long, keys binary, owners binary"))
+
+
+def batch_counts(table: pa.Table) -> pa.Table:
+    """Batch -> one, n: its classes' counts over all key ranges."""
+    names, counts = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "owners"))
+    names, place = np.unique(names, return_inverse=True)
+    return pa.table([pa.array(names), pa.array(np.bincount(place, counts, len(names)).astype(np.int64))], ["one", "n"])
 
 
 def ranges(df: DataFrame, shingles: Column) -> int:
@@ -158,7 +165,9 @@ def candidate_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """node, copies, shingles of the classes that can have a similar one, stored."""
     full = rows.filter("size > 0").select("one", "low")
     keys = full.mapInArrow(low_keys(ranges(full, F.octet_length("low") / 8)), KEYS)
-    counts = keys.groupBy("part").applyInArrow(shared_counts, "one long, batch long, n long").groupBy("one", "batch").agg(F.sum("n").alias("n")).groupBy("one").agg(F.max("n").alias("n"))
+    told = keys.groupBy("part").applyInArrow(shared_counts, "batch long, keys binary, owners binary")
+    # a class with copies may be in several batches: each has its whole count
+    counts = told.groupBy("batch").applyInArrow(batch_counts, "one long, n long").groupBy("one").agg(F.max("n").alias("n"))
     left = classes.join(counts, "one", "left").filter("n_low - coalesce(n, 0) <= size - (4 * size + 4) div 5")
     left = stored(left.select("node", "copies"), "left")
     near = F.broadcast(left) if left.count() <= BROADCAST else left
@@ -298,8 +307,8 @@ def list_pairs(entries: DataFrame, keys: list[str], condition: Column) -> DataFr
 
 def group_links(groups: DataFrame) -> DataFrame:
     """Links (a, b) of followers of one leader with cost(a) + cost(b) > length: they share differences."""
-    highest = groups.groupBy("leader").agg(F.max("cost").alias("highest"))
-    open_ = groups.join(highest, "leader").filter("cost + highest > length and cost > 0").drop("highest", "copies")
+    highest = stored(groups.groupBy("leader").agg(F.max("cost").alias("highest")), "highest")
+    open_ = groups.join(F.broadcast(highest) if highest.count() <= BROADCAST else highest, "leader").filter("cost + highest > length and cost > 0").drop("highest", "copies")
     items = open_.select("leader", "node", "length", "cost", F.explode("items").alias("item"))
     times = items.groupBy("leader", "item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     ranked = items.join(times, ["leader", "item"]).groupBy("leader", "node", "length", "cost").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("ranked"))
