@@ -45,11 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete this process's stored tables, once the results that read them are written."""
-    while STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(STORED.pop())
+def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete stored tables of this process, all or those of `paths`, once the results that read them are written."""
+    for at in list(STORED) if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        STORED.remove(at)
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
@@ -125,22 +126,37 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def in_chunks(docs: DataFrame, columns: list[str], per_chunk: int = 1000) -> tuple[DataFrame, int]:
-    """Rows of `columns` plus row_id and chunk, dealt out by chunk; also the number of documents.
+def stable(docs: DataFrame) -> DataFrame:
+    """docs whose rows come in the same parts and order at every reading, so that numbers given to them hold: as they
+    are if they are a plain scan of files, else written once."""
+
+    def plain(plan) -> bool:
+        children = [plan.children().apply(k) for k in range(plan.children().size())]
+        return plan.nodeName() == "LogicalRelation" or plan.nodeName() in ("Project", "Filter") and all(map(plain, children))
+
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return docs if plan.deterministic() and plain(plan) else stored(docs, "rows")
 
-    A chunk holds about per_chunk documents whichever their ids, so one source or key can't fill it. Two passes
-    over the result share one shuffle.
-    """
-    n = docs.count()
-    chunks = max(1, -(-n // per_chunk))
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias("row_id"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int"))
-    return rows.repartition("chunk"), n
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Every row of docs once, stored: row_id and doc, its columns."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row_id"), columns), "numbered")
 
-def parts_for(spark: SparkSession, n_docs: int) -> int:
-    """Number of key ranges: each stays within some MB however large the input."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // 4000))
+
+def in_chunks(docs: DataFrame, per_chunk: int = 1000, most: int = 16 << 20) -> tuple[DataFrame, int, int]:
+    """row_id, chunk, doc_id and text of docs, dealt out by chunk; the number of documents; a number of key ranges.
+
+    A chunk holds about per_chunk documents, or fewer of `most` bytes together, whichever their ids, so one source or
+    key can't fill it; a single text may be longer. Two passes over the result share one shuffle.
+    """
+    spark = docs.sparkSession
+    rows = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    chunks = max(1, -(-size.n // per_chunk), -(-size.bytes // most))
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.n // 4000), -(-size.bytes // most))
+    return rows.repartition("chunk"), size.n, parts
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

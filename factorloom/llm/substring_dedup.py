@@ -8,7 +8,9 @@ shares every symbol whose context lies inside the window, so a window with a sym
 corpus can't repeat. Windows that are left, those without any such symbol among them, are verified by 128-bit names
 of their whole word sequence.
 
-Spark moves text once, by chunk, and names twice, by key range: chunk -> key range (count) -> chunk.
+Spark moves text once, by chunk, and names twice, by key range: chunk -> key range (count) -> chunk. Naming needs no
+round trips: a round's names are hashes of what they stand for, so every task that applies the round gives the same
+names, and the rounds' outcome, counts and verification are what moves between tasks.
 
 Defined cases: a null, empty or short text (fewer words than a window) keeps all its words. Equal rows, with equal
 doc_id or not, are separate texts and so repeats of each other. Only doc_id and text are read; other columns may have
@@ -23,9 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from factorloom.llm.common import U64, binary, blobs, block_hash, in_chunks, mix, part_of, parts_for, word_hashes
+from factorloom.llm.common import U64, binary, blobs, block_hash, in_chunks, mix, part_of, word_hashes
 
 #: Rounds after which a symbol's context is about 17 words, well inside a window of 35.
 ROUNDS = 6
@@ -224,8 +225,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words (and those words as kept_text, if text is set)."""
-    chunks, n = in_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id", "text"])
-    parts = parts_for(docs.sparkSession, n)
+    chunks, _, parts = in_chunks(docs)
     keys = chunks.groupBy("chunk").applyInArrow(symbol_keys(window, parts), KEYS)
     flags = keys.groupBy("part").applyInArrow(shared_keys, FLAGS)
     windows = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(open_windows(window, parts), WINDOWS)
