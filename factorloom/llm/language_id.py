@@ -1,19 +1,19 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF weighted character n-grams.
 
-Features are hashed byte n-grams (2 and 3 bytes of the UTF-8 text, A-Z lower-cased), their term frequency is the share
-of the text's n-grams, and the inverse document frequency is counted over all training documents. Weights come from
-follow-the-regularised-leader with L1 and L2 penalties; a temperature fitted on held-back sample rows calibrates the
-probabilities. Only the classifier's fit is bounded: SAMPLE rows a language, in expectation, chosen by a hash of
-doc_id; document frequencies cover every training document.
+Features are hashed n-grams of 2 and 3 characters (code points of the lower-cased text, a space at either end), their
+term frequency is the share of the text's n-grams, and the inverse document frequency is counted over all training
+documents. Weights come from follow-the-regularised-leader with L1 and L2 penalties; a temperature fitted on held-back
+sample rows calibrates the probabilities. Only the classifier's fit is bounded: SAMPLE rows a language, in expectation,
+chosen by a hash of doc_id and text, and the MAX_LANGUAGES commonest labels (of equal counts the first by name), as the
+weights take a column each; a rarer label is never predicted. Document frequencies cover every training document.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0. Rows without lang are never learned from.
 With no labelled row, every text is 'und'. Repeated rows are predicted each for itself; columns other than doc_id,
-text and lang are not read.
+text and lang are not read. Texts of any length are read whole, some ten bytes a character at a time in a task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,36 +23,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import LOWER, blobs, by_bytes, small_batches, trim
+from factorloom.llm.common import blobs, by_bytes, small_batches, trim
 
 BITS = 16
 DIM = 2 * (1 << BITS)
 SAMPLE = 600
-LETTER = re.compile(r"[^\W\d_]")
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def codes_of(text: bytes) -> np.ndarray:
-    """Hashed n-gram features of a text: all byte pairs, then all byte triples."""
-    b = np.frombuffer(text.translate(LOWER), np.uint8).astype(np.uint32)
-    if len(b) < 2:
+    """Hashed n-gram features of a text: all pairs of characters, then all triples."""
+    said = text.decode(errors="replace").lower()
+    if not said:
         return np.empty(0, np.uint32)
-    pairs = b[:-1] * 256 + b[1:]
-    triples = ((pairs[:-1] * 256 + b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    return np.concatenate((pairs, triples + np.uint32(1 << BITS)))
+    c = np.frombuffer(f" {said} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    pairs = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
+    triples = (pairs[:-1] * np.uint32(0x85EBCA6B) + c[2:]) * np.uint32(0xC2B2AE35)
+    return np.concatenate(((pairs * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), (triples >> np.uint32(32 - BITS)) + np.uint32(1 << BITS)))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: A row per feature: IDF times weight, by language.
+    #: A row per feature with any weight, and a last one of zeros: IDF times weight, by language; `row` finds it.
     table: np.ndarray
+    row: np.ndarray
     bias: np.ndarray
     temperature: float
 
     def logits(self, text: bytes) -> np.ndarray:
         at = codes_of(text)
-        return self.bias + (self.table.take(at, axis=0).sum(axis=0) / max(len(at), 1)).astype(np.float64)
+        return self.bias + (self.table.take(self.row[at], axis=0).sum(axis=0) / max(len(at), 1)).astype(np.float64)
 
     def probabilities(self, text: bytes) -> np.ndarray:
         x = self.logits(text) / self.temperature
@@ -81,14 +86,15 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample_by_language(docs: DataFrame, per_language: int, seed: int = 17) -> DataFrame:
-    """About per_language rows of each language, chosen by a hash of doc_id; all of a rarer language."""
+    """About per_language rows of each language, chosen by a hash of doc_id and text; all of a rarer language."""
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     rates = {r.lang: min(1.0, per_language / r["count"]) for r in counts.collect()}
     if not rates:
         return docs.limit(0)
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(F.col("lang").isin(list(rates)) & (draw < rate)).limit(2 * per_language * len(rates))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.filter(F.col("lang").isin(list(rates)) & (draw < rate))
+    return some.dropDuplicates(["doc_id", "text", "lang"])  # equal rows draw alike
 
 
 def featurise(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
@@ -159,7 +165,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     rows = featurise(sample_by_language(labelled, per_language))
     languages = sorted({r[0] for r in rows})
     if not languages:
-        return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(DIM, np.int32), np.zeros(0), 1.0)
     index = {x: k for k, x in enumerate(languages)}
     gain = 10.0 * idf  # of the share vector, so that FTRL's steps suit it
     held_back = [(doc_id or 0) % 5 == 0 for _, doc_id, _, _ in rows]
@@ -168,7 +174,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     w = ftrl(fit, len(languages), gain)
     held = [r for r, back in zip(ready, held_back) if back]
     logits = np.array([(tf * gain[f]) @ w[f] + w[DIM] for f, tf, _ in held]).reshape(len(held), len(languages))
-    model = Model(languages, (w[:DIM] * gain[:, None]).astype(np.float32), w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
+    used = np.flatnonzero(w[:DIM].any(axis=1))
+    place = np.full(DIM, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    table = np.concatenate((w[used] * gain[used, None], np.zeros((1, len(languages))))).astype(np.float32)
+    model = Model(languages, table, place, w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
     del rows, ready, fit, held, w
     trim()
     return model
@@ -176,7 +186,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs, whatever their columns, with __language and __language_score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM rows by language: a fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DIM rows by MAX_LANGUAGES, less what has no weight
     names = docs.columns
     rows = docs.withColumn("__language_text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("__language", T.StringType()), T.StructField("__language_score", T.DoubleType())])
@@ -187,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for b in by_bytes(batch, "__language_text"):
                 said, scores = [], []
                 for text in blobs(b.column("__language_text")):
-                    if not m.languages or not LETTER.search(text.decode()):
+                    if not m.languages or not has_letter(text.decode(errors="replace")):
                         said.append("und")
                         scores.append(0.0)
                         continue
