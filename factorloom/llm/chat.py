@@ -9,9 +9,11 @@ become one formatted segment a turn, so that no conversation, however long, has
 
 with \\ and <| in roles and texts, and newlines in roles, escaped reversibly. The loss mask covers assistant texts.
 
-Defined cases: null text and null role are empty. Rows that repeat stay, ordered by turn, then role, then text. Records
-of an unknown layout are reported by `unknown_layouts` and give no turns. Additional columns of a table change its
-layout only if they clash with a mapping's own field names; others are ignored.
+Defined cases: null text and null role are empty. Rows that repeat stay, ordered by turn, then role, then text. Rows
+with null conv_id form one conversation. Records of an unknown layout, and those that aren't JSON or are nested too
+deeply to read, are reported by `unknown_layouts` and give no turns. A lone surrogate in a JSON string is no character
+and becomes U+FFFD. Additional columns of a table change its layout only if they clash with a mapping's own field names;
+others are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ class Mapping:
     each: tuple[str, str, str] | None = None
 
 
-#: Declared layouts: paths end in s (string), n (number), b (boolean) or z (null, which matches any kind).
+#: Declared layouts: paths end in s (string or null), n (number) or b (boolean).
 MAPPINGS = [
     Mapping("rows_by_turn", ("role:s", "text:s")),
     Mapping("prompt_completion", ("prompt:s", "completion:s"), (("user", "prompt"), ("assistant", "completion"))),
@@ -59,7 +61,7 @@ MAPPINGS = [
 
 
 def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
@@ -91,16 +93,26 @@ def paths_of_schema(schema: T.StructType) -> list[str]:
 def _said(value: object) -> str:
     if isinstance(value, list):
         return "".join(_said(x.get("text") if isinstance(x, dict) else x) for x in value)
-    return "" if value is None else str(value)
+    return "" if value is None else str(value).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.each:
         field, role, text = mapping.each
-        return [(ROLES.get(_said(x.get(role)), _said(x.get(role))), _said(x.get(text))) for x in record.get(field) or []]
+        return [(ROLES.get(_said(x.get(role)), _said(x.get(role))), _said(x.get(text))) for x in record.get(field) or [] if isinstance(x, dict)]
     return [(role, "\n".join(x for x in (_said(record.get(f)) for f in path.split("+")) if x)) for role, path in mapping.turns]
 
 
+def read_record(text: str | None) -> tuple[Mapping | None, list[tuple[str, str]]]:
+    """The mapping that a JSON record's fingerprint selects, if any, and the record's turns."""
+    try:
+        record = json.loads(text or "")
+        mapping = BY_FINGERPRINT.get(fingerprint(paths_of(record))) if isinstance(record, dict) else None
+        return mapping, turns_of(record, mapping) if mapping else []
+    except (ValueError, RecursionError):
+        return None, []
+
+
 def turns_of_json(records: DataFrame) -> DataFrame:
     """Canonical turns of records (conv_id, record: JSON), each mapped by its own fingerprint; layout names it, or is null."""
 
@@ -108,12 +120,7 @@ def turns_of_json(records: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for conv_id, text in zip(b.column("conv_id").to_pylist(), b.column("record").to_pylist()):
-                try:
-                    record = json.loads(text or "")
-                except ValueError:
-                    record = None
-                mapping = BY_FINGERPRINT.get(fingerprint(paths_of(record))) if isinstance(record, dict) else None
-                said = turns_of(record, mapping) if mapping else []
+                mapping, said = read_record(text)
                 rows += [(conv_id, k, role, words, mapping.name) for k, (role, words) in enumerate(said)] or [(conv_id, None, None, None, mapping and mapping.name)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             columns = list(zip(*rows)) or [[]] * 5
