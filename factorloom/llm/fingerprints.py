@@ -6,8 +6,9 @@ they estimate distinct shingles, resemblance and containment. A sketch of fewer
 estimates are exact there.
 
 Defined cases: null text is empty; two empty sketches have resemblance and containment 1, an empty and a full one 0.
-Documents that share a doc_id follow each other in the order of their texts. An empty table gives an empty result.
-Only doc_id and text are read.
+Documents that share a doc_id follow each other by a hash of their texts, the highest first; null ids come last. The
+last document is followed by the first, a single one by itself. An empty table gives an empty result. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import U64, shingle_hashes, small_batches
+from factorloom.llm.common import U64, binary, shingle_hashes, small_batches
 
 K = 128
 WIDTH = 5
-#: Cuts of doc_id that deal documents out in order; the driver holds these only.
-RANGES = 2048
+#: Bytes of text that a task compares, in expectation; places a task, and sampled documents a place, that deal them out.
+RANGE, PLACES, SAMPLED = 64 << 20, 4, 20
+#: Keys whose sketches a task holds before it sends them on.
+HELD = 20_000
 
 
 def sketch(text: bytes, k: int = K) -> np.ndarray:
@@ -68,31 +71,38 @@ def read(text: str) -> np.ndarray:
 def fingerprints(docs: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """The columns `keys` and the fingerprint of all rows with those keys: parts of a document merge into one.
 
-    Rows merge pairwise by key within tasks first, so that a key with very many parts is no burden for one task.
+    Sketches merge by key within tasks first, so a key with very many parts sends a few sketches only.
     """
     small_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in keys]
+    names = [f.name for f in fields]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
+    def rows(kinds: list[pa.DataType], held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([key[j] for key in held], kind) for j, kind in enumerate(kinds)]
+        return pa.record_batch([*columns, pa.array([binary(x) for x in held.values()], pa.binary())], [*names, "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            hashes = [sketch((t or "").encode(), k).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column(f.name) for f in fields] + [pa.array(hashes, pa.list_(pa.int64()))], [f.name for f in fields] + ["hashes"])
-
-    # unsigned order is signed order once the top bit is turned
-    flipped = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
-    rows = docs.select(*keys, "text").mapInArrow(run, f"{ddl}, hashes array<bigint>")
-    salted = rows.withColumn("salt", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(64)))
-    for by in ([*keys, "salt"], keys):
-        low = salted.select(*by, F.explode_outer("hashes").alias("hash")).groupBy(*by).agg(F.array_sort(F.collect_set(flipped)).alias("hashes"))
-        salted = low.withColumn("hashes", F.transform(F.slice("hashes", 1, k), lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [written(np.array(h, np.int64).view(U64)) for h in b.column("hashes").to_pylist()]
-            yield pa.record_batch([b.column(f.name) for f in fields] + [pa.array(text, pa.string())], [f.name for f in fields] + ["fingerprint"])
-
-    return salted.mapInArrow(spell, f"{ddl}, fingerprint string")
+            kinds = [b.schema.field(n).type for n in names]
+            for *key, text in zip(*(b.column(n).to_pylist() for n in names), b.column("text").to_pylist()):
+                own = sketch((text or "").encode(), k)
+                held[tuple(key)] = merge(held[tuple(key)], own, k) if tuple(key) in held else own
+            if len(held) > HELD:
+                yield rows(kinds, held)
+                held = {}
+        if held:
+            yield rows(kinds, held)
+
+    def merged(table: pa.Table) -> pa.Table:
+        own = np.empty(0, U64)
+        for x in table.column("hashes"):
+            own = merge(own, np.frombuffer(x.as_buffer(), U64), k)
+        return table.select(names).slice(0, 1).append_column("fingerprint", pa.array([written(own)], pa.string()))
+
+    parts = docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{ddl}, hashes binary")
+    return parts.groupBy(*keys).applyInArrow(merged, f"{ddl}, fingerprint string")
 
 
 def edit(text: str, following: str) -> str:
@@ -106,28 +116,45 @@ def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    quantiles = [i / RANGES for i in range(1, RANGES)]
-    cuts = rows.agg(F.percentile_approx("doc_id", quantiles, 20_000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
-    bounds = np.array(cuts, np.int64)
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not size.n:
+        return spark.createDataFrame([], RESULT)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.bytes // RANGE))
+    rate = min(1.0, SAMPLED * PLACES * parts / size.n)
+    some = rows.select("id", "h").filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < rate * (1 << 30)).toArrow()  # some 20 ids a place
+    order = np.sort(sort_keys(some.column("id").to_numpy(), some.column("h").to_numpy()))
+    cuts = np.unique(order[SAMPLED::SAMPLED])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = sort_keys(b.column("id").to_numpy(), b.column("h").to_numpy())
+            place = np.searchsorted(cuts, keys, "left")
+            best: dict[int, bytes] = {}
+            for p, key in zip(place.tolist(), keys.tolist()):
+                best[p] = max(best.get(p, b""), key)
+            yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.binary())], ["place", "key"])
+
+    # the first document of each place, by descending key; a row a place
+    found = rows.select("id", "h").mapInArrow(placed, "place int, key binary").groupBy("place").agg(F.max("key").alias("key")).toArrow().sort_by("place")
+    there, first = found.column("place").to_numpy(), np.array(found.column("key").to_pylist(), "S16")
+    sent = spark.sparkContext.broadcast((cuts, there, first))
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, there, first = sent.value
         for b in batches:
-            ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*b.columns, pa.array(-np.searchsorted(bounds, ids, "left").astype(np.int32))], [*b.schema.names, "place"])
-
-    # place 0 holds the least ids; places are negated, so that they ascend as doc_id descends
-    placed = rows.mapInArrow(ranged, "doc_id long, text string, place int")
-    first = placed.groupBy("place").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.sha2("text", 256))).alias("first"))
-    heads = [r.place for r in first.select("place").orderBy("place").collect()]  # RANGES rows at most
-    if not heads:
-        return spark.createDataFrame([], RESULT)
-    before = {p: heads[i - 1] for i, p in enumerate(heads)}
-    home = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("place"))
-    top = placed.join(F.broadcast(first), "place").filter(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.sha2("text", 256)) == F.col("first"))
-    top = top.select("doc_id", "text", home.alias("place")).dropDuplicates(["place"])
-    dealt = placed.withColumn("next", F.lit(False)).unionByName(top.withColumn("next", F.lit(True)))
-    dealt = dealt.withColumn("digest", F.sha2("text", 256)).repartition("place").sortWithinPartitions("place", "next", F.desc_nulls_last("doc_id"), F.desc("digest"))
+            keys = sort_keys(b.column("id").to_numpy(), b.column("h").to_numpy())
+            place = np.searchsorted(cuts, keys, "left").astype(np.int32)
+            at = np.searchsorted(there, place)
+            leads = np.flatnonzero(first[at] == keys)
+            kept = b.select(["doc_id", "text", "id", "h"])
+            yield pa.record_batch([*kept.columns, pa.array(place), pa.array(np.zeros(len(keys), bool))], RANGED)
+            if len(leads):  # a place's first document also follows the last one of the place above
+                home = there[(at[leads] + 1) % len(there)].astype(np.int32)
+                yield pa.record_batch([*kept.take(pa.array(leads)).columns, pa.array(home), pa.array(np.ones(len(leads), bool))], RANGED)
+
+    dealt = rows.select("doc_id", "text", "id", "h").mapInArrow(ranged, "doc_id long, text string, id long, h long, place int, next boolean")
+    dealt = dealt.repartition(parts, "place").sortWithinPartitions("place", "next", F.desc("id"), F.desc("h"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -143,6 +170,15 @@ def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return dealt.select("doc_id", "text", "place", "next").mapInArrow(compare, RESULT)
 
 
+RANGED = ["doc_id", "text", "id", "h", "place", "next"]
+
+
+def sort_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(id, hash) as 16 bytes each that sort alike."""
+    both = np.stack((ids, hashes), axis=1).astype(np.int64).view(U64) ^ U64(1 << 63)
+    return both.astype(">u8").view("S16").reshape(-1)
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64())])
 
