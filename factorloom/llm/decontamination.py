@@ -48,9 +48,15 @@ def sequences(items: DataFrame) -> DataFrame:
     return rows.filter(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.sha2(F.array_join("words", " "), 256).alias("sequence"), "words", "item_ids")
 
 
-def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Postings (row_id, doc_id, term, positions) of the given terms, or of all; term '' holds [number of words]."""
-    small_batches(docs.sparkSession)
+def with_ids(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id and text of docs."""
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def build_index(rows: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """Postings (row_id, doc_id, term, positions) of the given terms of rows (row_id, doc_id, text), or of all terms;
+    term '' holds [number of words]."""
+    small_batches(rows.sparkSession)
     fixed = None if terms is None else sorted(terms)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +85,6 @@ def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
                 yield pa.record_batch([row_id, doc_id, pa.array([""] * len(words), pa.string()), sizes], ["row_id", "doc_id", "term", "positions"])
                 yield pa.record_batch([row_id.take(of), doc_id.take(of), names.take(pa.array(ids[at][order][head])), lists], ["row_id", "doc_id", "term", "positions"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(post, POSTINGS)
 
 
@@ -139,6 +144,11 @@ def _as_is(df: DataFrame) -> DataFrame:
 
 def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return contaminated_rows(with_ids(docs), items, width, slop).drop("row_id")
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+    """The same for rows (row_id, doc_id, text), with their row_id."""
     wanted = stored(sequences(items), "items")
     terms = wanted.select(F.explode("words").alias("term")).distinct()
     vocabulary = [r.term for r in terms.limit(VOCABULARY + 1).collect()]
@@ -151,4 +161,4 @@ def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, slop:
     rows = index.filter("term = ''").select("row_id", "doc_id", F.col("positions")[0].cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     full = rows.join(found, "row_id", "left").join(ids, "row_id", "left").withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
-    return full.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return full.select("row_id", "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import stored
+from factorloom.llm.common import numbered, stored
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 #: kind: (pattern, group whose length counts, least length, part). The order is the order of kinds in digests.
@@ -45,9 +45,14 @@ def _candidates(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.filter(rows, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,order:int,gap:int,size:int,kept:boolean>>"))
 
 
-def linked_spans(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, kind, order, start, end: all reported spans; a document without any has one row of null kind."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def with_ids(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id and text of docs; null text is empty."""
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def linked_spans(rows: DataFrame) -> DataFrame:
+    """row_id, doc_id, kind, order, start, end: all reported spans of rows (row_id, doc_id, text); a document without
+    any has one row of null kind."""
     found = rows.select("row_id", "doc_id", F.posexplode_outer(F.concat(*[_candidates(F.col("text"), k) for k in KINDS])).alias("n", "m"))
     so_far = Window.partitionBy("row_id", "order").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     flat = found.select("row_id", "doc_id", "n", "m.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
@@ -72,7 +77,7 @@ def linked_spans(docs: DataFrame) -> DataFrame:
 
 def secret_digests(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    spans = linked_spans(docs).withColumn("span", F.struct("start", "order", F.concat_ws(":", "kind", "start", "end").alias("said")))
+    spans = linked_spans(with_ids(docs)).withColumn("span", F.struct("start", "order", F.concat_ws(":", "kind", "start", "end").alias("said")))
     listed = lambda condition: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, F.col("span")))), lambda x: x["said"]), ",")
     counts = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(f"n_{k}") for k in BASE]
     grouped = spans.groupBy("row_id", "doc_id").agg(*counts, F.sha2(listed(F.col("kind").isin(*BASE)), 256).alias("base_sha256"), listed(F.col("kind").isNotNull()).alias("spans"))
@@ -81,11 +86,12 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, mask: str, broadcast: int = 200_000) -> DataFrame:
     """docs with each reported span of text replaced by `mask`, overlapping spans by one, and n_chars, if present, new."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    spans = linked_spans(docs).filter("kind is not null").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    rows = numbered(docs)  # spans and texts meet by these ids
+    texts = rows.select("row_id", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
+    spans = linked_spans(texts).filter("kind is not null").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     spans = stored(spans.withColumnRenamed("row_id", "__spanned"), "spans")
     side = F.broadcast(spans) if spans.count() <= broadcast else spans  # beyond that the texts are shuffled
-    both = rows.join(side, F.col("__row") == F.col("__spanned"), "left")
+    both = rows.join(side, F.col("row_id") == F.col("__spanned"), "left").select("doc.*", "__spans")
     text = F.col("text")
 
     def add(state: Column, s: Column) -> Column:

@@ -54,7 +54,7 @@ def test_edges(spark, repeated, empty, clashing):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red big fox jumps"), (2, "big red fox jumps"), (3, "red fox"), (4, "jumps far away from the red old big fox")], "doc_id long, text string")
     items = dc.sequences(spark.createDataFrame([("p", "red big fox jumps")], "item_id string, text string")).select("sequence", "words")
-    index = dc.stored(dc.build_index(docs), "index")
+    index = dc.stored(dc.build_index(dc.with_ids(docs)), "index")
     by = lambda slop: {r.row_id for r in dc.find(index, items, 10, slop).join(index.filter("term = ''").select("row_id", "doc_id"), "row_id").select("doc_id").withColumnRenamed("doc_id", "row_id").collect()}
     assert by(0) == {1}
     assert by(1) == {1, 2}

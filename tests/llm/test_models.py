@@ -31,6 +31,22 @@ def test_language_accuracy(spoken):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_letters_and_characters(spark):
+    """Numbers that aren't letters have no language; two Han characters are enough to tell."""
+    said = [("en", "the river and the sea"), ("ru", "река и море это вода"), ("zh", "河流和大海都是水")] * 40
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(said)] + [(500, "½ ² Ⅷ 12", None), (501, "大海", None), (502, "вода", None), (503, "\U0001f600", None), (504, "ª", None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[k].lang_pred for k in (500, 501, 502, 503)] == ["und", "zh", "ru", "und"] and got[504].lang_pred != "und"
+    assert len(language_id.codes_of("海".encode())) == 3 and not len(language_id.codes_of(b""))
+
+
+def test_rarest_languages_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(k, f"{lang} words {lang}", lang) for k, lang in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 5)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"aa", "bb"} and len(got) == 55
+
+
 def test_language_edges(empty, repeated, clashing, spark):
     assert language_id.identify(empty).collect() == []
     assert language_id.identify(repeated).count() == 5
@@ -123,6 +139,31 @@ def test_language_model_edges(spark, empty, repeated, clashing):
     assert (r.train_tokens, r.n_tokens, r.base_score, r.score) == (0, 4, 0.0, 0.0)
 
 
+def exact_counts(rows, got):
+    tokens = {k: language_model.words_of((t or "").encode()) + [b""] for k, t in rows}
+    c = Counter(w for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(rows)
+    for r in got:
+        ws = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
+
+
+def test_few_very_long_texts(spark):
+    """The end token is rare among very many words of equal count: counts and scores stay right."""
+    few = [(0, " ".join(f"w{k}" for k in range(40_000) for _ in range(2))), (1, " ".join(f"x{k}" for k in range(40_000))), (2, "w1 x1 new")]
+    for rows in (few[:1], few[:2], few):
+        exact_counts(rows, language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_scores_hold(spark, spoken):
+    """Shards and averages don't depend on how rows were dealt out."""
+    one = {r.doc_id: r.score for r in language_model.score_documents(spoken).collect()}
+    other = {r.doc_id: r.score for r in language_model.score_documents(spoken.repartition(9)).collect()}
+    assert one == pytest.approx(other, rel=1e-5)
+
+
 def test_model_is_a_distribution():
     """Over head words and tail classes, probabilities after any history sum to 1."""
     model = Gru.new(70)
@@ -155,5 +196,5 @@ def test_training_gradient():
     model = Gru.new(6)
     texts = [np.array([1, 2, 3, 1, 2, 4] * 5, np.int32) for _ in range(20)]
     before = model.score(texts, 0, [np.zeros(30)] * 20).sum()
-    train(model, texts, 0, updates=300, streams=8, epochs=100)
+    assert train(model, texts * 64, 0, 0, 38400, 1, streams=8) == 38400
     assert model.score(texts, 0, [np.zeros(30)] * 20).sum() > 0.25 * before
