@@ -10,51 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import decontamination, jaccard_join, language_id, packing, secrets
-from factorloom.llm.common import small_batches, stored
+from factorloom.llm.common import STORED, drop_stored, numbered, small_batches, stored
 
-#: A text whose language is less sure than this is rejected, like one without letters.
-LEAST_SURE = 0.3
+#: A text whose language is less sure than LEAST_SURE, or, of many languages, than CHANCE divided by their number, is
+#: rejected: it is hardly surer than chance.
+LEAST_SURE, CHANCE = 0.3, 1.2
 #: Most ids that are broadcast, some 16 MB.
 BROADCAST = 1_000_000
 MASK = "[secret]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; lang becomes the predicted one. Learns from the rows' own lang."""
+    """Documents whose text has a language; lang becomes the predicted one. Learns from the rows' own lang.
+
+    Rows with null text, without a letter, or of a language less sure than LEAST_SURE go, as do all rows of a table
+    without any lang. Rows that repeat, or share doc_id, are judged each for itself."""
     small_batches(spark)
     rows = docs.withColumn("held_out", language_id.held_out(4, 2))
     model = language_id.train(rows.filter(~F.coalesce("held_out", F.lit(False))).select("doc_id", "text", "lang"))
     said = language_id.predict(docs, model)
-    sure = (F.col("__language") != "und") & (F.col("__language_score") >= LEAST_SURE)
-    return said.filter(sure).withColumn("lang", F.col("__language")).select(*docs.columns)
+    sure = (F.col("__language") != "und") & (F.col("__language_score") >= min(LEAST_SURE, CHANCE / max(len(model.languages), 1)))
+    return said.filter(sure).withColumn("lang", F.col("__language")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity links connect, the one with the smallest doc_id stays."""
-    groups = jaccard_join.similar_groups(docs)
-    return without(docs, groups.filter("not (doc_id <=> component_id)").select("doc_id"), "copies")
-
+    """Of the rows that similarity links connect, the one with the smallest doc_id stays.
 
-def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs whose doc_id is not in gone: broadcast up to BROADCAST ids, which fit any task, and shuffled beyond that."""
-    ids = stored(gone.select(F.col("doc_id").cast("long").alias("__gone")).distinct(), name)
-    side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    return docs.join(side, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    Rows with null doc_id come after those with one; of equal ids any one row stays. A row of another text stays, whoever
+    shares its doc_id. Rows without words are linked with nothing and stay."""
+    return jaccard_join.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontamination.contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.filter("contaminated").select("doc_id"), "contaminated")
+    """Rows that hold no window of a benchmark item; null and empty texts hold none. doc_id isn't looked at."""
+    rows = numbered(docs)
+    texts = rows.select("row_id", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    found = decontamination.contaminated_rows(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stored(found.filter("contaminated").select("row_id"), "contaminated")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST else gone  # shuffled beyond that
+    return rows.join(side, "row_id", "left_anti").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each reported secret span replaced by MASK and n_chars counted anew."""
-    return secrets.masked(docs, MASK).select(*docs.columns)
+    """All rows, each reported secret span replaced by MASK and n_chars counted anew; null texts stay null."""
+    return secrets.masked(docs, MASK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all rows, packed into sequences; a null or empty text is its end token."""
     return packing.pack_documents(docs)
 
 
@@ -71,8 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder. Tables that the stages wrote for themselves go once their result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(STORED)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, [x for x in STORED[:-1] if x not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
