@@ -19,7 +19,6 @@ QA_BOUNDARY = [
 QA_WORDS = ["question", "analyst", "q&a", "operator:", "please go ahead", "your question", "thank you, operator"]
 ANALYST_PREFIX = r"(?i)^Q\s*[–\-]\s*"
 ANALYST_FIRMS = r"(?i)\b(analyst|research|securities|capital|morgan|goldman|jpmorgan|barclays|citi|ubs|bofa|bank of america|deutsche|jefferies|wells|cowen|nomura|hsbc|credit suisse|evercore|piper|raymond|bernstein|mizuho)\b"
-MANAGEMENT = r"(?i)\b(ceo|cfo|coo|cto|president|chairman|officer|vp|vice president|treasurer|secretary|director|managing|chief|svp|evp)\b"
 RELEASE_NOISE = r"(?i)^(EX-99\.1\s|Exhibit\s+99\.1|Table of Contents$|UNITED STATES SECURITIES|Washington,\s*D\.C\.|FORM\s+8-K|CURRENT REPORT|Pursuant to Section|Commission File Number|IRS Employer|CHECK THE APPROPRIATE|\(State or other)"
 FILE_NAME = r"(?i)\.(htm|pdf|htm[l]?)\b"
 PAPER_NOISE = r"(?i)^(arXiv:|https?://|doi:|www\.|©|\d+\s*$|References$|Abstract$|Introduction$|Conclusion)"

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import no_signal, pearson, season, share
+from factorloom.sources.scratch import stored
 
-LAGS, LEAST_PAIRS, RANGES = 4, 5, 256
+LAGS, LEAST_PAIRS = 4, 5
+#: Distinct values that a task ranks.
+VALUES = 200_000
 
 
 def ic_by(rows: DataFrame, by: list[str], x: str = "value", y: str = "move", least: int = LEAST_PAIRS) -> DataFrame:
@@ -87,51 +90,95 @@ def coverage_failure(coverage: DataFrame, least: float = 0.05) -> DataFrame:
 def spearman(table: DataFrame, names: list[str], key: str = "episode") -> DataFrame:
     """left, right, rho for every pair of columns, over rows where both are present: average ranks, then Pearson.
 
-    Pairs are columns, not rows; ranks come from range totals and windows within a range.
+    Rows are counted by pair and both values once, so that ties, zeros above all, are one row; ranks come from those
+    counts, by ranges of distinct values. The mean of average ranks is (n + 1) / 2, so sums of products are centred.
     """
     pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(names) for b in names[i:]]
-    long = table.select(key, F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x is not null and y is not null")
+    long = table.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x is not null and y is not null")
+    joint = stored(long.groupBy("left", "right", "x", "y").agg(F.count(F.lit(1)).alias("n")), "joint")
+    by = ["left", "right", "side"]
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y")])
+    counts = stored(joint.select("left", "right", "n", F.explode(sides).alias("s")).groupBy("left", "right", "s.side", "s.v").agg(F.sum("n").alias("n")), "values")
+    ranges = max(8, counts.count() // VALUES)
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), by).withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    total = placed.groupBy(*by, "range").agg(F.sum("n").alias("total"))
+    of = Window.partitionBy(*by)
+    total = total.select(*by, "range", (F.sum("total").over(of.orderBy("range")) - F.col("total")).alias("before"), ((F.sum("total").over(of) + 1) / 2).alias("mean"))
+    within = F.sum("n").over(Window.partitionBy(*by, "range").orderBy("v")) - F.col("n")
+    ranks = placed.withColumn("within", within).join(F.broadcast(total), [*by, "range"]).select(*by, "v", (F.col("before") + F.col("within") + (F.col("n") + 1) / 2 - F.col("mean")).alias("r"))
+    ranks = stored(ranks, "ranks")
+    own = lambda c: ranks.filter(F.col("side") == c).select("left", "right", F.col("v").alias(c), F.col("r").alias(f"r{c}"))
+    both = joint.join(own("x"), ["left", "right", "x"]).join(own("y"), ["left", "right", "y"])
+    products = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    return both.groupBy("left", "right").agg((products("rx", "ry") / F.nullif(F.sqrt(products("rx", "rx") * products("ry", "ry")), F.lit(0.0))).alias("rho"))
+
+
+def newey_west_of(ics: Column, lags: int = LAGS) -> Column:
+    """t of an array of a feature's quarterly ic, in order."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    n = F.size(ics)
+    e = F.transform(ics, lambda x: x - total(ics) / n)
+    variance = total(F.transform(e, lambda x: x * x)) / n
+    for k in range(1, lags + 1):
+        # pairs k quarters apart: what zip_with pads with null counts as 0
+        variance = variance + 2 * (1 - k / (lags + 1)) * total(F.transform(F.zip_with(e, F.slice(e, k + 1, F.greatest(n, F.lit(1))), lambda x, y: x * y), lambda p: F.coalesce(p, F.lit(0.0)))) / n
+    return F.when(n < 2, 0.0).otherwise(total(ics) / n / F.sqrt(F.greatest(variance, F.lit(1e-12)) / n))
+
+
+#: Grouping ids of `summary` over (feature, year, quarter, sector, calendar, score).
+QUARTERS, SECTORS, CALENDARS, SCORES, WHOLE = 0b000111, 0b011011, 0b011101, 0b011110, 0b011111
 
-    def ranks(c: str, named: str) -> DataFrame:
-        # counts of distinct values, dealt into ranges of about equal size: totals of ranges, then ranks within each
-        counts = long.groupBy("left", "right", c).agg(F.count(F.lit(1)).alias("n"))
-        cuts = long.groupBy("left", "right").agg(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
-        placed = counts.join(cuts, ["left", "right"]).withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
-        total = placed.groupBy("left", "right", "range").agg(F.sum("n").alias("total"))
-        total = total.withColumn("before", F.sum("total").over(Window.partitionBy("left", "right").orderBy("range")) - F.col("total")).drop("total")
-        within = F.sum("n").over(Window.partitionBy("left", "right", "range").orderBy(c)) - F.col("n")
-        return placed.withColumn("within", within).join(total, ["left", "right", "range"]).select("left", "right", c, (F.col("before") + F.col("within") + (F.col("n") + 1) / 2).alias(named))
 
-    both = long.join(ranks("x", "rx"), ["left", "right", "x"]).join(ranks("y", "ry"), ["left", "right", "y"])
-    return both.groupBy("left", "right").agg(pearson(F.col("rx"), F.col("ry")).alias("rho"))
+def summary(rows: DataFrame) -> DataFrame:
+    """Every statistic of rows (feature, year, quarter, sector, calendar, move, raw, value, test) by feature and period,
+    sector, calendar year or score, in one aggregation: kind, keys, ic and n of test rows, shares, counts."""
+    paired = F.col("test") & F.col("value").isNotNull() & F.col("move").isNotNull()
+    x, y = F.when(paired, F.col("value")), F.when(paired, F.col("move"))
+    keys = ["feature", "year", "quarter", "sector", "calendar", "score"]
+    sets = [["feature", "year", "quarter"], ["feature", "sector"], ["feature", "calendar"], ["feature", "score"], ["feature"]]
+    found = rows.withColumn("score", F.col("value")).groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("kind"), pearson(x, y).alias("ic"), F.count(x).alias("n"), share(no_signal(F.col("value"))).alias("zeros"), share(no_signal(F.col("raw"))).alias("raw_zeros"),
+        F.count("value").alias("scored"), F.count(F.when(F.col("test"), F.col("raw"))).alias("n_test"),
+    )
+    usable = (F.col("n") >= LEAST_PAIRS) & F.col("ic").isNotNull() & ~F.isnan("ic")
+    return found.withColumn("ic", F.when(usable, F.col("ic")))
 
 
 def validation(panel: DataFrame, features: DataFrame, train_years: list[int], test_years: list[int]) -> DataFrame:
-    """One row per feature with every statistic that the gates read, maps included; metrics unrounded."""
+    """One row per feature with every statistic that the gates read, maps included; metrics unrounded.
+
+    The joined rows are stored once; bounds, and then one aggregation for all statistics, read them.
+    """
     from factorloom.operators.panel import joined, winsor_bounds, winsorized
 
-    raw = joined(panel, features)
-    rows = winsorized(raw, winsor_bounds(raw, train_years))
-    test = rows.filter(F.col("year").isin(test_years))
-    series = ic_series(test)
-    t = newey_west(series)
-    sectors = sector_ic(test)
-    as_map = lambda df, k, v, name: df.groupBy("feature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k).cast("string").alias("key"), F.col(v).alias("value"))))).alias(name))
-    calendar = rows.withColumn("calendar", F.year("earnings_date"))
-    parts = [
-        t, zero_ratio(raw), direction_consistency(sectors, t.select("feature", "ic_mean")), as_map(sectors, "sector", "ic", "per_sector_ic"),
-        as_map(season_ic(test), "season", "ic", "season_ic"), as_map(score_distribution(rows), "score", "share", "score_dist"),
-        as_map(zero_ratio(rows, ["sector"]), "sector", "zero_ratio", "zero_by_sector"), as_map(zero_ratio(calendar, ["calendar"]), "calendar", "zero_ratio", "zero_by_year"),
-    ]
-    out = coverage_failure(test_coverage(panel, features, test_years)).select("feature", "coverage", "coverage_failure")
-    for part in parts:
-        out = out.join(part, "feature", "left")
-    zero = F.lit(0.0)
+    test = F.col("year").isin(test_years)
+    raw = stored(joined(panel, features).select("feature", "year", "quarter", "sector", F.year("earnings_date").alias("calendar"), "move", F.col("value").alias("raw"), "value", test.alias("test")), "joined")
+    found = stored(summary(winsorized(raw, winsor_bounds(raw, train_years))), "summary")
+    of = lambda kind: F.col("kind") == kind
+    listed = lambda condition, **fields: F.array_sort(F.collect_list(F.when(condition, F.struct(*[c.alias(k) for k, c in fields.items()]))))
+    as_map = lambda kind, key, value: F.map_from_entries(listed(of(kind) & key.isNotNull() & value.isNotNull(), key=key.cast("string"), value=value))
+    quarters = listed(of(QUARTERS) & F.col("ic").isNotNull() & F.col("year").isNotNull() & F.col("quarter").isNotNull(), year=F.col("year"), quarter=F.col("quarter"), ic=F.col("ic"))
+    whole = lambda c: F.max(F.when(of(WHOLE), F.col(c)))
+    scored = F.col("scored") / F.sum(F.when(of(SCORES), F.col("scored"))).over(Window.partitionBy("feature"))  # rows are groups here
+    rows = found.withColumn("share", scored).groupBy("feature").agg(
+        quarters.alias("quarters"), whole("raw_zeros").alias("zero_ratio"), whole("n_test").alias("n_test"),
+        as_map(SECTORS, F.col("sector"), F.col("ic")).alias("per_sector_ic"), as_map(QUARTERS, season(F.col("year"), F.col("quarter")), F.col("ic")).alias("season_ic"),
+        as_map(SCORES, F.col("score"), F.col("share")).alias("score_dist"), as_map(SECTORS, F.col("sector"), F.col("zeros")).alias("zero_by_sector"), as_map(CALENDARS, F.col("calendar"), F.col("zeros")).alias("zero_by_year"),
+    )
+    ics = F.transform("quarters", lambda q: q["ic"])
+    mean = F.aggregate(ics, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(ics), F.lit(0))
+    signs = F.transform(F.map_values("per_sector_ic"), lambda x: F.when((x > 0) == (F.col("ic_mean") >= 0), 1.0).otherwise(0.0))
+    rows = rows.withColumn("n_quarters", F.size("quarters").cast("long")).withColumn("t_stat", F.when(F.size("quarters") > 0, newey_west_of(ics))).withColumn("ic_mean", mean)
+    rows = rows.withColumn("direction_consistency", F.when(F.col("n_quarters") > 0, F.aggregate(signs, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(signs), F.lit(0))))
+    total = panel.filter(F.col("year").isin(test_years)).agg(F.count(F.lit(1)).alias("n_panel"))
+    names = features.select("feature").distinct()
+    out = names.join(rows, "feature", "left").join(F.broadcast(total)).withColumn("n_test", F.coalesce("n_test", F.lit(0))).withColumn("coverage", F.coalesce(F.try_divide("n_test", "n_panel"), F.lit(0.0)))
+    out = coverage_failure(out).drop("n_test", "n_panel", "quarters")
     gone = F.col("coverage_failure")
-    return (
-        out.withColumn("ic_mean", F.when(gone, zero).otherwise(F.coalesce("ic_mean", zero))).withColumn("t_stat", F.when(gone, zero).otherwise(F.coalesce("t_stat", zero)))
-        .withColumn("n_quarters", F.coalesce("n_quarters", F.lit(0))).withColumn("direction_consistency", F.when(gone, zero).otherwise(F.coalesce("direction_consistency", zero)))
-    )
+    for c in ("ic_mean", "t_stat", "direction_consistency"):
+        out = out.withColumn(c, F.when(gone, 0.0).otherwise(F.coalesce(c, F.lit(0.0))))
+    return out.withColumn("n_quarters", F.coalesce("n_quarters", F.lit(0)))
 
 
 def rounded(results: DataFrame) -> DataFrame:

@@ -51,17 +51,37 @@ def single_prediction(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prediction", F.coalesce("value", F.lit(0.0)))
 
 
-def boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 7) -> DataFrame:
-    """table with prediction by gradient-boosted trees on columns, missing values 0. Spark ML has no L1 or L2 leaf
-    penalties, so its numbers are its own."""
+def report(scores: DataFrame, valid: DataFrame, y: str = "move_neutral") -> DataFrame:
+    """feature, ic_mean, t_stat, n_quarters, ic_covered, delta and what `valid` (feature, ...) adds: one row a score."""
+    covered = covered_ic(scores, y).select("feature", F.col("ic_mean").alias("ic_covered"), "delta")
+    return ic_table(scores, y).join(covered, "feature", "left").join(valid, "feature", "left")
+
+
+def _inputs(table: DataFrame, columns: list[str]) -> DataFrame:
+    """table with `inputs`, the vector of columns, missing values 0."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
     filled = table.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}__in") for c in columns])
-    ready = VectorAssembler(inputCols=[f"{c}__in" for c in columns], outputCol="inputs").transform(filled)
+    return VectorAssembler(inputCols=[f"{c}__in" for c in columns], outputCol="inputs").transform(filled).drop(*[f"{c}__in" for c in columns])
+
+
+def fit_boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 7):
+    """Gradient-boosted trees on columns of the training years; the validation year doesn't stop them. Spark ML has no
+    L1 or L2 leaf penalties, so its numbers are its own."""
+    from pyspark.ml.regression import GBTRegressor
+
     learner = GBTRegressor(featuresCol="inputs", labelCol=label, predictionCol="prediction", maxDepth=3, stepSize=0.02, maxIter=rounds, minInstancesPerNode=40, subsamplingRate=1.0, seed=seed)
-    model = learner.fit(ready.filter(F.col("year").isin(train_years) & F.col(label).isNotNull()))
-    return model.transform(ready).drop("inputs", *[f"{c}__in" for c in columns])
+    return learner.fit(_inputs(table, columns).filter(F.col("year").isin(train_years) & F.col(label).isNotNull()))
+
+
+def predicted(table: DataFrame, columns: list[str], model) -> DataFrame:
+    """table with a fitted model's prediction."""
+    return model.transform(_inputs(table, columns)).drop("inputs")
+
+
+def boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 7) -> DataFrame:
+    """table with prediction by gradient-boosted trees on columns."""
+    return predicted(table, columns, fit_boosted(table, columns, train_years, rounds, label, seed))
 
 
 def feature_importance(model, columns: list[str], top: int = 10) -> list[tuple[str, float]]:

@@ -110,12 +110,23 @@ def drawdown_gate(most: float = MOST_DRAWDOWN) -> Gate:
     return Gate("G5_max_drawdown", F.abs(F.coalesce("max_drawdown", F.lit(0.0))) <= most)
 
 
+@dataclass(frozen=True)
+class Handler:
+    """What is noted on a failed row, from its columns and failed_gates; null notes nothing, as does an error that the
+    column's own try_ functions turn into null."""
+
+    name: str
+    note: Column
+
+
 @dataclass(frozen=True)
 class Pipeline:
-    """Gates in order. `pre` gates stop at the first failure, `post` gates all run; edits give a new pipeline."""
+    """Gates in order. `pre` gates stop at the first failure, `post` gates all run; handlers see every failed row; edits
+    give a new pipeline."""
 
     pre: tuple[Gate, ...] = ()
     post: tuple[Gate, ...] = field(default_factory=lambda: (coverage_gate(), zero_gate(), t_gate(), direction_gate()))
+    handlers: tuple[Handler, ...] = ()
 
     def add(self, gate: Gate, pre: bool = False) -> Pipeline:
         return replace(self, pre=(*self.pre, gate)) if pre else replace(self, post=(*self.post, gate))
@@ -141,17 +152,21 @@ class Pipeline:
         return "\n".join([f"pre:  {g.name}" for g in self.pre] + [f"post: {g.name}" for g in self.post])
 
     def run(self, results: DataFrame) -> DataFrame:
-        """results with hook_results (gate -> passed), blocked_by, failed_by, failed_gates and gates_passed."""
+        """results with hook_results (gate -> passed), blocked_by, failed_by, failed_gates and gates_passed, and notes (handler ->
+        text) of rows that failed or were blocked."""
         name = lambda g: F.when(~g.condition, F.lit(g.name))
         first = lambda gates: F.coalesce(*[name(g) for g in gates], F.lit(None).cast("string"))
         table = results.withColumn("blocked_by", first(self.pre))
         ran = F.map_from_arrays(F.array(*[F.lit(g.name) for g in self.post]), F.array(*[g.condition for g in self.post])) if self.post else F.create_map().cast("map<string,boolean>")
         failed = F.array_compact(F.array(*[name(g) for g in self.post], F.lit(None).cast("string")))
         open_ = F.col("blocked_by").isNull()
-        return (
+        out = (
             table.withColumn("hook_results", F.when(open_, ran)).withColumn("failed_gates", F.when(open_, failed).otherwise(F.array("blocked_by")))
             .withColumn("failed_by", F.when(open_, first(self.post))).withColumn("gates_passed", open_ & (F.size("failed_gates") == 0))
         )
+        said = F.array_compact(F.array(*[F.when(h.note.isNotNull(), F.struct(F.lit(h.name).alias("key"), h.note.cast("string").alias("value"))) for h in self.handlers]))
+        notes = F.map_from_entries(said) if self.handlers else F.create_map().cast("map<string,string>")
+        return out.withColumn("notes", F.when(~F.col("gates_passed"), notes))
 
 
 def symptom_queries() -> Column:

@@ -67,12 +67,13 @@ def compared(lines: DataFrame, metrics: list[str], lower_is_better: list[str]) -
 
 
 def exploration_summary(records: DataFrame) -> DataFrame:
-    """total, passed, failed and the passed names of a history."""
-    names = F.array_sort(F.collect_list(F.when(F.col("passed"), F.struct("line_no", "feature"))))
-    return records.agg(
-        F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(~F.col("passed"), 1)).alias("failed"),
-        F.transform(names, lambda x: x["feature"]).alias("passed_names"),
-    )
+    """total, passed, failed of a history."""
+    return records.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(~F.col("passed"), 1)).alias("failed"))
+
+
+def passed_names(records: DataFrame) -> DataFrame:
+    """line_no, feature of what passed: rows, as a history may be long."""
+    return records.filter("passed").select("line_no", "feature")
 
 
 def cluster_usage(records: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -149,8 +150,16 @@ def trace_metrics(steps: DataFrame, by: str = "run_id") -> DataFrame:
     return stated.select(by, T.key_metrics(F.col("observation")).alias("key_metrics"))
 
 
+def trace_parts(steps: DataFrame, per_part: int = 1000, by: str = "run_id") -> DataFrame:
+    """by, part, steps: each run's steps in order as JSON lists, one for every per_part step ids, so that a run may be of
+    any length; its document is its parts in order."""
+    rest = [c for c in steps.columns if c not in (by, "step_id")]
+    ordered = F.array_sort(F.collect_list(F.struct("step_id", *rest)))
+    return steps.groupBy(by, F.floor(F.col("step_id") / per_part).alias("part")).agg(F.to_json(ordered).alias("steps"))
+
+
 def trace_document(steps: DataFrame, by: str = "run_id") -> DataFrame:
-    """by, document: all steps of a run as one JSON text."""
+    """by, document: all steps of a run as one JSON text, for runs that fit one value; others are read by trace_parts."""
     rest = [c for c in steps.columns if c != by]
     ordered = F.array_sort(F.collect_list(F.struct("step_id", *[c for c in rest if c != "step_id"])))
     return steps.groupBy(by).agg(F.to_json(F.struct(F.first(by).alias("run_id"), ordered.alias("steps"))).alias("document"))

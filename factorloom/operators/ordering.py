@@ -4,28 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from factorloom.sources.scratch import stored
 
-def with_position(rows: DataFrame, order: list[str], name: str, ranges: int = 256) -> DataFrame:
+
+def with_position(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their 0-based place in the order of the columns `order`.
 
-    Rows are dealt into ranges of the first column: by approximate quantiles if it is a number, else by its values. A
-    place is the count of earlier ranges, a window over their few totals, and a row number within the range.
+    Rows are dealt into ranges of all order columns, as many as the session shuffles to, sorted in each and stored with
+    their number in the range; a place adds the rows of earlier ranges, a window over one total a range. Rows that are
+    equal in all of `order` follow each other in any order.
     """
-    head = order[0]
-    numeric = isinstance(rows.schema[head].dataType, T.NumericType)
-    if numeric:
-        found = rows.agg(F.percentile_approx(head, [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first().cuts or []
-        cuts = sorted(set(found))
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(head))) if cuts else F.lit(0)
-        # the added 0 keeps Spark 4.1 from inferring a filter with this expression on the totals, where it can't run
-        dealt = rows.withColumn("__range", place + F.spark_partition_id() * 0)
-    else:
-        dealt = rows.withColumn("__range", F.col(head))
-    totals = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    before = totals.withColumn("__before", F.sum("n").over(Window.orderBy("__range")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    side = F.broadcast(before) if numeric else before  # as many rows as ranges
-    placed = dealt.withColumn("__within", within).join(side, "__range")
-    return placed.select(*rows.columns, (F.col("__before") + F.col("__within")).cast("long").alias(name))
+    number = F.monotonically_increasing_id()  # the partition's number, then the row's within it
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(number, 33).alias("__range"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("__within"))
+    placed = stored(dealt, "placed")
+    totals = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = totals.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__before") + F.col("__within")).alias(name))

@@ -68,9 +68,30 @@ def wide(panel: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
 
 
 def winsor_bounds(rows: DataFrame, train_years: list[int], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """feature, low, high: exact interpolated quantiles over training years."""
-    train = rows.filter(F.col("year").isin(train_years) & F.col("value").isNotNull())
-    return train.groupBy("feature").agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
+    """feature, low, high: exact interpolated quantiles over training years.
+
+    Approximate quantiles on either side enclose each exact one; only the distinct values between them, some thousandths
+    of a feature's rows, are put in order, and rows below are counted. A feature of few rows is ordered whole.
+    """
+    train = rows.filter(F.col("year").isin(train_years) & F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value"))
+    near = 0.002
+    around = [max(low - near, 0.0), min(low + near, 1.0), max(high - near, 0.0), min(high + near, 1.0)]
+    cuts = train.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", around, 10_000).alias("c"))
+    few = F.col("n") < 2000
+    cuts = cuts.select("feature", "n", *[F.when(few, F.col("least" if k % 2 == 0 else "most")).otherwise(F.col("c")[k]).alias(c) for k, c in enumerate(("l0", "l1", "h0", "h1"))])
+    near_cuts = train.join(F.broadcast(cuts), "feature")  # a row a feature
+    inside = {"low": F.col("value").between(F.col("l0"), F.col("l1")), "high": F.col("value").between(F.col("h0"), F.col("h1"))}
+    side = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in inside.items()]))
+    below = near_cuts.groupBy("feature").agg(F.count(F.when(F.col("value") < F.col("l0"), 1)).alias("b_low"), F.count(F.when(F.col("value") < F.col("h0"), 1)).alias("b_high"))
+    counts = near_cuts.withColumn("side", F.explode(side)).groupBy("feature", "n", "side", "value").agg(F.count(F.lit(1)).alias("m"))
+    placed = counts.join(F.broadcast(below), "feature").withColumn("q", F.when(F.col("side") == "low", F.lit(low)).otherwise(F.lit(high)) * (F.col("n") - 1))
+    to = F.sum("m").over(Window.partitionBy("feature", "side").orderBy("value")) + F.when(F.col("side") == "low", F.col("b_low")).otherwise(F.col("b_high"))
+    placed = placed.withColumn("to", to).withColumn("from", F.col("to") - F.col("m"))
+    at = lambda rank, name: F.max(F.when((F.col("from") <= rank) & (rank < F.col("to")), F.col("value"))).alias(name)
+    found = placed.groupBy("feature", "side").agg(F.max("q").alias("q"), at(F.floor("q"), "x"), at(F.ceil("q"), "y"))
+    share = F.col("q") - F.floor("q")
+    value = F.when(share == 0, F.col("x")).otherwise(F.col("x") * (1 - share) + F.col("y") * share)
+    return found.groupBy("feature").agg(*[F.max(F.when(F.col("side") == k, value)).alias(k) for k in ("low", "high")])
 
 
 def winsorized(rows: DataFrame, bounds: DataFrame) -> DataFrame:

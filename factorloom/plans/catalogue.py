@@ -81,20 +81,27 @@ def zero_ratio(s: SparkSession, d: str) -> DataFrame:
     return evaluation.zero_ratio(_rows(s, d)).select("feature", r6("zero_ratio"))
 
 
+def _winsorized(s: SparkSession, d: str) -> DataFrame:
+    rows = _rows(s, d)
+    return panel.winsorized(rows, panel.winsor_bounds(rows, D.TRAIN))
+
+
 @query
 def zero_by_sector(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.zero_ratio(_rows(s, d), ["sector"]).select("feature", "sector", r6("zero_ratio"))
+    """Of winsorised values, like the other maps that gates read."""
+    return evaluation.zero_ratio(_winsorized(s, d), ["sector"]).select("feature", "sector", r6("zero_ratio"))
 
 
 @query
 def zero_by_year(s: SparkSession, d: str) -> DataFrame:
-    rows = _rows(s, d).withColumn("calendar", F.year("earnings_date"))
+    rows = _winsorized(s, d).withColumn("calendar", F.year("earnings_date"))
     return evaluation.zero_ratio(rows, ["calendar"]).select("feature", "calendar", r6("zero_ratio"))
 
 
 @query
 def score_dist(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.score_distribution(_rows(s, d).filter("feature = 'score'")).select("feature", "score", r6("share"))
+    """Shares of every feature's winsorised scores."""
+    return evaluation.score_distribution(_winsorized(s, d)).withColumn("score", F.round("score", 6)).select("feature", "score", r6("share"))
 
 
 @query
@@ -110,8 +117,7 @@ def winsorize_bounds(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def winsorized_panel(s: SparkSession, d: str) -> DataFrame:
-    rows = _rows(s, d)
-    return panel.winsorized(rows, panel.winsor_bounds(rows, D.TRAIN)).select("feature", "episode", r6("value"))
+    return _winsorized(s, d).select("feature", "episode", r6("value"))
 
 
 @query
@@ -165,6 +171,17 @@ def validation_metrics(s: SparkSession, d: str) -> DataFrame:
     return evaluation.validation(D.panel(s, d), D.features(s, d), D.TRAIN, D.TEST).select("feature", r6("coverage"), "coverage_failure", r6("ic_mean"), r6("t_stat"), "n_quarters", r6("zero_ratio"), r6("direction_consistency"))
 
 
+@query
+def validation_maps(s: SparkSession, d: str) -> DataFrame:
+    """The maps that the gates and reports read, as rows: IC by sector and season, zeros by sector and year, scores (in
+    millionths)."""
+    found = evaluation.validation(D.panel(s, d), D.features(s, d), D.TRAIN, D.TEST)
+    names = ["per_sector_ic", "season_ic", "zero_by_sector", "zero_by_year", "score_dist"]
+    maps = F.array(*[F.struct(F.lit(n).alias("map"), F.col(n).alias("of")) for n in names])
+    rows = found.select("feature", F.explode(maps).alias("m")).select("feature", "m.map", F.explode("m.of").alias("key", "value"))
+    return rows.withColumn("key", F.when(F.col("map") == "score_dist", F.round(F.col("key").cast("double") * 1_000_000).cast("long").cast("string")).otherwise(F.col("key"))).groupBy("feature", "map", "key").agg(F.round(F.sum("value"), 6).alias("value"))
+
+
 # -- fusion
 
 
@@ -212,6 +229,21 @@ def spearman_matrix(s: SparkSession, d: str) -> DataFrame:
     return fusion.feature_correlation(panel.wide(D.panel(s, d), D.features(s, d), D.NAMES), D.NAMES).select("left", "right", r6("rho"))
 
 
+@query
+def fusion_report(s: SparkSession, d: str) -> DataFrame:
+    """The assembled table of every score: IC, t, covered IC, and the pooled IC of the validation year."""
+    scores = _scores(s, d)
+    valid = fusion.annual_ic(scores.filter(F.col("year").isin(D.VALID))).select("feature", F.col("ic").alias("ic_valid"))
+    return fusion.report(_test(scores), valid).select("feature", r6("ic_mean"), r6("t_stat"), "n_quarters", r6("ic_covered"), r6("delta"), r6("ic_valid"))
+
+
+@query
+def feature_importance(s: SparkSession, d: str) -> DataFrame:
+    """What a boosted model of the features gains most from; a row a column, largest share first."""
+    model = fusion.fit_boosted(_fused(s, d), D.NAMES, D.TRAIN)
+    return s.createDataFrame(fusion.feature_importance(model, D.NAMES), "feature string, importance double")
+
+
 @query
 def gbt_fusion(s: SparkSession, d: str) -> DataFrame:
     table = fusion.boosted(_fused(s, d), D.NAMES, D.TRAIN)
@@ -238,6 +270,17 @@ def gate_matrix(s: SparkSession, d: str) -> DataFrame:
     return ran.select("feature", *[F.col("hook_results")[n].alias(n[:2].lower()) for n in history.GATES], "failed_by", "gates_passed")
 
 
+@query
+def gate_failures(s: SparkSession, d: str) -> DataFrame:
+    """All five gates, drawdown included, as a pipeline with a gate before them; what its handlers note on failed rows."""
+    k = F.col("k")
+    rows = D.results(s, d).withColumn("max_drawdown", F.when(k % 4 > 0, (k % 9) / F.lit(100.0)))
+    known = gates.Gate("known", k % 10 != 3)
+    notes = (gates.Handler("sparse", F.when(F.array_contains("failed_gates", "G2_zero_ratio"), F.concat(F.lit("zeros of "), "feature"))), gates.Handler("count", F.size("failed_gates").cast("string")))
+    ran = gates.Pipeline(handlers=notes).add(known, pre=True).add(gates.drawdown_gate()).run(rows)
+    return ran.select("feature", "blocked_by", "failed_by", F.array_join("failed_gates", ",").alias("failed"), "gates_passed", F.col("notes")["sparse"].alias("sparse"), F.col("notes")["count"].alias("n_failed"))
+
+
 @query
 def reversed_sectors(s: SparkSession, d: str) -> DataFrame:
     return D.results(s, d).select("feature", F.array_join(gates.reversed_sectors(), ",").alias("sectors"))
@@ -530,14 +573,17 @@ def patch_merge(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def unexplored_anti(s: SparkSession, d: str) -> DataFrame:
+    """Strong records are explored."""
     specs = D.records(s, d).select(F.concat(F.lit("feat_"), (F.col("line_no") % 300).cast("string")).alias("feature"), "line_no")
-    return history.unexplored(specs, D.records(s, d).filter("line_no % 4 = 0").select("feature"))
+    return history.unexplored(specs, D.records(s, d).filter("ic_mean > 0.25").select("feature"))
 
 
 @query
 def queue_order(s: SparkSession, d: str) -> DataFrame:
-    found = D.records(s, d).select("feature", "line_no")
-    return history.queue(found.filter("line_no % 3 = 0"), found.filter("line_no % 2 = 1"), found.filter("line_no % 5 = 0")).select("feature", "source", "line_no")
+    """Base features are seeds, repaired ones repairs; the strongest are explored."""
+    found = D.records(s, d)
+    names = lambda condition: found.filter(condition).select("feature", "line_no")
+    return history.queue(names("repair_of is null"), names("repair_of is not null"), names("ic_mean > 0.4")).select("feature", "source", "line_no")
 
 
 @query
@@ -548,14 +594,26 @@ def lineage_compare(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def exploration_summary(s: SparkSession, d: str) -> DataFrame:
-    return history.exploration_summary(D.records(s, d)).select("total", "passed", "failed", F.md5(F.array_join("passed_names", ",")).alias("names"))
+    return history.exploration_summary(D.records(s, d))
+
+
+@query
+def passed_names(s: SparkSession, d: str) -> DataFrame:
+    return history.passed_names(D.records(s, d))
+
+
+@query
+def first_records(s: SparkSession, d: str) -> DataFrame:
+    """The first line of each feature and of its repairs."""
+    rows = D.records(s, d).select(T.base_name(F.col("feature")).alias("feature"), "line_no", "definition", "repair_of")
+    return history.first_by(rows, "feature")
 
 
 @query
 def least_used_cluster(s: SparkSession, d: str) -> DataFrame:
     found = D.records(s, d)
     clusters = found.groupBy("cluster").agg(F.min("line_no").alias("place"))
-    return history.least_used(history.cluster_usage(found.filter("line_no % 2 = 0"), clusters))
+    return history.least_used(history.cluster_usage(found, clusters))
 
 
 @query
@@ -566,15 +624,16 @@ def feature_dedup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def metadata_upsert(s: SparkSession, d: str) -> DataFrame:
-    rows = D.table(s, d, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name")
-    old = rows.filter("chunk_id % 3 <> 0")
-    return readers.upserted(old, rows.filter("chunk_id % 2 = 0").withColumn("p_name", F.lit("new")))
+    """Small parts are there, large ones come; those between do both."""
+    rows = D.table(s, d, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name", "p_size")
+    old, new = rows.filter("p_size <= 30").drop("p_size"), rows.filter("p_size > 20").drop("p_size")
+    return readers.upserted(old, new.withColumn("p_name", F.lit("new")))
 
 
 @query
 def index_resume(s: SparkSession, d: str) -> DataFrame:
-    rows = D.table(s, d, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name")
-    return readers.not_yet(rows, rows.filter("chunk_id % 3 <> 0"))
+    rows = D.table(s, d, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name", "p_size")
+    return readers.not_yet(rows.drop("p_size"), rows.filter("p_size <= 30"))
 
 
 @query
@@ -625,10 +684,10 @@ def chunk_lookup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def run_documents(s: SparkSession, d: str) -> DataFrame:
-    """How long each run's JSON document of steps is, and its last lines."""
+    """The parts of each run's JSON document of steps, and the run's last lines."""
     small = D.steps(s, d).select("run_id", "step_id", "state", "tool_called", "tool_ok", "tool_latency_ms", "tool_error", "decision")
     lines = history.last_steps_summary(small, 2)
-    return history.trace_document(small.select("run_id", "step_id", "state")).select("run_id", F.length("document").alias("chars")).join(lines, "run_id")
+    return history.trace_parts(small.select("run_id", "step_id", "state"), 100).select("run_id", "part", F.md5("steps").alias("digest")).join(lines, "run_id")
 
 
 @query

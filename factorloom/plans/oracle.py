@@ -46,12 +46,19 @@ CONSISTENCY = f"SELECT m.feature, coalesce(avg(CASE WHEN s.ic IS NULL THEN NULL
 SQL["direction_consistency"] = f"WITH {ROWS} SELECT feature, round(dc, 6) AS direction_consistency FROM ({CONSISTENCY})"
 ZERO = "avg(CASE WHEN value IS NULL OR value = 0 THEN 1.0 ELSE 0.0 END)"
 SQL["zero_ratio"] = f"WITH {ROWS} SELECT feature, round({ZERO}, 6) AS zero_ratio FROM rows_ GROUP BY feature"
-SQL["zero_by_sector"] = f"WITH {ROWS} SELECT feature, sector, round({ZERO}, 6) AS zero_ratio FROM rows_ WHERE sector IS NOT NULL GROUP BY feature, sector"
-SQL["zero_by_year"] = f"WITH {ROWS} SELECT feature, CAST(year(earnings_date) AS INTEGER) AS calendar, round({ZERO}, 6) AS zero_ratio FROM rows_ GROUP BY 1, 2"
-SQL["score_dist"] = f"WITH {ROWS} SELECT feature, value AS score, round(count(*) / sum(count(*)) OVER (PARTITION BY feature), 6) AS share FROM rows_ WHERE feature = 'score' AND value IS NOT NULL GROUP BY feature, value"
+BOUNDS = "SELECT feature, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM rows_ WHERE year IN (1995, 1996, 1997) GROUP BY feature"
+CLIPPED = f"{ROWS}, clipped AS (SELECT r.* REPLACE (least(greatest(value, low), high) AS value) FROM rows_ r JOIN ({BOUNDS}) USING (feature))"
+SQL["zero_by_sector"] = f"WITH {CLIPPED} SELECT feature, sector, round({ZERO}, 6) AS zero_ratio FROM clipped WHERE sector IS NOT NULL GROUP BY feature, sector"
+SQL["zero_by_year"] = f"WITH {CLIPPED} SELECT feature, CAST(year(earnings_date) AS INTEGER) AS calendar, round({ZERO}, 6) AS zero_ratio FROM clipped GROUP BY 1, 2"
+SQL["score_dist"] = f"WITH {CLIPPED} SELECT feature, round(value, 6) AS score, round(count(*) / sum(count(*)) OVER (PARTITION BY feature), 6) AS share FROM clipped WHERE value IS NOT NULL GROUP BY feature, value"
+SEASONS = ic('clipped', 'feature, year, quarter', where=TEST)
+SQL["validation_maps"] = f"""WITH {CLIPPED}, m AS (SELECT feature, 'per_sector_ic' AS map, sector AS key, ic AS value FROM ({ic('clipped', 'feature, sector', where=TEST)})
+UNION ALL SELECT feature, 'season_ic', year || 'Q' || quarter, ic FROM ({SEASONS}) UNION ALL SELECT feature, 'zero_by_sector', sector, {ZERO} FROM clipped WHERE sector IS NOT NULL GROUP BY feature, sector
+UNION ALL SELECT feature, 'zero_by_year', CAST(year(earnings_date) AS VARCHAR), {ZERO} FROM clipped GROUP BY feature, year(earnings_date)
+UNION ALL SELECT feature, 'score_dist', CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), count(*) / sum(count(*)) OVER (PARTITION BY feature) FROM clipped WHERE value IS NOT NULL GROUP BY feature, value)
+SELECT feature, map, key, round(sum(value), 6) AS value FROM m GROUP BY feature, map, key"""
 COVERAGE = f"SELECT f.feature, count(p.episode) AS n_test, (SELECT count(*) FROM panel WHERE {TEST}) AS n_panel FROM features f LEFT JOIN (SELECT * FROM panel WHERE {TEST}) p USING (episode) GROUP BY f.feature"
 SQL["coverage"] = f"WITH {PANEL}, {FEATURES} SELECT feature, n_test, n_panel, round(n_test / n_panel, 6) AS coverage, n_test = 0 OR n_test / n_panel < 0.05 AS coverage_failure FROM ({COVERAGE})"
-BOUNDS = "SELECT feature, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM rows_ WHERE year IN (1995, 1996, 1997) GROUP BY feature"
 SQL["winsorize_bounds"] = f"WITH {ROWS} SELECT feature, round(low, 6) AS low, round(high, 6) AS high FROM ({BOUNDS})"
 SQL["winsorized_panel"] = f"WITH {ROWS} SELECT feature, episode, round(least(greatest(value, low), high), 6) AS value FROM rows_ JOIN ({BOUNDS}) USING (feature)"
 SQL["zscore_panel"] = f"WITH {PANEL} SELECT episode, round({TARGET}, 6) AS target FROM panel"
@@ -74,6 +81,7 @@ SQL["single_factor_ic"] = f"WITH {WIDE} SELECT feature, round(ic_mean, 6) AS ic_
 SQL["annual_ic"] = f"WITH {WIDE} SELECT feature, year, round(ic, 6) AS ic, n FROM ({ic('scores', 'feature, year', 'move_neutral', 10)})"
 SQL["valid_year_ic"] = f"WITH {WIDE} SELECT feature, round(ic, 6) AS ic, n FROM ({ic('scores', 'feature, year', 'move_neutral', 10, 'year = 1998')})"
 SQL["covered_ic"] = f"WITH {WIDE}, a AS ({newey_west(ic('scores', 'feature, year, quarter', 'move_neutral', where=TEST))}), c AS ({newey_west(ic('scores', 'feature, year, quarter', 'move_neutral', where=TEST + ' AND text_covered'))}) SELECT c.feature, round(c.ic_mean, 6) AS ic_mean, round(a.ic_mean, 6) AS ic_all, round(c.ic_mean - a.ic_mean, 6) AS delta FROM c JOIN a USING (feature)"
+SQL["fusion_report"] = f"WITH {WIDE}, a AS ({newey_west(ic('scores', 'feature, year, quarter', 'move_neutral', where=TEST))}), c AS ({newey_west(ic('scores', 'feature, year, quarter', 'move_neutral', where=TEST + ' AND text_covered'))}), v AS ({ic('scores', 'feature, year', 'move_neutral', 10, 'year = 1998')}) SELECT a.feature, round(a.ic_mean, 6) AS ic_mean, round(a.t_stat, 6) AS t_stat, a.n_quarters, round(c.ic_mean, 6) AS ic_covered, round(c.ic_mean - a.ic_mean, 6) AS delta, round(v.ic, 6) AS ic_valid FROM a LEFT JOIN c USING (feature) LEFT JOIN v USING (feature)"
 PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS l, '{b}' AS r, {a} AS x, {b} AS y FROM wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(NAMES) for b in NAMES[i:])
 SQL["spearman_matrix"] = f"""WITH {WIDE}, p AS ({PAIRS}), k AS (SELECT l, r, rank() OVER (PARTITION BY l, r ORDER BY x) + (count(*) OVER (PARTITION BY l, r, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l, r ORDER BY y) + (count(*) OVER (PARTITION BY l, r, y) - 1) / 2.0 AS b FROM p)
 SELECT l AS "left", r AS "right", round(corr(a, b), 6) AS rho FROM k GROUP BY l, r"""
@@ -93,6 +101,10 @@ SQL["zero_type"] = f"WITH {RESULTS} SELECT feature, zt AS zero_type FROM res"
 SQL["governance"] = f"WITH {RESULTS} SELECT feature, failed = '' AS passed, failed FROM (SELECT feature, {FAILED} AS failed FROM res)"
 SQL["gate_matrix"] = f"""WITH {RESULTS}, g AS (SELECT feature, NOT cf AND coverage >= 0.05 AS g1, zero_ratio < CASE WHEN even THEN 0.70 ELSE 0.45 END AS g2, abs(t_stat) >= 1.5 AS g3, dc >= 0.60 AS g4 FROM res)
 SELECT *, CASE WHEN NOT g1 THEN 'G1_coverage' WHEN NOT g2 THEN 'G2_zero_ratio' WHEN NOT g3 THEN 'G3_t_stat' WHEN NOT g4 THEN 'G4_direction' END AS failed_by, g1 AND g2 AND g3 AND g4 AS gates_passed FROM g"""
+SQL["gate_failures"] = f"""WITH {RESULTS}, g AS (SELECT feature, k, k % 10 = 3 AS blocked, NOT cf AND coverage >= 0.05 AS g1, zero_ratio < CASE WHEN even THEN 0.70 ELSE 0.45 END AS g2, abs(t_stat) >= 1.5 AS g3, dc >= 0.60 AS g4, k % 4 = 0 OR (k % 9) / 100.0 <= 0.03 AS g5 FROM res),
+n AS (SELECT *, CASE WHEN blocked THEN ['known'] ELSE list_filter([CASE WHEN NOT g1 THEN 'G1_coverage' END, CASE WHEN NOT g2 THEN 'G2_zero_ratio' END, CASE WHEN NOT g3 THEN 'G3_t_stat' END, CASE WHEN NOT g4 THEN 'G4_direction' END, CASE WHEN NOT g5 THEN 'G5_max_drawdown' END], lambda x: x IS NOT NULL) END AS f FROM g)
+SELECT feature, CASE WHEN blocked THEN 'known' END AS blocked_by, CASE WHEN NOT blocked THEN f[1] END AS failed_by, array_to_string(f, ',') AS failed, len(f) = 0 AS gates_passed, CASE WHEN list_contains(f, 'G2_zero_ratio') THEN 'zeros of ' || feature END AS sparse,
+  CASE WHEN len(f) > 0 THEN CAST(len(f) AS VARCHAR) END AS n_failed FROM n"""
 SQL["reversed_sectors"] = f"WITH {RESULTS}, o AS (SELECT res.feature, sector, row_number() OVER (PARTITION BY res.k ORDER BY sector) AS i FROM res JOIN sec USING (k) WHERE (x < 0 AND ic_mean >= 0) OR (x > 0 AND ic_mean < 0)) SELECT feature, coalesce(string_agg(sector, ',' ORDER BY i), '') AS sectors FROM res LEFT JOIN (SELECT * FROM o WHERE i <= 5) USING (feature) GROUP BY feature"
 SQL["worst_sectors"] = f"WITH {RESULTS}, o AS (SELECT k, sector, row_number() OVER (PARTITION BY k ORDER BY z DESC, sector) AS i FROM sec) SELECT feature, string_agg(sector, ',' ORDER BY i) AS worst, round(any_value(polar), 6) AS polar FROM res JOIN o USING (k) WHERE i <= 3 GROUP BY feature"
 SQL["rag_queries"] = f"""WITH {RESULTS}, q AS (SELECT feature, cf, CASE WHEN zero_ratio >= 0.45 THEN CASE WHEN abs(t_stat) >= 1.5 THEN '{G.QUERY_SPARSE}' ELSE '{G.QUERY_AMBIGUOUS}' END END AS a,
@@ -180,16 +192,18 @@ SQL["pass_rate"] = f"WITH {RECORDS} SELECT round(avg(CASE WHEN passed THEN 1.0 E
 SQL["recent_failures"] = f"WITH {RECORDS} SELECT line_no, feature FROM records WHERE line_no % 5 = 0 ORDER BY line_no DESC LIMIT 4"
 SQL["episode_lines"] = f"WITH {RECORDS} SELECT line_no, concat_ws(' | ', 'Feature: ' || feature, 'Definition: ' || definition, 'Outcome: ' || outcome, CASE WHEN NOT passed THEN 'Failures: ' || array_to_string(failures, ', ') END, CASE WHEN NOT passed THEN 'Root Cause: ' || diagnosis_root_cause END, CASE WHEN NOT passed THEN 'Fix: ' || diagnosis_fix END, CASE WHEN passed THEN printf('IC=%+.4f t=%+.3f', ic_mean, t_stat) END) AS line FROM records"
 SQL["patch_merge"] = f"WITH {RECORDS}, p AS (SELECT 'feat_' || (line_no % 40) AS feature, arg_max(diagnosis_fix, line_no) AS diagnosis FROM records GROUP BY 1) SELECT feature, line_no, diagnosis FROM records LEFT JOIN p USING (feature)"
-SQL["unexplored_anti"] = f"WITH {RECORDS} SELECT 'feat_' || (line_no % 300) AS feature, min(line_no) AS line_no FROM records WHERE 'feat_' || (line_no % 300) NOT IN (SELECT feature FROM records WHERE line_no % 4 = 0) GROUP BY 1"
-SQL["queue_order"] = f"WITH {RECORDS}, q AS (SELECT feature, 0 AS p, line_no, 'seed' AS source FROM records WHERE line_no % 3 = 0 UNION ALL SELECT feature, 1, line_no, 'repair' FROM records WHERE line_no % 2 = 1) SELECT feature, arg_min(source, (p, line_no)) AS source, arg_min(line_no, (p, line_no)) AS line_no FROM q WHERE feature NOT IN (SELECT feature FROM records WHERE line_no % 5 = 0) GROUP BY feature"
+SQL["unexplored_anti"] = f"WITH {RECORDS} SELECT 'feat_' || (line_no % 300) AS feature, min(line_no) AS line_no FROM records WHERE 'feat_' || (line_no % 300) NOT IN (SELECT feature FROM records WHERE ic_mean > 0.25) GROUP BY 1"
+SQL["queue_order"] = f"WITH {RECORDS}, q AS (SELECT feature, 0 AS p, line_no, 'seed' AS source FROM records WHERE repair_of IS NULL UNION ALL SELECT feature, 1, line_no, 'repair' FROM records WHERE repair_of IS NOT NULL) SELECT feature, arg_min(source, (p, line_no)) AS source, arg_min(line_no, (p, line_no)) AS line_no FROM q WHERE feature NOT IN (SELECT feature FROM records WHERE ic_mean > 0.4) GROUP BY feature"
 SQL["lineage_compare"] = f"""WITH {RECORDS}, l AS (SELECT n.repair_of, o.ic_mean AS oi, n.ic_mean AS ni, o.zero_ratio AS oz, n.zero_ratio AS nz, o.direction_consistency AS od, n.direction_consistency AS nd FROM records n JOIN records o ON n.repair_of = o.feature),
 m AS (SELECT repair_of, 'ic_mean' AS metric, oi AS old, ni AS new, ni > oi AS better FROM l UNION ALL SELECT repair_of, 'zero_ratio', oz, nz, nz < oz FROM l UNION ALL SELECT repair_of, 'direction_consistency', od, nd, nd > od FROM l)
 SELECT repair_of, metric, round(CAST(old AS DOUBLE), 6) AS old, round(CAST(new AS DOUBLE), 6) AS new, round(CAST(new AS DOUBLE) - CAST(old AS DOUBLE), 6) AS delta, better FROM m"""
-SQL["exploration_summary"] = f"WITH {RECORDS} SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, md5(string_agg(feature, ',' ORDER BY line_no) FILTER (passed)) AS names FROM records"
-SQL["least_used_cluster"] = f"WITH {RECORDS}, c AS (SELECT cluster, min(line_no) AS place FROM records GROUP BY 1), u AS (SELECT c.cluster, place, count(r.line_no) AS n FROM c LEFT JOIN (SELECT * FROM records WHERE line_no % 2 = 0) r ON c.cluster = r.cluster GROUP BY 1, 2) SELECT arg_min(cluster, (n, place)) AS cluster FROM u"
+SQL["exploration_summary"] = f"WITH {RECORDS} SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM records"
+SQL["passed_names"] = f"WITH {RECORDS} SELECT line_no, feature FROM records WHERE passed"
+SQL["first_records"] = f"WITH {RECORDS} SELECT replace(feature, '_v2', '') AS feature, min(line_no) AS line_no, arg_min(definition, line_no) AS definition, arg_min_null(repair_of, line_no) AS repair_of FROM records GROUP BY 1"
+SQL["least_used_cluster"] = f"WITH {RECORDS}, c AS (SELECT cluster, min(line_no) AS place FROM records GROUP BY 1), u AS (SELECT c.cluster, place, count(r.line_no) AS n FROM c LEFT JOIN records r ON c.cluster = r.cluster GROUP BY 1, 2) SELECT arg_min(cluster, (n, place)) AS cluster FROM u"
 SQL["feature_dedup"] = f"WITH {RECORDS} SELECT replace(feature, '_v2', '') AS feature, max(line_no) AS line_no, arg_max(definition, line_no) AS definition FROM records GROUP BY 1"
-SQL["metadata_upsert"] = "SELECT p_partkey AS chunk_id, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE 'new' END AS p_name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0"
-SQL["index_resume"] = "SELECT p_partkey AS chunk_id, p_name FROM part WHERE p_partkey % 3 = 0"
+SQL["metadata_upsert"] = "SELECT p_partkey AS chunk_id, CASE WHEN p_size <= 30 THEN p_name ELSE 'new' END AS p_name FROM part WHERE p_size <= 30 OR p_size > 20"
+SQL["index_resume"] = "SELECT p_partkey AS chunk_id, p_name FROM part WHERE p_size > 30"
 SQL["signal_counts"] = f"WITH {FEATURES} SELECT feature, count(*) FILTER (value = 0) AS without, count(*) FILTER (value <> 0) AS with_signal, round(sum(least(greatest(value, -1), 1)), 4) AS clipped FROM features GROUP BY feature"
 SQL["recent_window"] = f"WITH {STEPS} SELECT run_id, step_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY step_id DESC) AS INTEGER) AS r FROM steps QUALIFY r <= 3"
 SQL["ranked_candidates"] = f"WITH {RECORDS} SELECT feature, passed, round(CAST(ic_mean AS DOUBLE), 6) AS ic_mean FROM records ORDER BY passed DESC, records.ic_mean DESC, feature LIMIT 10"
@@ -206,5 +220,6 @@ SQL["score_assignment"] = """WITH b AS (SELECT o_orderkey AS episode, (row_numbe
 SELECT episode, CASE WHEN i = 1 THEN CAST(batch % 3 AS DOUBLE) WHEN i = 3 AND batch % 2 = 0 THEN greatest(0.0 - CAST(batch % 4 AS DOUBLE), -2.0) END AS value FROM b"""
 SQL["chunk_lookup"] = f"WITH {scored(6)}, f AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 12) SELECT chunk_id, md5(left(text, 300)) AS digest, round(f.score, 6) AS score FROM f JOIN documents ON doc_id = chunk_id"
 SQL["run_documents"] = f"""WITH {STEPS}, l AS (SELECT run_id, step_id, state, concat_ws(' ', '[Step' || step_id || '|' || state || ']', tool || CASE WHEN ok THEN '✓' ELSE '✗' END, CASE WHEN coalesce(ms, 0) <> 0 THEN printf('%.0fms', ms) END, '→' || decision, CASE WHEN NOT ok THEN 'err=it failed' END) AS line, row_number() OVER (PARTITION BY run_id ORDER BY step_id DESC) AS r FROM steps)
-SELECT run_id, CAST(length('{{"run_id":' || run_id || ',"steps":[]}}') + sum(length('{{"step_id":' || step_id || ',"state":"' || state || '"}}')) + count(*) - 1 AS INTEGER) AS chars, string_agg(line, ' | ' ORDER BY step_id) FILTER (r <= 2) AS summary FROM l GROUP BY run_id"""
+SELECT run_id, step_id // 100 AS part, md5('[' || string_agg('{{"step_id":' || step_id || ',"state":"' || state || '"}}', ',' ORDER BY step_id) || ']') AS digest, any_value(summary) AS summary
+FROM l JOIN (SELECT run_id, string_agg(line, ' | ' ORDER BY step_id) AS summary FROM l WHERE r <= 2 GROUP BY run_id) USING (run_id) GROUP BY run_id, step_id // 100"""
 SQL["report_documents"] = f"""WITH {RESULTS} SELECT feature, '{{"feature":"' || feature || '","k":' || k || ',"coverage_failure":' || CASE WHEN cf THEN 'true' ELSE 'false' END || '}}' AS document FROM res"""
