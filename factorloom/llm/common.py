@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,45 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.sources.scratch import STORED, drop_stored, shared_dir, stored  # noqa: F401
+
 U64 = np.uint64
 #: Byte maps: words of letters and digits (op1) lower-cased, and plain A-Z lower-casing.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one in the warehouse, or a temporary
-    one if the session is local (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        found = "file://" + tempfile.mkdtemp(prefix="factorloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_factorloom"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-STORED: list[str] = []
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete stored tables of this process, all or those of `paths`, once the results that read them are written."""
-    for at in list(STORED) if paths is None else paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        STORED.remove(at)
-
-
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Whole texts may be long, so Arrow batches to Python hold few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

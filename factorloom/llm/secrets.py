@@ -4,7 +4,8 @@ Base spans are assignments of secrets, access identifiers and hex runs. Weak can
 mixed strings, endpoints) are reported only where complementary parts co-occur: the parts of a document are points on
 a line, and a range window of SCOPE code points around each one, which is an interval join that emits no pairs, counts
 the identifiers, secrets and endpoints in its scope. A weak identifier needs a secret, a weak secret an identifier,
-and an endpoint both. Weak candidates that overlap base spans are left out.
+and an endpoint both. Weak candidates that overlap base spans are left out. Each reported identifier is linked with the
+nearest reported secret in its scope, and the nearest endpoint if there is one, the earlier of two as near.
 
 Positions come from the text's pieces between matches: a match starts after all earlier pieces and matches.
 
@@ -51,8 +52,8 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def linked_spans(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, kind, order, start, end: all reported spans of rows (row_id, doc_id, text); a document without
-    any has one row of null kind."""
+    """row_id, doc_id, kind, order, start, end, part, secret, endpoint: all reported spans of rows (row_id, doc_id, text),
+    and of identifiers the spans (start, end) they are linked with; a document without any span has rows of null kind."""
     found = rows.select("row_id", "doc_id", F.posexplode_outer(F.concat(*[_candidates(F.col("text"), k) for k in KINDS])).alias("n", "m"))
     so_far = Window.partitionBy("row_id", "order").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     flat = found.select("row_id", "doc_id", "n", "m.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
@@ -61,7 +62,8 @@ def linked_spans(rows: DataFrame) -> DataFrame:
     base = F.col("kind").isin(*BASE)
     part = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[3])])[F.col("kind")]
     line = Window.partitionBy("row_id").orderBy("start", "order", "end")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    backward = Window.partitionBy("row_id").orderBy(F.desc("start"), F.desc("order"), F.desc("end"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (line, backward))
     overlaps = F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False))
     clear = flat.withColumn("overlaps", overlaps).filter(F.col("kind").isNull() | base | ~F.col("overlaps")).withColumn("part", part)
     scope = Window.partitionBy("row_id").orderBy("start").rangeBetween(-SCOPE, SCOPE)
@@ -72,15 +74,27 @@ def linked_spans(rows: DataFrame) -> DataFrame:
         .otherwise(F.col("identifiers") & F.col("secrets"))
     )
     # a weak candidate that lacks partners still stands for its document, as a row of null kind
-    return linked.select("row_id", "doc_id", F.when(complete, F.col("kind")).alias("kind"), "order", "start", "end")
+    told = linked.withColumn("kind", F.when(complete, F.col("kind")))
+
+    def nearest(p: str) -> Column:
+        here = F.when(F.col("kind").isNotNull() & (F.col("part") == p), F.struct("start", "end"))
+        last, first = F.last(here, ignorenulls=True).over(before), F.last(here, ignorenulls=True).over(after)
+        back, forth = F.col("start") - last["start"], first["start"] - F.col("start")
+        return F.when((back <= SCOPE) & (F.coalesce(forth, back) >= back), last).when(forth <= SCOPE, first).when(back <= SCOPE, last)
+
+    identifies = F.col("kind").isNotNull() & (F.col("part") == "identifier")
+    return told.select("row_id", "doc_id", "kind", "order", "start", "end", "part", *[F.when(identifies, nearest(p)).alias(p) for p in ("secret", "endpoint")])
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, credentials (start-secret or
+    start-secret-endpoint of each linked identifier, by their starts)."""
     spans = linked_spans(with_ids(docs)).withColumn("span", F.struct("start", "order", F.concat_ws(":", "kind", "start", "end").alias("said")))
     listed = lambda condition: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, F.col("span")))), lambda x: x["said"]), ",")
     counts = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(f"n_{k}") for k in BASE]
-    grouped = spans.groupBy("row_id", "doc_id").agg(*counts, F.sha2(listed(F.col("kind").isin(*BASE)), 256).alias("base_sha256"), listed(F.col("kind").isNotNull()).alias("spans"))
+    linked = F.when(F.col("secret").isNotNull(), F.struct("start", F.concat_ws("-", "start", "secret.start", "endpoint.start").alias("said")))
+    credentials = F.array_join(F.transform(F.array_sort(F.collect_list(linked)), lambda x: x["said"]), ",")
+    grouped = spans.groupBy("row_id", "doc_id").agg(*counts, F.sha2(listed(F.col("kind").isin(*BASE)), 256).alias("base_sha256"), listed(F.col("kind").isNotNull()).alias("spans"), credentials.alias("credentials"))
     return grouped.drop("row_id")
 
 
@@ -125,8 +139,12 @@ o AS (SELECT *, coalesce(max(CASE WHEN base THEN stop END) OVER (PARTITION BY ri
   OR coalesce(min(CASE WHEN base THEN start END) OVER (PARTITION BY rid ORDER BY start, ord, stop ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < stop, false) AS hidden FROM f),
 s AS (SELECT *, sum(CASE WHEN part = 'identifier' THEN 1 ELSE 0 END) OVER w > 0 AS ids, sum(CASE WHEN part = 'secret' THEN 1 ELSE 0 END) OVER w > 0 AS keys FROM o WHERE base OR NOT hidden
   WINDOW w AS (PARTITION BY rid ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
-r AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM s WHERE base OR CASE part WHEN 'identifier' THEN keys WHEN 'secret' THEN ids ELSE ids AND keys END)
+q AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM s WHERE base OR CASE part WHEN 'identifier' THEN keys WHEN 'secret' THEN ids ELSE ids AND keys END),
+n AS (SELECT *, {", ".join(f"start - last_value(CASE WHEN part = '{p}' THEN start END IGNORE NULLS) OVER b AS {p}_back, first_value(CASE WHEN part = '{p}' THEN start END IGNORE NULLS) OVER f - start AS {p}_forth" for p in ("secret", "endpoint"))} FROM q
+  WINDOW b AS (PARTITION BY rid ORDER BY start, ord, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY rid ORDER BY start, ord, stop ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT *, {", ".join(f"CASE WHEN least({p}_back, {p}_forth) > {SCOPE} THEN NULL WHEN {p}_back IS NULL OR {p}_forth < {p}_back THEN start + {p}_forth ELSE start - {p}_back END AS {p}" for p in ("secret", "endpoint"))} FROM n)
 SELECT any_value(doc_id) AS doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
-  sha256(coalesce(string_agg(said, ',' ORDER BY start, ord) FILTER (base), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, ord), '') AS spans
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, ord) FILTER (base), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, ord), '') AS spans,
+  coalesce(string_agg(concat_ws('-', start, secret, endpoint), ',' ORDER BY start) FILTER (part = 'identifier' AND secret IS NOT NULL), '') AS credentials
 FROM d LEFT JOIN r USING (rid) GROUP BY rid
 """
