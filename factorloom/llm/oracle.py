@@ -57,4 +57,6 @@ SELECT e.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(f.doc_id) AS com
 FROM reach JOIN d e ON e.rid = reach.a JOIN d f ON f.rid = reach.b LEFT JOIN n ON n.rid = e.rid LEFT JOIN cls ON cls.rid = e.rid LEFT JOIN links ON links.rid = e.rid GROUP BY e.rid, e.doc_id
 """
 
-SQL = {"op1_decontamination": OP1, "op4_secrets": secrets.SQL, "op5_chat_format": OP5, "op7_substring_dedup": OP7, "op10_jaccard_join": OP10}
+LAYOUTS = """SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS conv_id, role, text, CASE turn % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' ELSE 'message_parts' END AS layout FROM conversations"""
+
+SQL = {"chat_layouts": LAYOUTS, "op1_decontamination": OP1, "op4_secrets": secrets.SQL, "op5_chat_format": OP5, "op7_substring_dedup": OP7, "op10_jaccard_join": OP10}

@@ -74,6 +74,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows of benchmark items each document holds with their words up to one place off, in any order."""
+    from pyspark.sql import functions as F
+
+    from factorloom.llm import decontamination as dc
+
+    items = dc.sequences(_table(spark, sf_dir, "benchmark")).select("sequence", "words")
+    index = dc.stored(dc.build_index(dc.with_ids(_table(spark, sf_dir, "documents"))), "index")
+    found = dc.find(index, items, 10, 1).select("row_id", "sequence", "offset").distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("n_near"))
+    return index.filter("term = ''").join(found, "row_id", "left").select("doc_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a record of one of three layouts, told apart by their fingerprints: conv_id, role, text, layout."""
+    from pyspark.sql import functions as F
+
+    from factorloom.llm import chat
+
+    said = lambda role, text: F.array(F.struct(F.col("role").alias(role), text.alias("value" if role == "from" else "content")))
+    text = F.col("text")
+    parts = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    record = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(said("role", text).alias("messages")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(said("from", text).alias("conversations")))).otherwise(F.to_json(F.struct(said("role", parts).alias("messages"))))
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), record.alias("record"))
+    return chat.turns_of_json(rows).drop("turn")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +107,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline} | {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
+    more = {"pipeline": pipeline, "proximity_search": proximity_search, "chat_layouts": chat_layouts}
+    return more | {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

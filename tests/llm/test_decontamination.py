@@ -58,3 +58,27 @@ def test_proximity(spark):
     by = lambda slop: {r.row_id for r in dc.find(index, items, 10, slop).join(index.filter("term = ''").select("row_id", "doc_id"), "row_id").select("doc_id").withColumnRenamed("doc_id", "row_id").collect()}
     assert by(0) == {1}
     assert by(1) == {1, 2}
+
+
+def test_proximity_matches_brute_force(spark, docs, tmp_path):
+    """Windows whose every word is at most one place off, by trying all starts, on texts with swapped and shifted words."""
+    from factorloom.llm import registry
+
+    bench = words(ITEMS[0][1])
+    swapped = bench[:3] + [bench[4], bench[3]] + bench[5:]
+    texts = [r.text for r in docs.collect()][:30] + [" ".join(["x", *swapped, "y"]), " ".join(bench[:5] + ["new"] + bench[5:]), " ".join(bench[:4] + bench[5:]), " ".join(reversed(bench)), "one", "two"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    windows = {(tuple(i), k, tuple(i[k : k + 10])) for _, t in ITEMS for i in [words(t)] for k in range(max(len(i) - 9, 1 if i else 0))}
+
+    def near(text):
+        w = words(text)
+        at = {}
+        for p, x in enumerate(w):
+            at.setdefault(x, set()).add(p)
+        fits = lambda win, s: all(any(s + o + d in at.get(x, ()) for d in (-1, 0, 1)) for o, x in enumerate(win))
+        return sum(any(fits(win, s) for s in range(-1, len(w) + 1)) for _, _, win in windows)
+
+    got = {r.doc_id: r.n_near for r in registry.proximity_search(spark, str(tmp_path)).collect()}
+    assert got == {k: near(t) for k, t in enumerate(texts)}
+    assert got[30] > 0 and got[31] > 0 and got[34] == 1
