@@ -73,7 +73,7 @@ def whole(spark, transcript):
 def test_transcript_turns(spark):
     text = "intro dropped\nSue Roe, CFO: " + "We had a good year. " * 8 + "\nOperator: thanks\nBob Lee: " + "ok. " * 30 + "\nQuestions and Answers\nAnn, Morgan Stanley: " + "what of margins? " * 10
     rows = whole(spark, text)
-    assert [(r.section_type, r.speaker_role) for r in rows] == [("prepared", "mgmt"), ("prepared", "mgmt"), ("prepared", "analyst")] or len(rows) >= 3
+    assert [(r.section_type, r.speaker_role) for r in rows] == [("prepared", "mgmt"), ("prepared", "operator"), ("prepared", "mgmt"), ("prepared", "analyst")]
     assert "intro dropped" not in " ".join(r.text for r in rows)
     assert whole(spark, "") == [] and whole(spark, None) == []
 
@@ -89,8 +89,10 @@ def test_pack_keeps_limits(texts):
     pieces = [(k, t.strip()) for k, t in enumerate(texts) if t.strip()]
     out = list(ch.pack(pieces, 20, 100, 5))
     assert all(len(t) <= 100 + 20 for _, _, t in out)
-    joined = "".join("".join(t.split()) for _, _, t in out)
-    assert sorted(joined) == sorted("".join("".join(t.split()) for _, t in pieces)) or len(joined) >= sum(len("".join(t.split())) for _, t in pieces) - 5
+    # nothing is lost but a last waiting text of fewer than 5 characters; waiting texts may come after a later cut
+    letters = lambda texts: sorted("".join("".join(t.split()) for t in texts))
+    lost = len(letters(t for _, t in pieces)) - len(letters(t for _, _, t in out))
+    assert 0 <= lost < 5
 
 
 def test_sentence_cut():
