@@ -7,8 +7,8 @@ against the postings of all the phrase's terms. With slop above 0 each term may
 place, in any order: a proximity match.
 
 The vocabulary that limits the index is broadcast only up to VOCABULARY terms; a larger benchmark gets an index of all
-terms. Windows are broadcast only up to PHRASES of them, and the documents left to settle up to
-ROWS ids; beyond that they are joined by shuffle.
+terms. Windows are broadcast only up to PHRASES of them, the items' words up to ten times as many, and the documents
+left to settle up to ROWS ids; beyond that they are joined by shuffle.
 
 Defined cases: a null or empty text has no words and no hits. Items without words have no windows; items of fewer
 words than a window are one window. Rows that repeat, by doc_id or in full, are indexed and reported each for itself.
@@ -57,9 +57,10 @@ def build_index(rows: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """Postings (row_id, doc_id, term, positions) of the given terms of rows (row_id, doc_id, text), or of all terms;
     term '' holds [number of words]."""
     small_batches(rows.sparkSession)
-    fixed = None if terms is None else sorted(terms)
+    sent = None if terms is None else rows.sparkSession.sparkContext.broadcast(sorted(terms))  # VOCABULARY of them at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = None if sent is None else sent.value
         known = None if fixed is None else {t.encode(): k for k, t in enumerate(fixed)}
         spelled = None if fixed is None else pa.array(fixed, pa.string())
         for batch in batches:
@@ -110,6 +111,7 @@ def find(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) ->
     )
     ranked = stored(ranked.select("sequence", "window", F.size("ranked").alias("length"), F.col("ranked")[0].alias("a"), F.expr("get(ranked, 1)").alias("b")), "windows")
     near = F.broadcast if ranked.count() <= PHRASES else _as_is
+    near_words = F.broadcast if words.count() <= 10 * PHRASES else _as_is
 
     def diagonals(which: str) -> DataFrame:
         of = ranked.filter(F.col(which).isNotNull()).select("sequence", F.col(f"{which}.term").alias("term"), F.col(f"{which}.offset").alias(f"{which}_offset")).distinct()
@@ -132,7 +134,7 @@ def find(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) ->
     # the anchor itself may be off its place, so that starts around its diagonal are settled too
     starts = F.col("at") if slop == 0 else F.array_distinct(F.flatten(F.transform("at", lambda d: F.sequence(d - slop, d + slop))))
     places = left.withColumn("diagonal", F.explode(starts)).drop("at").distinct().alias("l").join(near(pairs).alias("p"), same).select("l.row_id", "l.sequence", "diagonal", "window", "length").distinct()
-    checks = places.join(near(words.drop("size")), "sequence").filter(inside).withColumn("at", F.col("diagonal") + F.col("offset"))
+    checks = places.join(near_words(words.drop("size")), "sequence").filter(inside).withColumn("at", F.col("diagonal") + F.col("offset"))
     there = F.array_contains("positions", F.col("at")) if slop == 0 else F.exists("positions", lambda p: F.abs(p - F.col("at")) <= slop)
     settled = checks.join(of_rows, ["row_id", "term"]).filter(there).groupBy("row_id", "sequence", "window", "diagonal", "length").agg(F.count(F.lit(1)).alias("n"))
     return settled.filter("n = length").select("row_id", "sequence", F.col("window").alias("offset"), (F.col("diagonal") + F.col("window")).alias("start"), "length")

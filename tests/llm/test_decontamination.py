@@ -51,6 +51,14 @@ def test_edges(spark, repeated, empty, clashing):
     assert len(none) == 20 and not any(r.contaminated for r in none)
 
 
+def test_a_very_long_text(spark):
+    """One text of some 5 MB among short ones, dealt by a shuffle, with a window at its end."""
+    rows = [(1, " ".join(f"w{k % 1000}" for k in range(1_000_000)) + " " + ITEMS[4][1])] + [(k, "short one" if k == 5 else "short text") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in dc.contaminated_words(docs, spark.createDataFrame(ITEMS, "item_id string, text string")).collect()}
+    assert got[1] == (1_000_010, 10, 2) and got[5] == (2, 1, 2) and got[6] == (2, 0, 0)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red big fox jumps"), (2, "big red fox jumps"), (3, "red fox"), (4, "jumps far away from the red old big fox")], "doc_id long, text string")
     items = dc.sequences(spark.createDataFrame([("p", "red big fox jumps")], "item_id string, text string")).select("sequence", "words")

@@ -37,6 +37,17 @@ def test_small_window(docs):
     check(docs, 12)
 
 
+def test_a_very_long_text(spark):
+    """One text of some 8 MB among short ones, dealt by a shuffle: it shares a passage with a short text and with itself."""
+    words = [f"w{k * 7919 % 900_001}" for k in range(900_000)]
+    passage = [f"p{k}" for k in range(40)]
+    long = words[:500_000] + passage + words[500_000:] + words[100:160]
+    rows = [(1, " ".join(long)), (2, "a " + " ".join(passage[1:]) + " b")] + [(k, f"short text {k}") for k in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(docs).collect()}
+    assert got[1] == (900_100, 39 + 120) and got[2] == (41, 39) and all(got[k] == (3, 0) for k in range(3, 40))
+
+
 def test_edges(repeated, empty, clashing):
     check(repeated)
     check(clashing)
