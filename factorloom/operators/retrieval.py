@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.ordering import with_position
 
+#: Query vectors that are broadcast together, in expectation.
+QUERIES = 1000
+
 
 def inner_product(a: Column, b: Column) -> Column:
     """Sum of products in double precision."""
@@ -48,10 +53,17 @@ def scoped_top_k(chunks: DataFrame, query: list[float], k: int, total: int, sect
 def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, by: list[str], key: str = "chunk_id") -> DataFrame:
     """The best `total` rows over several queries' best `per_query`, one row for each value of `by`: its best score.
 
-    queries (query_id, vector) is a stated set of a few rows and is broadcast.
+    queries (query_id, vector) is a stated set: blocks of some QUERIES meet all chunks, each block broadcast.
     """
-    pairs = chunks.join(F.broadcast(queries)).withColumn("score", inner_product(F.col("embedding"), F.col("vector")))
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= per_query)
+    blocks = max(1, -(-queries.count() // QUERIES))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+
+    def of_block(k: int) -> DataFrame:
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = chunks.join(F.broadcast(some)).withColumn("score", inner_product(F.col("embedding"), F.col("vector")))
+        return pairs.withColumn("rank", rank).filter(F.col("rank") <= per_query)
+
+    best = reduce(DataFrame.unionByName, map(of_block, range(blocks)))
     one = best.withColumn("again", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "query_id", key))).filter("again = 1")
     return one.orderBy(F.desc("score"), key).limit(total).drop("rank", "again", "vector")
 
