@@ -6,6 +6,7 @@ zero_by_sector, per_sector_ic, score_dist, zero_by_year. Maps have string keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -169,6 +170,15 @@ class Pipeline:
         return out.withColumn("notes", F.when(~F.col("gates_passed"), notes))
 
 
+    def run_with_executor(self, rows: DataFrame, executor: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """rows that no pre gate blocks go through the executor, which may add columns, and then the post gates; blocked
+        ones keep nulls there."""
+        checked = replace(self, post=(), handlers=()).run(rows).select(*rows.columns, "blocked_by")
+        done = replace(self, pre=()).run(executor(checked.filter("blocked_by is null").drop("blocked_by")))
+        blocked = replace(self, post=()).run(rows).filter("blocked_by is not null")
+        return done.unionByName(blocked, allowMissingColumns=True)
+
+
 def symptom_queries() -> Column:
     """At most two search texts for a failed result."""
     zero, t, dc, ic = F.coalesce("zero_ratio", F.lit(0.0)), F.abs(F.coalesce("t_stat", F.lit(0.0))), F.coalesce("direction_consistency", F.lit(1.0)), F.abs(F.coalesce("ic_mean", F.lit(0.0)))

@@ -36,6 +36,19 @@ def encoded(chunks: DataFrame, encoder: Callable[[], Encoder], batch: int = 16)
     return chunks.mapInPandas(run, fields + ", embedding array<float>")
 
 
+def cls_pooled(tokens: Column) -> Column:
+    """The first of an array of token vectors: how retrieval's encoder sums up a text."""
+    return F.get(tokens, F.lit(0))
+
+
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors whose mask is 1: how memory's encoder does; zeros if there is none."""
+    kept = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(1))), F.get(kept, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return F.transform(total, lambda x: x / count)
+
+
 def hashed_encoder(size: int = 64) -> Callable[[], Encoder]:
     """An encoder of hashed word counts."""
     import zlib

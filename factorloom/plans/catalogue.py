@@ -281,6 +281,14 @@ def gate_failures(s: SparkSession, d: str) -> DataFrame:
     return ran.select("feature", "blocked_by", "failed_by", F.array_join("failed_gates", ",").alias("failed"), "gates_passed", F.col("notes")["sparse"].alias("sparse"), F.col("notes")["count"].alias("n_failed"))
 
 
+@query
+def gate_executor(s: SparkSession, d: str) -> DataFrame:
+    """Governance as the step between the gates: it runs on what no pre gate blocks."""
+    known = gates.Gate("known", F.col("k") % 10 != 3)
+    ran = gates.Pipeline().add(known, pre=True).run_with_executor(D.results(s, d), gates.governance)
+    return ran.select("feature", "blocked_by", "passed", "failed_by", "gates_passed")
+
+
 @query
 def reversed_sectors(s: SparkSession, d: str) -> DataFrame:
     return D.results(s, d).select("feature", F.array_join(gates.reversed_sectors(), ",").alias("sectors"))
@@ -353,6 +361,16 @@ def vector_norms(s: SparkSession, d: str) -> DataFrame:
     return D.chunks(s, d).select("chunk_id", r6(F.get(v, F.lit(0)), "first"), r6(retrieval.inner_product(v, v), "norm"))
 
 
+@query
+def pooled_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors as four token vectors each, the third masked for odd labels, summed up in both ways."""
+    rows = D.table(s, d, "embeddings").withColumn("tokens", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16))))
+    mask = F.array(F.lit(1), F.lit(1), F.when(F.col("label") % 2 == 0, 1).otherwise(0), F.lit(1))
+    first, mean = scoring.cls_pooled(F.col("tokens")), scoring.mean_pooled(F.col("tokens"), mask)
+    unit = retrieval.normalised(mean)
+    return rows.select("vec_id", r6(F.get(first, F.lit(15)), "first"), r6(F.get(mean, F.lit(3)), "mean"), r6(F.get(unit, F.lit(3)), "unit"))
+
+
 @query
 def episode_head(s: SparkSession, d: str) -> DataFrame:
     scored = retrieval.scored(D.chunks(s, d), D.vector(s, d, 0))

@@ -105,6 +105,8 @@ SQL["gate_failures"] = f"""WITH {RESULTS}, g AS (SELECT feature, k, k % 10 = 3 A
 n AS (SELECT *, CASE WHEN blocked THEN ['known'] ELSE list_filter([CASE WHEN NOT g1 THEN 'G1_coverage' END, CASE WHEN NOT g2 THEN 'G2_zero_ratio' END, CASE WHEN NOT g3 THEN 'G3_t_stat' END, CASE WHEN NOT g4 THEN 'G4_direction' END, CASE WHEN NOT g5 THEN 'G5_max_drawdown' END], lambda x: x IS NOT NULL) END AS f FROM g)
 SELECT feature, CASE WHEN blocked THEN 'known' END AS blocked_by, CASE WHEN NOT blocked THEN f[1] END AS failed_by, array_to_string(f, ',') AS failed, len(f) = 0 AS gates_passed, CASE WHEN list_contains(f, 'G2_zero_ratio') THEN 'zeros of ' || feature END AS sparse,
   CASE WHEN len(f) > 0 THEN CAST(len(f) AS VARCHAR) END AS n_failed FROM n"""
+SQL["gate_executor"] = f"""WITH {RESULTS}, g AS (SELECT feature, k % 10 = 3 AS blocked, {FAILED} AS failed, CASE WHEN cf OR coverage < 0.05 THEN 'G1_coverage' WHEN zero_ratio >= CASE WHEN even THEN 0.70 ELSE 0.45 END THEN 'G2_zero_ratio' WHEN abs(t_stat) < 1.5 THEN 'G3_t_stat' WHEN dc < 0.60 THEN 'G4_direction' END AS first FROM res)
+SELECT feature, CASE WHEN blocked THEN 'known' END AS blocked_by, CASE WHEN NOT blocked THEN failed = '' END AS passed, CASE WHEN NOT blocked THEN first END AS failed_by, NOT blocked AND first IS NULL AS gates_passed FROM g"""
 SQL["reversed_sectors"] = f"WITH {RESULTS}, o AS (SELECT res.feature, sector, row_number() OVER (PARTITION BY res.k ORDER BY sector) AS i FROM res JOIN sec USING (k) WHERE (x < 0 AND ic_mean >= 0) OR (x > 0 AND ic_mean < 0)) SELECT feature, coalesce(string_agg(sector, ',' ORDER BY i), '') AS sectors FROM res LEFT JOIN (SELECT * FROM o WHERE i <= 5) USING (feature) GROUP BY feature"
 SQL["worst_sectors"] = f"WITH {RESULTS}, o AS (SELECT k, sector, row_number() OVER (PARTITION BY k ORDER BY z DESC, sector) AS i FROM sec) SELECT feature, string_agg(sector, ',' ORDER BY i) AS worst, round(any_value(polar), 6) AS polar FROM res JOIN o USING (k) WHERE i <= 3 GROUP BY feature"
 SQL["rag_queries"] = f"""WITH {RESULTS}, q AS (SELECT feature, cf, CASE WHEN zero_ratio >= 0.45 THEN CASE WHEN abs(t_stat) >= 1.5 THEN '{G.QUERY_SPARSE}' ELSE '{G.QUERY_AMBIGUOUS}' END END AS a,
@@ -134,6 +136,8 @@ b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score
 SELECT page_num, chunk_id, round(score, 6) AS score FROM o ORDER BY o.score DESC, chunk_id LIMIT 8"""
 SQL["memory_topk"] = f"WITH {scored(5)}, f AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 5) SELECT chunk_id, round(score, 6) AS score FROM f WHERE f.score > 0.1"
 SQL["vector_norms"] = f"WITH n AS (SELECT vec_id, embedding, sqrt({DOT.format(a='embedding', b='embedding')}) AS len FROM embeddings) SELECT vec_id AS chunk_id, round(embedding[1] / len, 6) AS first, round(1.0::DOUBLE, 6) AS norm FROM n"
+SQL["pooled_vectors"] = f"""WITH t AS (SELECT vec_id, embedding AS e, CASE WHEN label % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS m FROM embeddings), p AS (SELECT vec_id, e[16] AS first, list_transform(range(1, 17), lambda i: (e[i]::DOUBLE + e[i + 16] + e[i + 32] * m + e[i + 48]) / (3 + m)) AS mean FROM t)
+SELECT vec_id, round(first, 6) AS first, round(mean[4], 6) AS mean, round(mean[4] / sqrt(list_sum(list_transform(mean, lambda x: x * x))), 6) AS unit FROM p"""
 SQL["episode_head"] = f"WITH {scored(0)}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored) SELECT episode, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3"
 SQL["batch_assign"] = f"WITH {PANEL} SELECT episode, CAST(floor((row_number() OVER (ORDER BY symbol, episode) - 1) / 50) AS BIGINT) AS batch FROM panel"
 QUOTA = "SELECT year, count(*) AS n, CAST(greatest(1, round_even(400 * count(*) / (SELECT count(*) FROM panel), 0)) AS INTEGER) AS quota FROM panel GROUP BY year"

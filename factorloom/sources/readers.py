@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +32,11 @@ def folder(spark: SparkSession, path: str, columns: list[str], rows_per_file: in
 
 
 def files_with(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """The union of those files that have all columns; the others are skipped."""
-    good = [d.select(*columns) for d in (spark.read.parquet(p) for p in sorted(paths)) if set(columns) <= set(d.columns)]
+    """The union of those files that have all columns; the others are skipped with a warning that names them."""
+    read = {p: spark.read.parquet(p) for p in sorted(paths)}
+    good = [d.select(*columns) for d in read.values() if set(columns) <= set(d.columns)]
+    if skipped := [p for p, d in read.items() if not set(columns) <= set(d.columns)]:
+        warnings.warn(f"skipped for lack of columns: {', '.join(skipped)}", stacklevel=2)
     if not good:
         raise ValueError("no file has all columns")
     out = good[0]
