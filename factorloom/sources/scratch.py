@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of a Parquet row group: what a task that writes holds in memory.
+BLOCK = 32 << 20
 #: Paths that this process has written and not dropped.
 STORED: list[str] = []
 
@@ -29,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK).parquet(path)
     STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
