@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import U64, binary, blobs, by_bytes, mix, part_of, shingle_hashes, small_batches, stored
+from factorloom.llm.common import U64, binary, blobs, by_bytes, mix, part_of, shingle_hashes, small_batches, stored, trim
 from factorloom.llm.graph import components
 from factorloom.llm.substring_dedup import _by_part, _schema
 
@@ -50,7 +50,7 @@ BELOW = U64(int(THETA * 2**64))
 #: Followers share this many percent of both sets' shingles with their leader at least. Any value gives the same links.
 FOLLOWS = 40
 #: Shingles that a task gathers or a key range holds, in expectation; rows of a list's block before it is split; ids that are broadcast.
-GATHERED, SPLIT, BROADCAST = 400_000, 4096, 1_000_000
+GATHERED, SPLIT, BROADCAST = 250_000, 4096, 1_000_000
 KEYS = "part int, batch long, keys binary, owners binary"
 TIMES = "chunk int, part int, times binary"
 
@@ -111,6 +111,7 @@ def low_keys(parts: int):
             out = [{"part": p, "batch": batch, "keys": binary(k[at]), "owners": binary(o[at])} for p, at in _by_part(_part(k, parts))]
             out.append({"part": -1 - batch % parts, "batch": batch, "keys": binary(names), "owners": binary(counts.astype(np.int64))})
             sent, keys, owners, gathered = sent + 1, [], [], 0
+            trim()
             return pa.RecordBatch.from_pylist(out, _schema(KEYS))
 
         for b in batches:
@@ -145,6 +146,8 @@ def shared_counts(table: pa.Table) -> pa.Table:
     for k, at in _by_part(place):
         names, counts = np.unique(owners[at], return_counts=True)
         rows.append({"batch": int(batches[k]), "keys": binary(names), "owners": binary(counts.astype(np.int64))})
+    del keys, owners, batch, order, there, place
+    trim()
     return pa.Table.from_pylist(rows, _schema("batch long, keys binary, owners binary"))
 
 
@@ -233,6 +236,8 @@ def index_entries(parts: int):
             if len(shared) >= needed(n):
                 prefix = shared[np.argsort(often[often > 1], kind="stable")][: n - needed(n) + 1 - alone]
                 rows.append({"node": node, "copies": copies, "size": n, "alone": alone, "heads": shared[:HEADS].view(np.int64), "prefix": prefix.view(np.int64)})
+        del sets, keys, place, times
+        trim()
         return pa.Table.from_pylist(rows, LISTS)
 
     return run

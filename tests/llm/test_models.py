@@ -31,6 +31,63 @@ def test_language_accuracy(spoken):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_predictions_by_hand(spark, spoken):
+    """Every prediction again from the model's weights: n-grams as strings, shares by counting, softmax in plain floats."""
+    rows = spoken.select("doc_id", "text", "lang").collect()
+    model = language_id.train(spoken.filter(~language_id.held_out(4, 2)).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in language_id.identify(spoken).collect()}
+    m32 = 1 << 32
+
+    def slot(gram):
+        h = (ord(gram[0]) * 0x9E3779B1 + ord(gram[1])) * 0x85EBCA6B % m32
+        return h >> 16 if len(gram) == 2 else (1 << 16) + ((h + ord(gram[2])) * 0xC2B2AE35 % m32 >> 16)
+
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        said = f" {r.text.lower()} "
+        grams = Counter(said[k : k + n] for n in (2, 3) for k in range(len(said) - n + 1))
+        logits = [model.bias[j] + sum(n * float(model.table[model.row[slot(g)], j]) for g, n in grams.items()) / sum(grams.values()) for j in range(len(model.languages))]
+        e = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+        best = max(range(len(e)), key=e.__getitem__)
+        assert got[r.doc_id].lang_pred == model.languages[best] and got[r.doc_id].score == pytest.approx(e[best] / sum(e), rel=1e-3)
+
+
+def test_document_frequency_by_hand(spark, spoken):
+    df, n = language_id.document_frequency(spoken.select("text"))
+    texts = [(r.text or "").encode() for r in spoken.select("text").collect()]
+    want = Counter(int(c) for t in texts for c in set(language_id.codes_of(t).tolist()))
+    assert n == len(texts) and {k: int(df[k]) for k in np.flatnonzero(df)} == want
+
+
+def test_ftrl_by_hand():
+    """One coordinate at a time in plain floats gives the same weights."""
+    r = random.Random(3)
+    rows = [(sorted(r.sample(range(6), 3)), [r.random() for _ in range(3)], r.randrange(3)) for _ in range(40)]
+    gain, alpha, beta, l1, l2, epochs = [1.0, 2.0, 0.5, 1.0, 3.0, 1.0], 0.5, 1.0, 0.05, 0.01, 2
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(i, j):
+        return 0.0 if abs(z[i][j]) <= l1 else -(z[i][j] - math.copysign(l1, z[i][j])) / ((beta + math.sqrt(n[i][j])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            f, x, y = rows[k]
+            features = [(i, v * gain[i]) for i, v in zip(f, x)] + [(6, 1.0)]
+            s = [sum(v * weight(i, j) for i, v in features) for j in range(3)]
+            e = [math.exp(v - max(s)) for v in s]
+            for j in range(3):
+                p = e[j] / sum(e) - (j == y)
+                for i, v in features:
+                    w, g = weight(i, j), v * p
+                    z[i][j] += g - (math.sqrt(n[i][j] + g * g) - math.sqrt(n[i][j])) / alpha * w
+                    n[i][j] += g * g
+    got = language_id.ftrl([(np.array(f), np.array(x), y) for f, x, y in rows], 3, np.array(gain), alpha, beta, l1, l2, epochs)
+    assert np.allclose(got, [[weight(i, j) for j in range(3)] for i in range(7)])
+
+
 def test_letters_and_characters(spark):
     """Numbers that aren't letters have no language; two Han characters are enough to tell."""
     said = [("en", "the river and the sea"), ("ru", "река и море это вода"), ("zh", "河流和大海都是水")] * 40
