@@ -6,6 +6,8 @@ stage's docs. All but the last return the columns of documents, for the rows the
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,26 @@ BROADCAST = 1_000_000
 MASK = "[secret]"
 
 
+LEFT: list[str] = []
+
+
+def stage(f):
+    """A stage that first drops the tables that the stage before it wrote for itself: its result stands by now, as a
+    stage's docs are the Parquet that it was written to. Tables that docs still read stay."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        drop_stored(spark, [x for x in LEFT if x in STORED and not any(x.rsplit("/", 1)[-1] in file for file in read)])
+        before = set(STORED)
+        out = f(spark, docs, sf_dir)
+        LEFT[:] = [x for x in STORED if x not in before]
+        return out
+
+    return run
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; lang becomes the predicted one. Learns from the rows' own lang.
 
@@ -33,6 +55,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return said.filter(sure).withColumn("lang", F.col("__language")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that similarity links connect, the one with the smallest doc_id stays.
 
@@ -41,6 +64,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return jaccard_join.first_of_each(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no window of a benchmark item; null and empty texts hold none. doc_id isn't looked at."""
     rows = numbered(docs)
@@ -51,11 +75,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(side, "row_id", "left_anti").select("doc.*")
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, each reported secret span replaced by MASK and n_chars counted anew; null texts stay null."""
     return secrets.masked(docs, MASK)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed into sequences; a null or empty text is its end token."""
     return packing.pack_documents(docs)
@@ -74,9 +100,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder. Tables that the stages wrote for themselves go once their result stands."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(STORED)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        drop_stored(spark, [x for x in STORED[:-1] if x not in before])
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        before, docs = docs.inputFiles(), stored(step(spark, docs, sf_dir), name)
+        drop_stored(spark, [x for x in STORED if any(x.rsplit("/", 1)[-1] in file for file in before)])
     return STAGES[-1][1](spark, docs, sf_dir)
