@@ -423,8 +423,10 @@ def section_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def speaker_role(s: SparkSession, d: str) -> DataFrame:
-    said = F.get(F.array(*[F.lit(x) for x in ("", "Q - Jo", "The Operator", "Ann Lee, Morgan Stanley", "Sue Roe, CFO", "Sam")]), (F.col("c_custkey") % 6).cast("int"))
-    return D.table(s, d, "customer").select("c_custkey", T.speaker_role(said).alias("role"))
+    """Of names as they stand in calls, followed by the start of a document, and of that start alone."""
+    name = F.get(F.array(*[F.lit(x) for x in ("", "Q - Jo", "The Operator", "Ann Lee, Morgan Stanley", "Sue Roe, CFO", "Sam")]), (F.col("doc_id") % 6).cast("int"))
+    said = F.concat(name, F.when(F.col("n_chars") % 5 > 0, F.substring("text", 1, 60)).otherwise(""))
+    return D.table(s, d, "documents").select("doc_id", T.speaker_role(said).alias("role"))
 
 
 @query
@@ -447,8 +449,9 @@ def paper_clean(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def score_parse(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    reply = F.concat_ws("\n", F.concat(F.lit("1: "), k % 5 - 2), F.lit("2: +9.5"), F.concat(F.lit(" 3 : -0."), k % 10), F.lit("notes: none"), F.when(k % 2 == 0, F.lit("1: 0.5")))
+    """Replies made from order keys and prices: scores in and out of range, repeated lines, notes, missing lines."""
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    reply = F.concat_ws("\n", F.concat(F.lit("1: "), cents % 7 - 3), F.concat(F.lit("2: +"), cents % 4, F.lit("."), cents % 90 + 10), F.concat(F.lit(" 3 : -0."), k % 10), F.lit("notes: none"), F.when(cents % 2 == 0, F.lit("1: 0.5")))
     found = T.score_lines(reply, -2, 2)
     return D.table(s, d, "orders").select(k.alias("episode"), *[F.try_element_at(found, F.lit(n)).alias(f"s{n}") for n in (1, 2, 3, 4)], T.first_number(reply, -2, 2).alias("first"))
 
@@ -518,8 +521,9 @@ def paper_chunks(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexicon_scores(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat("p_name", F.get(F.array(F.lit(" strong growth"), F.lit(" weak risk lower"), F.lit(" plain")), (F.col("p_partkey") % 3).cast("int")))
-    return D.table(s, d, "part").select("p_partkey", scoring.lexicon_score(text).alias("value"))
+    """Of whole documents; some get words that count."""
+    more = F.get(F.array(F.lit(" strong Growth"), F.lit(" weak risk lower"), F.lit(""), F.lit(" exceeds, records MISSED. Raised")), (F.col("n_chars") % 4).cast("int"))
+    return D.table(s, d, "documents").select("doc_id", scoring.lexicon_score(F.concat("text", more)).alias("value"))
 
 
 # -- logs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factorloom.functions import text as T
 from factorloom.operators import gates as G
+from factorloom.operators import scoring as S
 
 PANEL = """panel AS (SELECT o_orderkey AS episode, o_custkey AS symbol, c_mktsegment AS sector, o_orderdate AS earnings_date, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, o_totalprice AS move
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -161,15 +162,16 @@ CALLS = "tr AS (SELECT conv_id AS symbol, string_agg(CASE role WHEN 'user' THEN
 SQL["qa_boundary"] = f"""WITH {CALLS}, o AS (SELECT symbol, CASE WHEN symbol % 3 = 0 THEN t || chr(10) || 'Questions and Answers' || chr(10) || 'Analyst: thanks' WHEN symbol % 3 = 1 THEN 'We will now begin the question round' || chr(10) || t ELSE t END AS t FROM tr),
 l AS (SELECT symbol, string_split(t, chr(10)) AS ls FROM o), f AS (SELECT symbol, ls, list_position(list_transform(ls, lambda x: {' OR '.join(f"regexp_matches(x, '{sql_regex(p)}')" for p in T.QA_BOUNDARY)}), true) AS p FROM l)
 SELECT symbol, CASE WHEN p > 0 THEN CAST(p - 1 AS INTEGER) END AS line, CAST(CASE WHEN p > 0 THEN length(trim(array_to_string(ls[p:], chr(10)))) ELSE 0 END AS INTEGER) AS qa_chars FROM f"""
-SQL["speaker_role"] = f"""WITH c AS (SELECT c_custkey, ['', 'Q - Jo', 'The Operator', 'Ann Lee, Morgan Stanley', 'Sue Roe, CFO', 'Sam'][c_custkey % 6 + 1] AS x FROM customer)
-SELECT c_custkey, CASE WHEN x = '' THEN 'unknown' WHEN regexp_matches(x, '{T.ANALYST_PREFIX}') THEN 'analyst' WHEN contains(lower(x), 'operator') THEN 'operator' WHEN regexp_matches(x, '{T.ANALYST_FIRMS}') THEN 'analyst' ELSE 'mgmt' END AS role FROM c"""
+SQL["speaker_role"] = f"""WITH c AS (SELECT doc_id, ['', 'Q - Jo', 'The Operator', 'Ann Lee, Morgan Stanley', 'Sue Roe, CFO', 'Sam'][doc_id % 6 + 1] || CASE WHEN n_chars % 5 > 0 THEN left(text, 60) ELSE '' END AS x FROM documents)
+SELECT doc_id, CASE WHEN x = '' THEN 'unknown' WHEN regexp_matches(x, '{T.ANALYST_PREFIX}') THEN 'analyst' WHEN contains(lower(x), 'operator') THEN 'operator' WHEN regexp_matches(x, '{T.ANALYST_FIRMS}') THEN 'analyst' ELSE 'mgmt' END AS role FROM c"""
 SPLIT = "list_filter(string_split_regex({x}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda s: true)"
 SQL["noise_lines"] = f"""WITH d AS (SELECT doc_id, {SPLIT.format(x="coalesce(text, '') || chr(10) || 'Form 8-K' || chr(10) || 'see report.pdf' || chr(10) || '$1,2,3,4 12,000' || chr(10)")}[:-2] AS ls FROM documents), l AS (SELECT doc_id, regexp_replace(unnest(ls), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g') AS s FROM d)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (s = '' OR (length(s) < 120 AND regexp_matches(s, '{T.RELEASE_NOISE}')) OR (length(s) < 200 AND regexp_matches(s, '{T.FILE_NAME}')) OR (length(s) > 20 AND length(regexp_replace(s, '\\P{{L}}', '', 'g')) / length(s) < 0.25)
   OR (regexp_matches(s, '^\\s*[$\\d(\\-]') AND length(regexp_replace(s, '[^$,]', '', 'g')) > 3)) AS noise FROM l GROUP BY doc_id"""
 SQL["paper_lines"] = f"""WITH d AS (SELECT doc_id, {SPLIT.format(x="coalesce(text, '') || chr(10) || 'References' || chr(10) || 'doi:10.1' || chr(10) || '12 ' || chr(10)")}[:-2] AS ls FROM documents), l AS (SELECT doc_id, trim(unnest(ls)) AS s FROM d)
 SELECT doc_id, count(*) FILTER (regexp_matches(s, '{T.PAPER_NOISE}')) AS noise FROM l GROUP BY doc_id"""
-SQL["score_parse"] = """SELECT o_orderkey AS episode, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE CAST(o_orderkey % 5 - 2 AS DOUBLE) END AS s1, CAST(2 AS DOUBLE) AS s2, CAST(0 - (o_orderkey % 10) / 10.0 AS DOUBLE) AS s3, CAST(NULL AS DOUBLE) AS s4, CAST(1 AS DOUBLE) AS first FROM orders"""
+SQL["score_parse"] = """WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)
+SELECT k AS episode, CASE WHEN c % 2 = 0 THEN 0.5 ELSE CAST(least(greatest(c % 7 - 3, -2), 2) AS DOUBLE) END AS s1, least(CAST(c % 4 AS DOUBLE) + (c % 90 + 10) / 100.0, 2) AS s2, CAST(0 - (k % 10) / 10.0 AS DOUBLE) AS s3, CAST(NULL AS DOUBLE) AS s4, CAST(1 AS DOUBLE) AS first FROM o"""
 SQL["token_estimate"] = """WITH d AS (SELECT doc_id, coalesce(text, '') || '营收增长' AS x FROM documents), t AS (SELECT doc_id, x, CAST(floor(length(regexp_replace(x, '[^一-鿿]', '', 'g')) * 1.5 + (length(x) - length(regexp_replace(x, '[^一-鿿]', '', 'g'))) / 4.0) AS INTEGER) AS tokens FROM d)
 SELECT doc_id, tokens, CASE WHEN tokens <= 100 THEN length(x) ELSE CAST(floor(length(x) * (100.0::DOUBLE / tokens) * 0.9) AS INTEGER) + 19 END::INTEGER AS cut_chars FROM t"""
 SQL["name_normalise"] = """WITH n AS (SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[a-z][a-z0-9_]+$') THEN p_name ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') END AS name FROM part)
@@ -179,7 +181,9 @@ SQL["argument_masks"] = """SELECT p_partkey, '***' AS key, CAST(CASE WHEN length
 SQL["chunk_counts"] = f"WITH c AS (SELECT text AS x, role FROM conversations) SELECT CASE WHEN {QA} THEN 'qa' ELSE 'prepared' END AS section_type, CASE WHEN role = '' THEN 'unknown' WHEN contains(lower(role), 'operator') THEN 'operator' ELSE 'mgmt' END AS speaker_role, count(*) AS n, round(avg(length(x)), 6) AS mean_length FROM c GROUP BY 1, 2"
 SQL["paper_counts"] = "SELECT source AS paper_title, count(*) AS n FROM documents GROUP BY source"
 SQL["chunk_ids"] = "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS chunk_id FROM conversations WHERE length(text) >= 60"
-SQL["lexicon_scores"] = "SELECT p_partkey, [2.0, -2.0, 0.0][p_partkey % 3 + 1]::DOUBLE AS value FROM part"
+WORDS = "len(regexp_extract_all(lower(x), '\\b({words})'))"
+SQL["lexicon_scores"] = f"""WITH d AS (SELECT doc_id, text || [' strong Growth', ' weak risk lower', '', ' exceeds, records MISSED. Raised'][n_chars % 4 + 1] AS x FROM documents)
+SELECT doc_id, CASE WHEN trim(x) <> '' THEN CAST(least(greatest({WORDS.format(words='|'.join(S.POSITIVE))} - {WORDS.format(words='|'.join(S.NEGATIVE))}, -2), 2) AS DOUBLE) END AS value FROM d"""
 
 STEPS = """steps AS (SELECT user_id AS run_id, event_id AS step_id, event_type AS state, event_id % 5 AS iteration, CASE WHEN event_type <> 'view' THEN event_type END AS tool, value AS ms, event_type <> 'error' AS ok, CAST(regexp_extract(props, '(-?\\d+)', 1) AS INTEGER) AS k,
   CASE event_type WHEN 'error' THEN 'FAIL' WHEN 'signup' THEN 'RETRY' ELSE 'CONTINUE' END AS decision FROM events)"""
