@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Words()
+        self.known: dict[bytes, bytes] = {}
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
@@ -70,25 +70,18 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text, then the end token."""
         texts = [t if b"<|" in t else t.lower() for t in texts]  # names of special tokens keep their case
         split = [STOP.sub(b" .", COMMA.sub(b" ,", t)).split() for t in texts]
-        new = self.learned(list({w for words in split for w in words} - self.known.keys()))
+        # each distinct word is looked up once; the texts then read the few that are at hand
+        words = list(set().union(*split))
+        here = dict(zip(words, map(self.known.get, words)))
+        new = self.learned([w for w, ids in here.items() if ids is None])
+        here.update(new)
         if len(self.known) < REMEMBERED:  # words met early are mostly the frequent ones
             self.known.update(new)
-            new = {}
-        self.known.at_hand = new
         tail = np.array([end], "<u4").tobytes()
-        get = self.known.__getitem__
+        get = here.__getitem__
         return [b"".join(map(get, words)) + tail for words in split]
 
 
-class Words(dict):
-    """Ids by word, with those of the texts at hand beside those that are kept."""
-
-    at_hand: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.at_hand[word]
-
-
 ENCODERS: dict[str, Encoder] = {}
 COMMA, STOP = (re.compile(mark + rb"(?<=[a-z]" + mark + rb")(?=[ \n])") for mark in (rb",", rb"\."))
 
