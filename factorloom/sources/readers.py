@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,9 @@ def vectors(spark: SparkSession, path: str, size: int | None = None) -> DataFram
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows of old and new, one for each key: the old one stays."""
-    both = old.withColumn("__old", F.lit(0)).unionByName(new.withColumn("__old", F.lit(1)))
-    first = Window.partitionBy(key).orderBy("__old")
-    return both.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__old")
+    rest = [c for c in old.columns if c != key]
+    both = old.select(key, F.struct(*rest).alias("row"), F.lit(0).alias("new")).unionByName(new.select(key, F.struct(*rest).alias("row"), F.lit(1).alias("new")))
+    return both.groupBy(key).agg(F.min_by("row", "new").alias("row")).select(key, "row.*").select(*old.columns)
 
 
 def not_yet(new: DataFrame, done: DataFrame, key: str = "chunk_id") -> DataFrame:
