@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,20 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_lists(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, runs without ASCII white space, by stretches of about `most` bytes: as objects, words take
+    many times a text's size."""
+    at = 0
+    while at < len(text):
+        end = SPACE.search(text, at + most)
+        to = end.start() if end else len(text)
+        yield text[at:to].split()
+        at = to
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """One 64-bit name per word, the same in every task."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
@@ -59,10 +74,9 @@ def shingle_hashes(blob: bytes, width: int = 5) -> np.ndarray:
     Words are runs without ASCII white space. A text of fewer than `width` words gives its whole word sequence
     as one shingle; a text without words gives none.
     """
-    words = blob.translate(LOWER).split()
-    if not words:
+    names = np.concatenate([np.empty(0, U64), *map(word_hashes, word_lists(blob.translate(LOWER)))])
+    if not len(names):
         return np.empty(0, U64)
-    names = word_hashes(words)
     if len(names) <= width:
         out = U64(len(names)) * np.ones(1, U64)
         for k in range(len(names)):

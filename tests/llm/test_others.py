@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factorloom.llm import chat, fingerprints, packing, registry, secrets
-from factorloom.llm.common import LOWER
+from factorloom.llm.common import LOWER, word_lists
 from factorloom.llm.graph import components
 
 # -- packing
@@ -73,6 +73,12 @@ def test_best_fit(lengths, most_open):
         assert used[at] <= 32
 
 
+@settings(deadline=None)
+@given(st.binary(max_size=60).map(lambda b: b.translate(bytes(b"ab \t\n\x0b\x0c\r\xc3"[k % 9] for k in range(256)))), st.integers(1, 9))
+def test_words_by_stretches(text, most):
+    assert [w for words in word_lists(text, most) for w in words] == text.split()
+
+
 # -- fingerprints
 
 
