@@ -322,6 +322,21 @@ def test_stored_tables_can_go(spark):
         spark.read.parquet(path)
 
 
+def test_stable_rows(spark, tmp_path):
+    """A plain scan is read again as it is; what a shuffle or a random column may deal anew is written first."""
+    from factorloom.llm.common import in_chunks, stable
+
+    spark.range(200).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(4).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    some = scan.filter("doc_id > 3").select("doc_id", "text")
+    assert stable(scan) is scan and stable(some) is some
+    for made in (scan.repartition(3), scan.withColumn("r", F.rand()), scan.groupBy("doc_id").agg(F.first("text").alias("text"))):
+        assert stable(made) is not made and stable(made).count() == 200
+    chunks, n, _ = in_chunks(scan.repartition(3), 10, 1 << 20)
+    one, two = ({r.doc_id: (r.row_id, r.chunk) for r in chunks.collect()} for _ in range(2))
+    assert one == two and n == 200 and len({c for _, c in one.values()}) > 10
+
+
 def test_registry():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
