@@ -74,6 +74,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.histogram_packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many windows of benchmark items each document holds with their words up to one place off, in any order."""
     from pyspark.sql import functions as F
