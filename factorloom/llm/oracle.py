@@ -57,6 +57,18 @@ SELECT e.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(f.doc_id) AS com
 FROM reach JOIN d e ON e.rid = reach.a JOIN d f ON f.rid = reach.b LEFT JOIN n ON n.rid = e.rid LEFT JOIN cls ON cls.rid = e.rid LEFT JOIN links ON links.rid = e.rid GROUP BY e.rid, e.doc_id
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({PLAIN}, '{ALNUM}') AS w FROM documents),
+st AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT iid, item_id, t, count(*) AS c FROM (SELECT iid, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all({PLAIN}, '{ALNUM}') AS w FROM benchmark)) GROUP BY iid, item_id, t),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, st GROUP BY t, docs),
+m AS (SELECT rid, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, st WHERE len(w) > 0),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(c * wt.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (rid) GROUP BY iid, item_id, rid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 LAYOUTS = """SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS conv_id, role, text, CASE turn % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' ELSE 'message_parts' END AS layout FROM conversations"""
 
-SQL = {"chat_layouts": LAYOUTS, "op1_decontamination": OP1, "op4_secrets": secrets.SQL, "op5_chat_format": OP5, "op7_substring_dedup": OP7, "op10_jaccard_join": OP10}
+SQL = {"chat_layouts": LAYOUTS, "op1_decontamination": OP1, "op4_secrets": secrets.SQL, "op5_chat_format": OP5, "op7_substring_dedup": OP7, "op10_jaccard_join": OP10, "op12_lexical_search": OP12}

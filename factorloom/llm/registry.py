@@ -80,6 +80,12 @@ def op11_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many windows of benchmark items each document holds with their words up to one place off, in any order."""
     from pyspark.sql import functions as F
