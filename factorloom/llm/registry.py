@@ -86,6 +86,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.repair import repair_damaged
+
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many windows of benchmark items each document holds with their words up to one place off, in any order."""
     from pyspark.sql import functions as F
