@@ -28,11 +28,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import SPACE, blobs, by_bytes, small_batches, stored
+from factorloom.llm.common import blobs, by_bytes, small_batches, stored
 from factorloom.llm.packing import Encoder
 
 #: Tokens between kept checksums, where a document may be cut; documents a salt; salts that are broadcast.
-GRID, SALTED, SALTS = 32, 10_000, 200_000
+GRID, SALTED, SALTS = 64, 10_000, 200_000
 PIECES = "doc_id long, row_id long, start long, length int, ids_crc32 long, doc_tokens long, marks binary"
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,25 +53,6 @@ def checksum_of_rest(whole: int, head: int, rest_bytes: int) -> int:
     return whole ^ zlib.crc32(zeros, head) ^ zlib.crc32(zeros)
 
 
-def stretches(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """A text in stretches of about `most` bytes that end after white space, across which no token reaches."""
-    at = 0
-    while at < len(text):
-        end = SPACE.search(text, at + most)
-        to = end.end() if end else len(text)
-        yield text[at:to]
-        at = to
-
-
-def encoded(encoder: Encoder, texts: list[bytes], end: int) -> list[bytes]:
-    """Ids of texts, then the end token; words of long texts are objects by stretches only."""
-    short = encoder.encode([t if len(t) <= 1 << 20 else b"" for t in texts], end)
-    for k, t in enumerate(texts):
-        if len(t) > 1 << 20:
-            short[k] = b"".join(encoder.encode([s], end)[0][:-4] for s in stretches(t)) + short[k]
-    return short
-
-
 def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 2, grid: int = GRID) -> DataFrame:
     """Whole sequences and rests of every document, with their checksums."""
     small_batches(docs.sparkSession)
@@ -86,10 +67,10 @@ def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 2, gr
         for batch in batches:
             for b in by_bytes(batch, "text", 2 << 20):
                 rows: list[list] = [[] for _ in kinds]
-                for doc_id, row_id, ids in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), encoded(encoder, blobs(b.column("text")), end)):
+                for doc_id, row_id, ids in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), encoder.encode(blobs(b.column("text")), end)):
                     for at in range(0, len(ids), 4 * most):
                         part = ids[at : at + 4 * most]
-                        for column, value in zip(rows, (doc_id, row_id, at // 4, len(part) // 4, *checksums(part, grid), len(ids) // 4)):
+                        for column, value in zip(rows, (doc_id, row_id, at // 4, len(part) // 4, *(checksums(part, grid) if len(part) < 4 * most else (zlib.crc32(part), None)), len(ids) // 4)):
                             column.append(value)
                 rows[5], rows[6] = rows[6], rows[5]
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)

@@ -21,11 +21,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import blobs, by_bytes, small_batches, stored
+from factorloom.llm.common import SPACE, blobs, by_bytes, small_batches, stored
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker process remembers, some 90 MB.
 REMEMBERED = 400_000
+#: Bytes of text that are words at once.
+STRETCH = 1 << 20
 OPEN_BINS, SHARE = 512, 250_000
 
 
@@ -67,19 +69,35 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, then the end token."""
+        """Little-endian unsigned 32-bit ids of each text, then the end token. The words of a long text are objects by
+        stretches only."""
+        tail = np.array([end], "<u4").tobytes()
+        short = self._encode([t if len(t) <= STRETCH else b"" for t in texts])
+        return [(ids if len(t) <= STRETCH else b"".join(self._encode([s])[0] for s in stretches(t))) + tail for t, ids in zip(texts, short)]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         texts = [t if b"<|" in t else t.lower() for t in texts]  # names of special tokens keep their case
         split = [STOP.sub(b" .", COMMA.sub(b" ,", t)).split() for t in texts]
-        # each distinct word is looked up once; the texts then read the few that are at hand
-        words = list(set().union(*split))
-        here = dict(zip(words, map(self.known.get, words)))
-        new = self.learned([w for w, ids in here.items() if ids is None])
-        here.update(new)
-        if len(self.known) < REMEMBERED:  # words met early are mostly the frequent ones
-            self.known.update(new)
-        tail = np.array([end], "<u4").tobytes()
-        get = here.__getitem__
-        return [b"".join(map(get, words)) + tail for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        with_new = [(words, ids) for words, ids in zip(split, found) if None in ids]
+        if with_new:  # words met early are mostly the frequent ones, so that most texts have few new ones
+            new = self.learned(list({w for words, ids in with_new for w, i in zip(words, ids) if i is None}))
+            if len(self.known) < REMEMBERED:
+                self.known.update(new)
+            for words, ids in with_new:
+                for at in [k for k, i in enumerate(ids) if i is None]:
+                    ids[at] = new[words[at]]
+        return [b"".join(ids) for ids in found]
+
+
+def stretches(text: bytes, most: int | None = None) -> Iterator[bytes]:
+    """A text in stretches of about `most` bytes that end after white space, across which no token reaches."""
+    at = 0
+    while at < len(text):
+        end = SPACE.search(text, at + (most or STRETCH))
+        to = end.end() if end else len(text)
+        yield text[at:to]
+        at = to
 
 
 ENCODERS: dict[str, Encoder] = {}

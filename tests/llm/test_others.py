@@ -339,7 +339,7 @@ def test_stable_rows(spark, tmp_path):
 
 def test_registry():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names)
 
 
