@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import any_signal, mean_of, weighted
+from factorloom.operators import boosting
 from factorloom.operators.evaluation import ic_by, ic_series, newey_west, spearman
 from factorloom.operators.panel import from_year, wide, with_demeaned, with_neutral, with_target, with_z
 
@@ -57,37 +58,19 @@ def report(scores: DataFrame, valid: DataFrame, y: str = "move_neutral") -> Data
     return ic_table(scores, y).join(covered, "feature", "left").join(valid, "feature", "left")
 
 
-def _inputs(table: DataFrame, columns: list[str]) -> DataFrame:
-    """table with `inputs`, the vector of columns, missing values 0."""
-    from pyspark.ml.feature import VectorAssembler
+def fit_boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 42) -> boosting.Model:
+    """Gradient-boosted trees on columns of the training years; the validation year doesn't stop them."""
+    return boosting.fit(table.filter(F.col("year").isin(train_years)), columns, label, boosting.Settings(rounds=rounds, seed=seed))
 
-    filled = table.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}__in") for c in columns])
-    return VectorAssembler(inputCols=[f"{c}__in" for c in columns], outputCol="inputs").transform(filled).drop(*[f"{c}__in" for c in columns])
 
-
-def fit_boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 7):
-    """Gradient-boosted trees on columns of the training years; the validation year doesn't stop them. Spark ML has no
-    L1 or L2 leaf penalties, so its numbers are its own."""
-    from pyspark.ml.regression import GBTRegressor
-
-    learner = GBTRegressor(featuresCol="inputs", labelCol=label, predictionCol="prediction", maxDepth=3, stepSize=0.02, maxIter=rounds, minInstancesPerNode=40, subsamplingRate=1.0, seed=seed)
-    return learner.fit(_inputs(table, columns).filter(F.col("year").isin(train_years) & F.col(label).isNotNull()))
-
-
-def predicted(table: DataFrame, columns: list[str], model) -> DataFrame:
-    """table with a fitted model's prediction."""
-    return model.transform(_inputs(table, columns)).drop("inputs")
-
-
-def boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 7) -> DataFrame:
+def boosted(table: DataFrame, columns: list[str], train_years: list[int], rounds: int = 200, label: str = "target", seed: int = 42) -> DataFrame:
     """table with prediction by gradient-boosted trees on columns."""
-    return predicted(table, columns, fit_boosted(table, columns, train_years, rounds, label, seed))
+    return boosting.predicted(table, fit_boosted(table, columns, train_years, rounds, label, seed))
 
 
-def feature_importance(model, columns: list[str], top: int = 10) -> list[tuple[str, float]]:
-    """The columns that a fitted tree model gains most from."""
-    found = zip(columns, model.featureImportances.toArray().tolist())
-    return sorted(found, key=lambda x: (-x[1], x[0]))[:top]
+def feature_importance(model: boosting.Model, top: int = 10) -> list[tuple[str, float]]:
+    """The columns whose splits gain most, with their gain."""
+    return model.importance()[:top]
 
 
 def neutral_prediction(table: DataFrame) -> DataFrame:

@@ -239,9 +239,9 @@ def fusion_report(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def feature_importance(s: SparkSession, d: str) -> DataFrame:
-    """What a boosted model of the features gains most from; a row a column, largest share first."""
+    """The gain of a boosted model's splits, a row a column, largest first."""
     model = fusion.fit_boosted(_fused(s, d), D.NAMES, D.TRAIN)
-    return s.createDataFrame(fusion.feature_importance(model, D.NAMES), "feature string, importance double")
+    return s.createDataFrame(fusion.feature_importance(model), "feature string, importance double")
 
 
 @query
