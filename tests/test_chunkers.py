@@ -180,3 +180,28 @@ def test_queries_cover_whole_tables(spark):
     assert catalogue.press_chunks(spark, SF).count() == sum(len(release(t)) for t in documents.values())
     assert catalogue.paper_chunks(spark, SF).count() == sum(len(paper(t)) for t in documents.values())
     assert catalogue.transcript_chunks(spark, SF).count() == sum(len(transcript(r.transcript)) for r in D.calls(spark, SF).collect())
+
+
+def test_table_functions_of_sql(spark, texts):
+    """The packers by name, over TABLE arguments."""
+    chunking.register(spark)
+    some = texts[-40:]
+    pages = spark.createDataFrame([("t", k, t) for k, t in enumerate(some)], "paper_title string, page_num int, text string")
+    chunking.page_paragraphs(pages).createOrReplaceTempView("page_paragraphs")
+    got = spark.sql("SELECT page_num, count(*) AS n FROM pack_pages(TABLE(page_paragraphs)) GROUP BY page_num").collect()
+    assert {r.page_num: r.n for r in got} == {k: len(paper(t)) for k, t in enumerate(some) if paper(t)}
+    calls = spark.createDataFrame([(str(k), "d", t) for k, t in enumerate(some)], "symbol string, earnings_date string, transcript string")
+    chunking.transcript_parts(calls).createOrReplaceTempView("transcript_parts")
+    got = spark.sql("SELECT symbol, text FROM pack_turns(TABLE(transcript_parts)) ORDER BY symbol, position").collect()
+    want = {str(k): [t for _, _, t in transcript(x)] for k, x in enumerate(some)}
+    assert [(r.symbol, r.text) for r in got] == [(k, t) for k in sorted(want) for t in want[k]]
+
+
+def test_packing_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    unit, last, first, text = chunking.pack(np.array([0, 0, 0, 1, 1, 2]), pa.array(["aa", "bb", "c" * 10, "", "dd", "x" * 3]), 5, 20, 3)
+    assert list(zip(unit.tolist(), last.tolist(), first.tolist(), text.to_pylist())) == [(0, 1, 0, "aa bb"), (0, 2, 2, "c" * 10), (2, 5, 5, "xxx")]
+    assert chunking.pack(np.array([], int), pa.array([], pa.string()), 5, 20, 3)[3].to_pylist() == []
+    assert chunking.pack_paragraphs(np.array([0]), pa.array(["x"]), 2, 5, 9)[1].to_pylist() == []
