@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import chunking, evaluation, fusion, gates, history, panel, retrieval, scoring
+from factorloom.operators import chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -182,6 +182,37 @@ def validation_maps(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("map") == "score_dist", F.round(F.col("key").cast("double") * 1_000_000).cast("long").cast("string")).otherwise(F.col("key"))).groupBy("feature", "map", "key").agg(F.round(F.sum("value"), 6).alias("value"))
 
 
+def _returns(s: SparkSession, d: str) -> DataFrame:
+    """Test rows with the standardised move, in hundredths, as their return."""
+    rows = _test(panel.joined(panel.with_target(D.panel(s, d)), D.features(s, d)))
+    return rows.withColumn("ret", F.col("target") / 100)
+
+
+@query
+def quantile_buckets(s: SparkSession, d: str) -> DataFrame:
+    """Five buckets of every feature's cross-sections, and how many rows each has."""
+    return portfolio.bucketed(_rows(s, d)).groupBy("feature", "year", "quarter", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def portfolio_path(s: SparkSession, d: str) -> DataFrame:
+    return portfolio.path(portfolio.long_short(_returns(s, d))).select("feature", "year", "quarter", r6("spread"), r6("wealth"), r6("drawdown"))
+
+
+@query
+def portfolio_risk(s: SparkSession, d: str) -> DataFrame:
+    """Long-short spread, information ratio, ICIR and maximum drawdown of every feature."""
+    return portfolio.risk(_returns(s, d)).select("feature", "n_quarters", r6("spread_mean"), r6("information_ratio"), r6("icir"), r6("wealth"), r6("max_drawdown"))
+
+
+@query
+def drawdown_gate(s: SparkSession, d: str) -> DataFrame:
+    """Gates over the validation of the features, G5 with their portfolios' drawdown."""
+    found = portfolio.with_drawdown(evaluation.validation(D.panel(s, d), D.features(s, d), D.TRAIN, D.TEST), portfolio.risk(_returns(s, d)))
+    ran = gates.Pipeline(post=(gates.coverage_gate(), gates.t_gate(), gates.direction_gate(), gates.drawdown_gate())).run(found)
+    return ran.select("feature", r6("max_drawdown"), F.array_join("failed_gates", ",").alias("failed"))
+
+
 # -- fusion
 
 

@@ -231,3 +231,19 @@ SQL["run_documents"] = f"""WITH {STEPS}, l AS (SELECT run_id, step_id, state, co
 SELECT run_id, step_id // 100 AS part, md5('[' || string_agg('{{"step_id":' || step_id || ',"state":"' || state || '"}}', ',' ORDER BY step_id) || ']') AS digest, any_value(summary) AS summary
 FROM l JOIN (SELECT run_id, string_agg(line, ' | ' ORDER BY step_id) AS summary FROM l WHERE r <= 2 GROUP BY run_id) USING (run_id) GROUP BY run_id, step_id // 100"""
 SQL["report_documents"] = f"""WITH {RESULTS} SELECT feature, '{{"feature":"' || feature || '","k":' || k || ',"coverage_failure":' || CASE WHEN cf THEN 'true' ELSE 'false' END || '}}' AS document FROM res"""
+RETURNS = f"{PANEL}, {FEATURES}, r AS (SELECT p.*, feature, value FROM (SELECT *, {TARGET} / 100 AS ret FROM panel) p JOIN features USING (episode) WHERE {TEST})"
+BUCKETS = """c AS (SELECT *, count(*) OVER (PARTITION BY feature, year, quarter) AS n, count(*) OVER (PARTITION BY feature, year, quarter ORDER BY value) AS to_ FROM {rows} WHERE value IS NOT NULL),
+cuts AS (SELECT feature, year, quarter, j, min(value) AS cut FROM c, (VALUES (1), (2), (3), (4)) AS b(j) WHERE to_ * 5 >= n * j GROUP BY ALL),
+bucketed AS (SELECT c.*, 1 + (SELECT count(*) FROM cuts WHERE cuts.feature = c.feature AND cuts.year = c.year AND cuts.quarter = c.quarter AND cut < c.value) AS bucket FROM c)"""
+SQL["quantile_buckets"] = f"WITH {ROWS}, {BUCKETS.format(rows='rows_')} SELECT feature, year, quarter, CAST(bucket AS INTEGER) AS bucket, count(*) AS n FROM bucketed GROUP BY ALL"
+PATH = f"""{RETURNS}, {BUCKETS.format(rows='(SELECT * FROM r WHERE ret IS NOT NULL)')},
+ls AS (SELECT feature, year, quarter, avg(ret) FILTER (bucket = 5) - avg(ret) FILTER (bucket = 1) AS spread FROM bucketed GROUP BY ALL HAVING count(*) >= 5),
+w AS (SELECT *, product(1 + spread) OVER (PARTITION BY feature ORDER BY year, quarter) AS wealth FROM ls WHERE spread IS NOT NULL),
+path AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY feature ORDER BY year, quarter)) - 1 AS drawdown FROM w)"""
+SQL["portfolio_path"] = f"WITH {PATH} SELECT feature, year, quarter, round(spread, 6) AS spread, round(wealth, 6) AS wealth, round(drawdown, 6) AS drawdown FROM path"
+RISK = f"""SELECT p.feature, count(*) AS n_quarters, avg(spread) AS spread_mean, avg(spread) / stddev_samp(spread) * 2 AS information_ratio, any_value(icir) AS icir, last(wealth ORDER BY year, quarter) AS wealth, min(drawdown) AS max_drawdown
+FROM path p LEFT JOIN (SELECT feature, avg(ic) / stddev_samp(ic) AS icir FROM ({ic('r', 'feature, year, quarter', 'ret')}) GROUP BY feature) i ON p.feature = i.feature GROUP BY p.feature"""
+SQL["portfolio_risk"] = f"WITH {PATH} SELECT feature, n_quarters, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("spread_mean", "information_ratio", "icir", "wealth", "max_drawdown")) + f" FROM ({RISK})"
+SQL["drawdown_gate"] = f"""WITH v AS ({SQL['validation_metrics']}), k AS (WITH {PATH} {RISK})
+SELECT feature, round(max_drawdown, 6) AS max_drawdown, array_to_string(list_filter([CASE WHEN coverage_failure OR coverage < {G.LEAST_COVERAGE} THEN 'G1_coverage' END, CASE WHEN abs(t_stat) < {G.LEAST_T} THEN 'G3_t_stat' END,
+  CASE WHEN direction_consistency < {G.LEAST_CONSISTENCY} THEN 'G4_direction' END, CASE WHEN abs(max_drawdown) > {G.MOST_DRAWDOWN} THEN 'G5_max_drawdown' END], lambda x: x IS NOT NULL), ',') AS failed FROM v LEFT JOIN k USING (feature)"""
