@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
+from factorloom.sources.scratch import STORED, drop_stored, stored
 
 GATES = ["G1_coverage", "G2_zero_ratio", "G3_t_stat", "G4_direction"]
 PATTERNS = ["zero_ratio", "t_stat", "direction", "coverage"]
@@ -59,6 +60,29 @@ def lineage(records: DataFrame) -> DataFrame:
     return new.join(one.select(F.col("feature").alias("repair_of"), *[F.col(m).alias(f"old_{m}") for m in metrics]), "repair_of")
 
 
+def lineage_roots(records: DataFrame) -> DataFrame:
+    """feature, root, depth, cyclic for the first record of every feature: its oldest recorded ancestor by repair_of and
+    the number of steps there. Records on a cycle, or below one, have no root and are cyclic.
+
+    Pointer jumping: each round doubles the steps that a pointer spans, so that a chain of n versions takes log2(n)
+    joins. Pointers that reached a root are not moved again. Parents that are not recorded end a chain.
+    """
+    one = first_by(records, "feature").select("feature", "repair_of")
+    known = one.select(F.col("feature").alias("repair_of"), F.lit(True).alias("recorded"))
+    inner = F.coalesce("recorded", F.lit(False))
+    state = one.join(known, "repair_of", "left").select("feature", F.when(inner, F.col("repair_of")).otherwise(F.col("feature")).alias("root"), inner.cast("long").alias("depth"), (~inner).alias("done"))
+    state = stored(state, "lineage")
+    left, spans = state.filter("not done").count(), 1
+    most = left
+    while left and spans <= most:  # no chain has more steps than there are children
+        to = state.select(F.col("feature").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("reached"))
+        moved = state.filter("not done").join(to, "root").select("feature", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("reached").alias("done"))
+        old, state = state, stored(state.filter("done").unionByName(moved), "lineage")
+        drop_stored(records.sparkSession, [x for x in STORED if any(x.rsplit("/", 1)[-1] in file for file in old.inputFiles())])
+        left, spans = state.filter("not done").count(), 2 * spans
+    return state.select("feature", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"), (~F.col("done")).alias("cyclic"))
+
+
 def compared(lines: DataFrame, metrics: list[str], lower_is_better: list[str]) -> DataFrame:
     """repair_of, metric, old, new, delta, better."""
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"old_{m}").cast("double").alias("old"), F.col(f"new_{m}").cast("double").alias("new")) for m in metrics])

@@ -645,6 +645,12 @@ def lineage_compare(s: SparkSession, d: str) -> DataFrame:
     return history.compared(lines, ["ic_mean", "zero_ratio", "direction_consistency"], ["zero_ratio"]).select("repair_of", "metric", r6("old"), r6("new"), r6("delta"), "better")
 
 
+@query
+def lineage_depth(s: SparkSession, d: str) -> DataFrame:
+    """Roots and depths of chains of up to a hundred versions, a few of which run in a circle."""
+    return history.lineage_roots(D.versions(s, d)).select("feature", "root", "depth", "cyclic")
+
+
 @query
 def exploration_summary(s: SparkSession, d: str) -> DataFrame:
     return history.exploration_summary(D.records(s, d))

@@ -93,6 +93,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as versions of features, each the repair of the one before in its hundred; some repair a later one."""
+    k = F.col("p_partkey")
+    of = F.when(k % 500 == 150, k + 3).when(k % 100 > 0, k - 1)
+    name = lambda x: F.concat(F.lit("v"), x.cast("string"))
+    return table(spark, sf_dir, "part").select(k.alias("line_no"), name(k).alias("feature"), name(of).alias("repair_of"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as call transcripts, one line a turn."""
     who = F.when(F.col("role") == "user", "Analyst Capital").when(F.col("role") == "assistant", "Chief Officer").otherwise("Operator")

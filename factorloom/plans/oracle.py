@@ -247,3 +247,7 @@ SQL["portfolio_risk"] = f"WITH {PATH} SELECT feature, n_quarters, " + ", ".join(
 SQL["drawdown_gate"] = f"""WITH v AS ({SQL['validation_metrics']}), k AS (WITH {PATH} {RISK})
 SELECT feature, round(max_drawdown, 6) AS max_drawdown, array_to_string(list_filter([CASE WHEN coverage_failure OR coverage < {G.LEAST_COVERAGE} THEN 'G1_coverage' END, CASE WHEN abs(t_stat) < {G.LEAST_T} THEN 'G3_t_stat' END,
   CASE WHEN direction_consistency < {G.LEAST_CONSISTENCY} THEN 'G4_direction' END, CASE WHEN abs(max_drawdown) > {G.MOST_DRAWDOWN} THEN 'G5_max_drawdown' END], lambda x: x IS NOT NULL), ',') AS failed FROM v LEFT JOIN k USING (feature)"""
+SQL["lineage_depth"] = """WITH RECURSIVE v AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 500 = 150 THEN p_partkey + 3 WHEN p_partkey % 100 > 0 THEN p_partkey - 1 END AS of_ FROM part),
+p AS (SELECT v.k, o.k AS of_ FROM v LEFT JOIN v o ON o.k = v.of_),
+up AS (SELECT k, k AS root, 0 AS depth FROM p WHERE of_ IS NULL UNION ALL SELECT p.k, up.root, up.depth + 1 FROM p JOIN up ON p.of_ = up.k)
+SELECT 'v' || p.k AS feature, 'v' || up.root AS root, CAST(up.depth AS BIGINT) AS depth, up.k IS NULL AS cyclic FROM p LEFT JOIN up ON up.k = p.k"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import warnings
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,17 +34,20 @@ def folder(spark: SparkSession, path: str, columns: list[str], rows_per_file: in
 
 
 def files_with(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """The union of those files that have all columns; the others are skipped with a warning that names them."""
-    read = {p: spark.read.parquet(p) for p in sorted(paths)}
-    good = [d.select(*columns) for d in read.values() if set(columns) <= set(d.columns)]
-    if skipped := [p for p, d in read.items() if not set(columns) <= set(d.columns)]:
+    """The union of those files that have all columns; the others are skipped with a warning that names them.
+
+    Files of one schema are one scan, so that the plan grows with the number of schemas, not of files.
+    """
+    by_schema: dict[str, list[str]] = {}
+    for p in sorted(paths):
+        by_schema.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+    scans = [(spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*some), some) for schema, some in by_schema.items()]
+    good = [d.select(*columns) for d, _ in scans if set(columns) <= set(d.columns)]
+    if skipped := sorted(p for d, some in scans if not set(columns) <= set(d.columns) for p in some):
         warnings.warn(f"skipped for lack of columns: {', '.join(skipped)}", stacklevel=2)
     if not good:
         raise ValueError("no file has all columns")
-    out = good[0]
-    for d in good[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, good)
 
 
 def event_panel(spark: SparkSession, path: str) -> DataFrame:
@@ -61,14 +66,29 @@ def feature_csv(spark: SparkSession, path: str, feature: str) -> DataFrame:
     return df.select(F.lit(feature).alias("feature"), "symbol", "earnings_date", F.nanvl(F.col(feature), F.lit(None).cast("double")).alias("value"))
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, by_time: bool = False) -> DataFrame:
+    """value, file, line_no of the text files under path: line_no counts all lines, blank ones too, from 0 on, file by
+    file in order of their names, or of their modification times and then names.
+
+    A file may be read in several splits, in any order and by any task. Two passes: lines are counted by split, the
+    counts of earlier splits are added up over the splits alone, and a line adds its place in its split.
+    """
+    meta = ["_metadata.file_modification_time AS time", "_metadata.file_path AS file", "_metadata.file_block_start AS split"]
+    lines = spark.read.text(path).selectExpr("value", *meta).withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("time", "file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(*(["time"] if by_time else []), "file", "split")  # a row a split
+    before = splits.select("file", "split", "first", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), ["file", "split"]).select("value", "file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"))
+
+
+def history(spark: SparkSession, path: str, by_time: bool = False) -> DataFrame:
     """History lines with kind and line_no; JSON parts stay texts for from_json. Blank lines are skipped.
 
-    line_no orders lines within a file, and files by name.
+    line_no orders lines over all files, by name or, for a log that appends files, by time (see numbered_lines).
     """
     from factorloom.operators.history import kind_of_line
 
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no")).filter(F.trim("value") != "")
+    raw = numbered_lines(spark, path, by_time).filter(F.trim("value") != "")
     parsed = raw.select("line_no", "file", F.from_json("value", HISTORY).alias("r")).select("line_no", "file", "r.*")
     return parsed.withColumn("kind", kind_of_line())
 

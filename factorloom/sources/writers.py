@@ -16,7 +16,7 @@ def csv(df: DataFrame, path: str) -> None:
 
 
 def append_json(df: DataFrame, path: str) -> None:
-    """One JSON line a row, UTF-8, added to what is there."""
+    """One JSON line a row, UTF-8, added to what is there as new files, which readers.history puts in order by_time."""
     df.write.mode("append").json(path)
 
 
