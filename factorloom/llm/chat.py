@@ -11,9 +11,9 @@ with \\ and <| in roles and texts, and newlines in roles, escaped reversibly. Th
 
 Defined cases: null text and null role are empty. Rows that repeat stay, ordered by turn, then role, then text. Rows
 with null conv_id form one conversation. Records of an unknown layout, and those that aren't JSON or are nested too
-deeply to read, are reported by `unknown_layouts` and give no turns. A lone surrogate in a JSON string is no character
-and becomes U+FFFD. Additional columns of a table change its layout only if they clash with a mapping's own field names;
-others are ignored.
+deeply to read, are rows without a layout, which `unknown_layouts` counts. A lone surrogate in a JSON string is no
+character and becomes U+FFFD. Additional columns of a table, whatever their names, don't change its layout: columns
+conv_id, turn, role and text come first, then the layout that finds most of its fields, then a `record` of JSON.
 """
 
 from __future__ import annotations
@@ -134,23 +134,34 @@ def unknown_layouts(records: DataFrame) -> DataFrame:
     return turns_of_json(records).filter("layout is null").agg(F.count(F.lit(1)).alias("records"))
 
 
+def layout_of(table: DataFrame) -> Mapping | None:
+    """The mapping of a table's columns: rows by turn if conv_id, turn, role and text are all there; else the one with
+    exactly these fields; else, as other columns may clash with fields of other layouts, the one that finds most."""
+    paths = set(paths_of_schema(table.schema))
+    fits = [m for m in MAPPINGS if set(m.paths) <= paths and (m.name != "rows_by_turn" or "turn" in table.columns)]
+    return min(fits, key=lambda m: (m.name != "rows_by_turn", -len(m.paths)), default=None)
+
+
 def canonical_turns(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table whose columns have a known layout, or a `record` column of JSON."""
-    if {"conv_id", "record"} <= set(table.columns):
-        return turns_of_json(table).filter("turn is not null").drop("layout")
-    mapping = BY_FINGERPRINT.get(fingerprint(paths_of_schema(table.schema)))
-    if mapping is None:
-        raise ValueError(f"no mapping has this layout: {sorted(paths_of_schema(table.schema))}")
-    if mapping.name == "rows_by_turn":
+    """conv_id, turn, role, text, layout of a table whose columns have a known layout, or else a `record` column of JSON.
+
+    A record of no known layout is a row without layout, turn, role and text; one of no turns has no rows."""
+    mapping = layout_of(table)
+    if mapping is not None and mapping.name == "rows_by_turn":
         said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-        return table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text"))
-    fields = sorted({re.split(r"[.\[:]", p)[0] for p in mapping.paths})
-    record = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return turns_of_json(table.select("conv_id", record.alias("record"))).filter("turn is not null").drop("layout")
+        return table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text"), F.lit(mapping.name).alias("layout"))
+    if mapping is not None:
+        fields = sorted({re.split(r"[.\[:]", p)[0] for p in mapping.paths})
+        table = table.select("conv_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
+    elif not {"conv_id", "record"} <= set(table.columns):
+        raise ValueError(f"no mapping has this layout: {sorted(paths_of_schema(table.schema))}")
+    return turns_of_json(table).filter("layout is null or role is not null")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """turns with `segment`, the formatted turn, and `loss`, whether its text is under the loss mask."""
+    """turns with `segment`, the formatted turn, and `loss`, whether its text is under the loss mask. Rows that stand for
+    a record of unknown layout have none and are left out."""
+    turns = turns.filter("role is not null")
     safe = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
     role = F.replace(F.replace(F.replace(F.col("role"), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|")), F.lit("\n"), F.lit("\\n"))
     return turns.withColumn("segment", F.concat(F.lit(START), role, F.lit("\n"), safe, F.lit(END + "\n"))).withColumn("loss", F.col("role") == "assistant")

@@ -3,13 +3,14 @@
 Features are hashed n-grams of 2 and 3 characters (code points of the lower-cased text, a space at either end), their
 term frequency is the share of the text's n-grams, and the inverse document frequency is counted over all training
 documents. Weights come from follow-the-regularised-leader with L1 and L2 penalties; a temperature fitted on held-back
-sample rows calibrates the probabilities. Only the classifier's fit is bounded: SAMPLE rows a language, in expectation,
-chosen by a hash of doc_id and text, and the MAX_LANGUAGES commonest labels (of equal counts the first by name), as the
-weights take a column each; a rarer label is never predicted. Document frequencies cover every training document.
+sample rows calibrates the probabilities. Every label is learned. Only the classifier's fit is bounded: SAMPLE rows a
+language, in expectation, chosen by a hash of doc_id and text, or fewer of more languages than ROWS / SAMPLE, LEAST at
+least. The weights take a column a language, so that of many languages n-grams hash to fewer slots, TABLE weights in all
+where that leaves 2^LEAST_BITS. Document frequencies cover every training document.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0. Rows without lang are never learned from.
 With no labelled row, every text is 'und'. Repeated rows are predicted each for itself; columns other than doc_id,
-text and lang are not read. Texts of any length are read whole, some ten bytes a character at a time in a task.
+text and lang are not read. Texts of any length are read whole, in stretches of STRETCH characters.
 """
 
 from __future__ import annotations
@@ -25,25 +26,39 @@ from pyspark.sql import types as T
 
 from factorloom.llm.common import blobs, by_bytes, small_batches, trim
 
-BITS = 16
-DIM = 2 * (1 << BITS)
-SAMPLE = 600
-MAX_LANGUAGES = 200
+BITS, LEAST_BITS, TABLE = 16, 10, 12_000_000
+SAMPLE, ROWS, LEAST = 600, 24_000, 8
+STRETCH = 1 << 20
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def codes_of(text: bytes) -> np.ndarray:
-    """Hashed n-gram features of a text: all pairs of characters, then all triples."""
+def stretches_of_codes(text: bytes, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Hashed n-gram features of a text, slots of pairs of characters and then of triples, by stretches of the text."""
     said = text.decode(errors="replace").lower()
     if not said:
-        return np.empty(0, np.uint32)
-    c = np.frombuffer(f" {said} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    pairs = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
-    triples = (pairs[:-1] * np.uint32(0x85EBCA6B) + c[2:]) * np.uint32(0xC2B2AE35)
-    return np.concatenate(((pairs * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), (triples >> np.uint32(32 - BITS)) + np.uint32(1 << BITS)))
+        return
+    said = f" {said} "
+    shift = np.uint32(32 - bits)
+    for at in range(0, len(said) - 1, STRETCH):
+        c = np.frombuffer(said[at : at + STRETCH + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        pairs = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
+        triples = (pairs[:-1] * np.uint32(0x85EBCA6B) + c[2:]) * np.uint32(0xC2B2AE35)
+        yield np.concatenate(((pairs[:STRETCH] * np.uint32(0x85EBCA6B)) >> shift, (triples >> shift) + np.uint32(1 << bits)))
+
+
+def codes_of(text: bytes, bits: int = BITS) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint32), *stretches_of_codes(text, bits)])
+
+
+def bits_for(languages: int) -> int:
+    """How wide n-grams are hashed, for a table of TABLE weights at most."""
+    bits = BITS
+    while bits > LEAST_BITS and (2 << bits) * languages > TABLE:
+        bits -= 1
+    return bits
 
 
 @dataclass
@@ -54,10 +69,16 @@ class Model:
     row: np.ndarray
     bias: np.ndarray
     temperature: float
+    bits: int = BITS
 
     def logits(self, text: bytes) -> np.ndarray:
-        at = codes_of(text)
-        return self.bias + (self.table.take(self.row[at], axis=0).sum(axis=0) / max(len(at), 1)).astype(np.float64)
+        total, n = np.zeros(len(self.languages)), 0
+        step = max(1, 4 * STRETCH // max(len(self.languages), 1))
+        for some in stretches_of_codes(text, self.bits):
+            n += len(some)
+            for at in range(0, len(some), step):
+                total += self.table.take(self.row[some[at : at + step]], axis=0).sum(axis=0)
+        return self.bias + total / max(n, 1)
 
     def probabilities(self, text: bytes) -> np.ndarray:
         x = self.logits(text) / self.temperature
@@ -65,49 +86,58 @@ class Model:
         return x / x.sum()
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequency(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, int]:
     """Documents by feature, and their number, over all rows of docs."""
+    dim = 2 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DIM + 1, np.int64)
+        total = np.zeros(dim + 1, np.int64)
         for b in batches:
             for text in blobs(b.column("text")):
-                seen = np.zeros(DIM, bool)
-                seen[codes_of(text)] = True
-                total[:DIM] += seen
-                total[DIM] += 1
+                seen = np.zeros(dim, bool)
+                for some in stretches_of_codes(text, bits):
+                    seen[some] = True
+                total[:dim] += seen
+                total[dim] += 1
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["feature", "n"])
 
     found = docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(DIM + 1, np.int64)
-    out[found.column("feature").to_numpy()] = found.column("n").to_numpy()  # DIM + 1 rows at most
-    return out[:DIM], int(out[DIM])
-
-
-def sample_by_language(docs: DataFrame, per_language: int, seed: int = 17) -> DataFrame:
-    """About per_language rows of each language, chosen by a hash of doc_id and text; all of a rarer language."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    rates = {r.lang: min(1.0, per_language / r["count"]) for r in counts.collect()}
-    if not rates:
-        return docs.limit(0)
-    rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang"))
+    out = np.zeros(dim + 1, np.int64)
+    out[found.column("feature").to_numpy()] = found.column("n").to_numpy()  # dim + 1 rows at most
+    return out[:dim], int(out[dim])
+
+
+def sample_by_language(docs: DataFrame, counts: dict[str, int], per_language: int, seed: int = 17) -> DataFrame:
+    """About per_language rows of each language of counts, chosen by a hash of doc_id and text; all of a rarer language."""
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, __rate double")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.filter(F.col("lang").isin(list(rates)) & (draw < rate))
+    some = docs.join(F.broadcast(rates), "lang").filter(draw < F.col("__rate")).drop("__rate")  # a row a language
     return some.dropDuplicates(["doc_id", "text", "lang"])  # equal rows draw alike
 
 
-def featurise(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+def counted(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text and how often it has each."""
+    total = np.zeros(2 << bits, np.int64)
+    some = list(stretches_of_codes(text, bits)) if len(text) <= STRETCH else None
+    if some is not None:
+        return np.unique(np.concatenate([np.empty(0, np.uint32), *some]), return_counts=True)
+    for x in stretches_of_codes(text, bits):
+        total += np.bincount(x, minlength=len(total))
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def featurise(docs: DataFrame, bits: int = BITS) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(lang, doc_id, features, term frequencies) of a bounded sample, made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             feats, shares = [], []
             for text in blobs(b.column("text")):
-                at = codes_of(text)
-                f, n = np.unique(at, return_counts=True)
+                f, n = counted(text, bits)
                 feats.append(f.astype(np.int32).tobytes())
-                shares.append((n / max(len(at), 1)).astype(np.float32).tobytes())
+                shares.append((n / max(n.sum(), 1)).astype(np.float32).tobytes())
             yield pa.record_batch([b.column("lang"), b.column("doc_id"), pa.array(feats, pa.binary()), pa.array(shares, pa.binary())], ["lang", "doc_id", "f", "tf"])
 
     rows = docs.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, f binary, tf binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
@@ -160,12 +190,15 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
 def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     """Fit on rows (doc_id, text, lang) with lang not null; document frequencies over all of them."""
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").filter("lang is not null and text is not null")
-    df, n = document_frequency(labelled)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = featurise(sample_by_language(labelled, per_language))
-    languages = sorted({r[0] for r in rows})
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}  # a row a language
+    languages = sorted(counts)
+    bits = bits_for(len(languages))
+    dim = 2 << bits
     if not languages:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(DIM, np.int32), np.zeros(0), 1.0)
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(dim, np.int32), np.zeros(0), 1.0)
+    df, n = document_frequency(labelled, bits)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    rows = featurise(sample_by_language(labelled, counts, min(per_language, max(LEAST, ROWS // len(languages)))), bits)
     index = {x: k for k, x in enumerate(languages)}
     gain = 10.0 * idf  # of the share vector, so that FTRL's steps suit it
     held_back = [(doc_id or 0) % 5 == 0 for _, doc_id, _, _ in rows]
@@ -173,12 +206,12 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     fit = [r for r, held in zip(ready, held_back) if not held] or ready
     w = ftrl(fit, len(languages), gain)
     held = [r for r, back in zip(ready, held_back) if back]
-    logits = np.array([(tf * gain[f]) @ w[f] + w[DIM] for f, tf, _ in held]).reshape(len(held), len(languages))
-    used = np.flatnonzero(w[:DIM].any(axis=1))
-    place = np.full(DIM, len(used), np.int32)
+    logits = np.array([(tf * gain[f]) @ w[f] + w[dim] for f, tf, _ in held]).reshape(len(held), len(languages))
+    used = np.flatnonzero(w[:dim].any(axis=1))
+    place = np.full(dim, len(used), np.int32)
     place[used] = np.arange(len(used))
     table = np.concatenate((w[used] * gain[used, None], np.zeros((1, len(languages))))).astype(np.float32)
-    model = Model(languages, table, place, w[DIM], temperature_of(logits, np.array([r[2] for r in held], int)))
+    model = Model(languages, table, place, w[dim], temperature_of(logits, np.array([r[2] for r in held], int)), bits)
     del rows, ready, fit, held, w
     trim()
     return model
@@ -186,7 +219,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs, whatever their columns, with __language and __language_score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DIM rows by MAX_LANGUAGES, less what has no weight
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # TABLE weights at most, less what has none
     names = docs.columns
     rows = docs.withColumn("__language_text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("__language", T.StringType()), T.StructField("__language_score", T.DoubleType())])

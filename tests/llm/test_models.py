@@ -102,11 +102,34 @@ def test_letters_and_characters(spark):
     assert len(language_id.codes_of("海".encode())) == 3 and not len(language_id.codes_of(b""))
 
 
-def test_rarest_languages_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
-    rows = [(k, f"{lang} words {lang}", lang) for k, lang in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 5)]
-    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert {r.lang_pred for r in got} == {"aa", "bb"} and len(got) == 55
+def test_every_language_is_learned(spark):
+    """1,500 labels, each with letters of its own, all of which are predicted on held-out rows."""
+    assert language_id.bits_for(4) == language_id.BITS and (2 << language_id.bits_for(1500)) * 1500 <= language_id.TABLE
+    said = [(f"l{j:04}", "".join(chr(0x4E00 + 7 * j + k) for k in range(5))) for j in range(1500)]
+    rows = [(12 * j + k, f"{t[k % 3:]} {t} {t[: 2 + k % 4]}", lang) for j, (lang, t) in enumerate(said) for k in range(12)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    want = {k: lang for k, _, lang in rows}
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.97
+    assert len({r.lang_pred for r in got}) == 1500
+
+
+def test_stretches_are_the_whole(monkeypatch):
+    text = ("Ünd die Straße, 大海 ist nicht\n" * 40).encode()
+    for bits in (16, 12):
+        whole = sorted(language_id.codes_of(text, bits).tolist())
+        for size in (1, 2, 7, 100):
+            monkeypatch.setattr(language_id, "STRETCH", size)
+            assert sorted(language_id.codes_of(text, bits).tolist()) == whole
+            f, n = language_id.counted(text, bits)
+            assert dict(zip(f.tolist(), n.tolist())) == Counter(whole)
+        monkeypatch.setattr(language_id, "STRETCH", 1 << 20)
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = [(k, f"{w} {w}s", lang) for k, (lang, w) in enumerate([("en", "the river"), ("de", "der strom")] * 30)] + [(1000, "the rivers " * 4_600_000, None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("doc_id = 1000").first()
+    assert got.lang_pred == "en" and got.score > 0.5
 
 
 def test_language_edges(empty, repeated, clashing, spark):

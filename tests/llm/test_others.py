@@ -270,6 +270,9 @@ def test_layouts(spark):
     got = {}
     for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
+        assert (r.layout is None) == (r.conv_id in (5, 6, 7))
+    assert [got.pop(k) for k in (5, 6, 7)] == [[(None, None)]] * 3  # rows of no layout, which aren't formatted
+    assert {r.conv_id for r in chat.format_conversations(df).collect()} == set(got)
     assert got == {0: [("user", "p"), ("assistant", "c")], 1: [("user", "i\nx"), ("assistant", "o")], 2: [("user", "hi"), ("assistant", "yo")], 3: [("user", "q"), ("assistant", "a")], 4: [("user", "AB")], 8: [("system", "s"), ("user", "p"), ("assistant", "")]}
     assert chat.unknown_layouts(df).first()[0] == 3
     wide = spark.createDataFrame([(1, "q1", "a1")], "conv_id long, question string, answer string")
@@ -278,13 +281,38 @@ def test_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, 2)], "conv_id long, prompt long"))
 
 
+@pytest.mark.parametrize("more", [["record"], ["prompt"], ["answer", "question"], ["messages"], ["record", "prompt", "completion", "layout", "segment", "loss"]])
+def test_clashing_columns_of_conversations(spark, more):
+    """conv_id, turn, role and text win over columns that other layouts have; nothing is lost."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, 0, "user", "x"), (None, 1, None, None), (2, None, "user", "y")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = spark.createDataFrame([(*r, *["{}"] * len(more)) for r in rows], ", ".join(["conv_id long, turn long, role string, text string", *[f"{c} string" for c in more]]))
+    read = lambda df: sorted(map(tuple, chat.format_conversations(df).collect()), key=str)
+    assert read(clashing) == read(plain) and len(read(plain)) == 3 and sum(r[1] for r in read(plain)) == 5
+
+
+def test_clashing_columns_of_records(spark):
+    """A layout's own fields win over one more field of another, and over a column named record."""
+    rows = spark.createDataFrame([(1, "q", "a", "c", "{}")], "conv_id long, question string, answer string, completion string, record string")
+    assert [(r.turn, r.role, r.text, r.layout) for r in chat.canonical_turns(rows).orderBy("turn").collect()] == [(0, "user", "q", "question_answer"), (1, "assistant", "a", "question_answer")]
+
+
+def test_long_conversation_and_very_long_text(spark):
+    """A conversation of 100,000 turns and a turn of megabytes stream through."""
+    turns = spark.range(100_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    more = spark.createDataFrame([(8, 0, "assistant", "<|x " * 1_000_000)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_conversations(turns.unionByName(more)).collect()}
+    said = hashlib.sha256("".join(f"t{k}" for k in range(1, 100_000, 2)).encode()).hexdigest()
+    assert (got[7].n_turns, got[7].loss_sha256, got[8].loss_chars) == (100_000, said, 4_000_000)
+
+
 def test_records_that_cannot_be_read(spark):
     """Lone surrogates, nesting beyond any reader, lists where turns should be: no record stops the job."""
     deep = "[" * 200_000 + "]" * 200_000
     records = ['{"prompt": "a\\ud800b", "completion": "\\ud83d\\ude00"}', deep, '{"x": ' + deep + "}", '{"messages": [{"role": "user", "content": "hi"}, [], {}]}', '{"\\udfff": 1}', "{", '{"prompt": 1e999, "completion": "c"}', None]
     df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
     got = {}
-    for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect():
+    for r in chat.canonical_turns(df).filter("layout is not null").orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     assert got == {0: [("user", "a\ufffdb"), ("assistant", "\U0001f600")], 3: [("user", "hi"), ("", "")]}
     assert chat.unknown_layouts(df).first()[0] == 6
