@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,23 @@ BLOCK = 32 << 20
 STORED: list[str] = []
 
 
+class Own(threading.local):
+    """Paths that this thread has written, in order, dropped ones included."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+OWN = Own()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", BLOCK).parquet(path)
     STORED.append(path)
+    OWN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
