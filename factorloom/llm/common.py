@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.sources.scratch import STORED, drop_stored, shared_dir, stored  # noqa: F401
+from factorloom.sources.scratch import OWN, STORED, drop_stored, shared_dir, stored  # noqa: F401
 
 U64 = np.uint64
 #: Byte maps: words of letters and digits (op1) lower-cased, and plain A-Z lower-casing.
