@@ -6,13 +6,14 @@ stage's docs. All but the last return the columns of documents, for the rows the
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import decontamination, jaccard_join, language_id, packing, secrets
-from factorloom.llm.common import STORED, drop_stored, numbered, small_batches, stored
+from factorloom.llm.common import OWN, STORED, drop_stored, numbered, small_batches, stored
 
 #: A text whose language is less sure than LEAST_SURE, or, of many languages, than CHANCE divided by their number, is
 #: rejected: it is hardly surer than chance.
@@ -22,20 +23,28 @@ BROADCAST = 1_000_000
 MASK = "[secret]"
 
 
-LEFT: list[str] = []
+class Left(threading.local):
+    """By folder, the tables that the last stage of this thread's run over it wrote for itself."""
+
+    def __init__(self):
+        self.paths: dict[str, list[str]] = {}
+
+
+LEFT = Left()
 
 
 def stage(f):
     """A stage that first drops the tables that the stage before it wrote for itself: its result stands by now, as a
-    stage's docs are the Parquet that it was written to. Tables that docs still read stay."""
+    stage's docs are the Parquet that it was written to. Tables that docs still read stay. Runs in other threads, and
+    runs over other folders, keep theirs."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = docs.inputFiles()
-        drop_stored(spark, [x for x in LEFT if x in STORED and not any(x.rsplit("/", 1)[-1] in file for file in read)])
-        before = set(STORED)
+        drop_stored(spark, [x for x in LEFT.paths.pop(sf_dir, []) if x in STORED and not any(x.rsplit("/", 1)[-1] in file for file in read)])
+        before = len(OWN.paths)
         out = f(spark, docs, sf_dir)
-        LEFT[:] = [x for x in STORED if x not in before]
+        LEFT.paths[sf_dir] = [x for x in OWN.paths[before:] if x in STORED]
         return out
 
     return run
@@ -104,5 +113,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         before, docs = docs.inputFiles(), stored(step(spark, docs, sf_dir), name)
-        drop_stored(spark, [x for x in STORED if any(x.rsplit("/", 1)[-1] in file for file in before)])
+        drop_stored(spark, [x for x in OWN.paths if x in STORED and any(x.rsplit("/", 1)[-1] in file for file in before)])
     return STAGES[-1][1](spark, docs, sf_dir)
