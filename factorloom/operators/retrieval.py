@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators import vector_index
 from factorloom.operators.ordering import with_position
+from factorloom.sources.scratch import stored
 
-#: Query vectors that are broadcast together, in expectation.
-QUERIES = 1000
+#: Hits that are broadcast.
+HITS = 200_000
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -50,22 +50,18 @@ def scoped_top_k(chunks: DataFrame, query: list[float], k: int, total: int, sect
     return in_scope(fetched, sections, roles, sector).orderBy(F.desc("score"), key).limit(k)
 
 
-def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, by: list[str], key: str = "chunk_id") -> DataFrame:
+def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, by: list[str], key: str = "chunk_id", index: vector_index.Index | None = None) -> DataFrame:
     """The best `total` rows over several queries' best `per_query`, one row for each value of `by`: its best score.
 
-    queries (query_id, vector) is a stated set: blocks of some QUERIES meet all chunks, each block broadcast.
+    queries (query_id, vector) is a stated set, searched in an index of the chunks' vectors; one is built if none is
+    given. The hits are joined to their chunks, broadcast if they are few.
     """
-    blocks = max(1, -(-queries.count() // QUERIES))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-
-    def of_block(k: int) -> DataFrame:
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        pairs = chunks.join(F.broadcast(some)).withColumn("score", inner_product(F.col("embedding"), F.col("vector")))
-        return pairs.withColumn("rank", rank).filter(F.col("rank") <= per_query)
-
-    best = reduce(DataFrame.unionByName, map(of_block, range(blocks)))
+    hits = vector_index.search(index or vector_index.build(chunks, key), queries, per_query)
+    hits = stored(hits.select("query_id", F.col("key").alias(key), "score"), "hits")
+    side = F.broadcast(hits) if hits.count() <= HITS else hits  # shuffled beyond that
+    best = chunks.join(side, key)
     one = best.withColumn("again", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "query_id", key))).filter("again = 1")
-    return one.orderBy(F.desc("score"), key).limit(total).drop("rank", "again", "vector")
+    return one.orderBy(F.desc("score"), key).limit(total).drop("again")
 
 
 def head_by_episode(rows: DataFrame, k: int = 5, by: str = "episode", key: str = "chunk_id") -> DataFrame:

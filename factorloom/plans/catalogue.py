@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring
+from factorloom.operators import chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -381,6 +381,13 @@ def multi_query_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.multi_query_top_k(D.chunks(s, d), queries, 4, 8, ["page_num"]).select("page_num", "chunk_id", r6("score"))
 
 
+@query
+def all_vectors_topk(s: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query: its five best vectors, itself among them."""
+    queries = D.table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(vector_index.build(D.chunks(s, d), block=64), queries, 5).select("query_id", F.col("key").alias("chunk_id"), r6("score"), "rank")
+
+
 @query
 def memory_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.memory_top_k(D.chunks(s, d), D.vector(s, d, 5), 5, 0.1, "chunk_id").select("chunk_id", r6("score"))

@@ -251,3 +251,5 @@ SQL["lineage_depth"] = """WITH RECURSIVE v AS (SELECT p_partkey AS k, CASE WHEN
 p AS (SELECT v.k, o.k AS of_ FROM v LEFT JOIN v o ON o.k = v.of_),
 up AS (SELECT k, k AS root, 0 AS depth FROM p WHERE of_ IS NULL UNION ALL SELECT p.k, up.root, up.depth + 1 FROM p JOIN up ON p.of_ = up.k)
 SELECT 'v' || p.k AS feature, 'v' || up.root AS root, CAST(up.depth AS BIGINT) AS depth, up.k IS NULL AS cyclic FROM p LEFT JOIN up ON up.k = p.k"""
+SQL["all_vectors_topk"] = f"""SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {DOT.format(a='c.embedding', b='q.embedding')} AS score FROM embeddings c, embeddings q)) WHERE rank <= 5"""
