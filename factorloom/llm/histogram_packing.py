@@ -33,6 +33,8 @@ from factorloom.llm.packing import Encoder
 
 #: Tokens between kept checksums, where a document may be cut; documents a salt; salts that are broadcast.
 GRID, SALTED, SALTS = 64, 10_000, 200_000
+#: Words whose ids a worker process remembers, some 180 MB.
+REMEMBERED = 800_000
 PIECES = "doc_id long, row_id long, start long, length int, ids_crc32 long, doc_tokens long, marks binary"
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,7 +63,7 @@ def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 2, gr
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, REMEMBERED)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
@@ -249,4 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = 40
     histogram = np.zeros(most + 1, np.int64)
     for length, n in counts:
         histogram[length] = n
-    return placed(with_ranks(pieces, counts), plan(histogram, grid), grid)
+    parts = plan(histogram, grid)
+    if not any(a or b < length for _, length, _, _, a, b, *_ in parts.rows):
+        pieces = pieces.withColumn("marks", F.lit(None).cast("binary"))  # nothing is cut
+    return placed(with_ranks(pieces, counts), parts, grid)

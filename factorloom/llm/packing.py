@@ -35,9 +35,10 @@ class Encoder:
     """Token ids of texts. The tokenizer lower-cases, drops white space and never joins across it, so each distinct word
     is encoded once; a comma or full stop that ends a word is a token of its own and is parted from it first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
@@ -45,9 +46,9 @@ class Encoder:
         self.ends[ends] = True
 
     @staticmethod
-    def of(path: str) -> Encoder:
+    def of(path: str, remembered: int = REMEMBERED) -> Encoder:
         """This worker process's encoder, kept with its memory from task to task."""
-        return ENCODERS.get(path) or ENCODERS.setdefault(path, Encoder(path))
+        return ENCODERS.get((path, remembered)) or ENCODERS.setdefault((path, remembered), Encoder(path, remembered))
 
     def learned(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words, by word."""
@@ -82,7 +83,7 @@ class Encoder:
         with_new = [(words, ids) for words, ids in zip(split, found) if None in ids]
         if with_new:  # words met early are mostly the frequent ones, so that most texts have few new ones
             new = self.learned(list({w for words, ids in with_new for w, i in zip(words, ids) if i is None}))
-            if len(self.known) < REMEMBERED:
+            if len(self.known) < self.remembered:
                 self.known.update(new)
             for words, ids in with_new:
                 for at in [k for k, i in enumerate(ids) if i is None]:
@@ -100,7 +101,7 @@ def stretches(text: bytes, most: int | None = None) -> Iterator[bytes]:
         at = to
 
 
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 COMMA, STOP = (re.compile(mark + rb"(?<=[a-z]" + mark + rb")(?=[ \n])") for mark in (rb",", rb"\."))
 
 
