@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
+from factorloom.operators import asof, chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -153,6 +153,14 @@ def symbol_year_filter(s: SparkSession, d: str) -> DataFrame:
     return panel.of_symbols(D.panel(s, d), list(range(1, 60)), [1996, 1999]).select("episode", "symbol", F.date_format("earnings_date", "yyyy-MM-dd").alias("day"))
 
 
+@query
+def asof_features(s: SparkSession, d: str) -> DataFrame:
+    """Every episode with its symbol's latest shipping day at or before it, and what was shipped then."""
+    shipped = D.table(s, d, "lineitem").join(D.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("symbol"), F.col("l_shipdate").alias("shipped_on")).agg(F.sum(F.col("l_quantity").cast("long")).alias("shipped"))
+    found = asof.asof_join(D.panel(s, d).select("symbol", "episode", "earnings_date"), shipped, "symbol", "earnings_date", "shipped_on")
+    return found.select("symbol", "episode", F.date_format("shipped_on", "yyyy-MM-dd").alias("day"), "shipped")
+
+
 @query
 def null_rate(s: SparkSession, d: str) -> DataFrame:
     """After a left join, so that episodes without lines are null."""

@@ -253,3 +253,5 @@ up AS (SELECT k, k AS root, 0 AS depth FROM p WHERE of_ IS NULL UNION ALL SELECT
 SELECT 'v' || p.k AS feature, 'v' || up.root AS root, CAST(up.depth AS BIGINT) AS depth, up.k IS NULL AS cyclic FROM p LEFT JOIN up ON up.k = p.k"""
 SQL["all_vectors_topk"] = f"""SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {DOT.format(a='c.embedding', b='q.embedding')} AS score FROM embeddings c, embeddings q)) WHERE rank <= 5"""
+SQL["asof_features"] = f"""WITH {PANEL}, r AS (SELECT o_custkey AS symbol, l_shipdate AS shipped_on, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT p.symbol, p.episode, strftime(r.shipped_on, '%Y-%m-%d') AS day, r.shipped FROM panel p ASOF LEFT JOIN r ON p.symbol = r.symbol AND p.earnings_date >= r.shipped_on"""
