@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import asof, chunking, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
+from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -451,6 +451,34 @@ def prompt_text(s: SparkSession, d: str) -> DataFrame:
     return retrieval.prompt_text(turns, "conv_id", 40)
 
 
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    """A prompt a conversation: its system turns, its last user turn as task, its latest turns as memory, its assistant
+    turns as hints, and one of the strategies."""
+    turns = D.table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    parts = turns.groupBy("conv_id").agg(said("system").alias("system"), F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task"), said("assistant").alias("hints"))
+    lines = turns.select("conv_id", "turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
+    memory = context.recent_within(lines, "conv_id", "turn", "line", 120).withColumnRenamed("recent", "memory")
+    strategy = F.get(F.array(*[F.lit(x) for x in (context.WINDOW, context.SUMMARY, context.RETRIEVAL)]), (F.col("conv_id") % 3).cast("int"))
+    return parts.join(memory, "conv_id", "left").withColumn("strategy", strategy)
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", F.md5("context").alias("digest"), "system_tokens", "task_tokens", "session_tokens", "total_tokens", r6("utilization"))
+
+
+@query
+def context_assembly(s: SparkSession, d: str) -> DataFrame:
+    """Contexts of 400 tokens by all three strategies, each part within its own share."""
+    return _assembled(context.assembled(_prompts(s, d), 400))
+
+
+@query
+def context_passed_on(s: SparkSession, d: str) -> DataFrame:
+    """The same with unused budget passed on to the next part."""
+    return _assembled(context.assembled(_prompts(s, d), 400, pass_on=True))
+
+
 # -- text
 
 
@@ -469,9 +497,9 @@ def section_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def speaker_role(s: SparkSession, d: str) -> DataFrame:
-    """Of names as they stand in calls, followed by the start of a document, and of that start alone."""
+    """Of names as they stand in calls, followed by a whole document, and of the name alone."""
     name = F.get(F.array(*[F.lit(x) for x in ("", "Q - Jo", "The Operator", "Ann Lee, Morgan Stanley", "Sue Roe, CFO", "Sam")]), (F.col("doc_id") % 6).cast("int"))
-    said = F.concat(name, F.when(F.col("n_chars") % 5 > 0, F.substring("text", 1, 60)).otherwise(""))
+    said = F.concat(name, F.when(F.col("n_chars") % 5 > 0, F.col("text")).otherwise(""))
     return D.table(s, d, "documents").select("doc_id", T.speaker_role(said).alias("role"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factorloom.functions import text as T
+from factorloom.operators import context as C
 from factorloom.operators import gates as G
 from factorloom.operators import scoring as S
 
@@ -162,7 +163,7 @@ CALLS = "tr AS (SELECT conv_id AS symbol, string_agg(CASE role WHEN 'user' THEN
 SQL["qa_boundary"] = f"""WITH {CALLS}, o AS (SELECT symbol, CASE WHEN symbol % 3 = 0 THEN t || chr(10) || 'Questions and Answers' || chr(10) || 'Analyst: thanks' WHEN symbol % 3 = 1 THEN 'We will now begin the question round' || chr(10) || t ELSE t END AS t FROM tr),
 l AS (SELECT symbol, string_split(t, chr(10)) AS ls FROM o), f AS (SELECT symbol, ls, list_position(list_transform(ls, lambda x: {' OR '.join(f"regexp_matches(x, '{sql_regex(p)}')" for p in T.QA_BOUNDARY)}), true) AS p FROM l)
 SELECT symbol, CASE WHEN p > 0 THEN CAST(p - 1 AS INTEGER) END AS line, CAST(CASE WHEN p > 0 THEN length(trim(array_to_string(ls[p:], chr(10)))) ELSE 0 END AS INTEGER) AS qa_chars FROM f"""
-SQL["speaker_role"] = f"""WITH c AS (SELECT doc_id, ['', 'Q - Jo', 'The Operator', 'Ann Lee, Morgan Stanley', 'Sue Roe, CFO', 'Sam'][doc_id % 6 + 1] || CASE WHEN n_chars % 5 > 0 THEN left(text, 60) ELSE '' END AS x FROM documents)
+SQL["speaker_role"] = f"""WITH c AS (SELECT doc_id, ['', 'Q - Jo', 'The Operator', 'Ann Lee, Morgan Stanley', 'Sue Roe, CFO', 'Sam'][doc_id % 6 + 1] || CASE WHEN n_chars % 5 > 0 THEN text ELSE '' END AS x FROM documents)
 SELECT doc_id, CASE WHEN x = '' THEN 'unknown' WHEN regexp_matches(x, '{T.ANALYST_PREFIX}') THEN 'analyst' WHEN contains(lower(x), 'operator') THEN 'operator' WHEN regexp_matches(x, '{T.ANALYST_FIRMS}') THEN 'analyst' ELSE 'mgmt' END AS role FROM c"""
 SPLIT = "list_filter(string_split_regex({x}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda s: true)"
 SQL["noise_lines"] = f"""WITH d AS (SELECT doc_id, {SPLIT.format(x="coalesce(text, '') || chr(10) || 'Form 8-K' || chr(10) || 'see report.pdf' || chr(10) || '$1,2,3,4 12,000' || chr(10)")}[:-2] AS ls FROM documents), l AS (SELECT doc_id, regexp_replace(unnest(ls), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g') AS s FROM d)
@@ -255,3 +256,34 @@ SQL["all_vectors_topk"] = f"""SELECT query_id, chunk_id, round(score, 6) AS scor
   FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {DOT.format(a='c.embedding', b='q.embedding')} AS score FROM embeddings c, embeddings q)) WHERE rank <= 5"""
 SQL["asof_features"] = f"""WITH {PANEL}, r AS (SELECT o_custkey AS symbol, l_shipdate AS shipped_on, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
 SELECT p.symbol, p.episode, strftime(r.shipped_on, '%Y-%m-%d') AS day, r.shipped FROM panel p ASOF LEFT JOIN r ON p.symbol = r.symbol AND p.earnings_date >= r.shipped_on"""
+
+
+def tokens(x: str) -> str:
+    cjk = f"length(regexp_replace({x}, '[^一-鿿]', '', 'g'))"
+    return f"CAST(coalesce(floor({cjk} * 1.5 + (length({x}) - {cjk}) / 4.0), 0) AS INTEGER)"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+def _within(x: str, most: str) -> str:
+    return f"CASE WHEN coalesce({x}, '') = '' OR {most} <= 0 THEN '' WHEN {tokens(x)} <= {most} THEN {x} ELSE left({x}, CAST(floor(length({x}) * (CAST({most} AS DOUBLE) / {tokens(x)}) * 0.9) AS INTEGER)) || {_quoted(C.CUT)} END"
+
+
+def _context(pass_on: bool) -> str:
+    spare = (lambda n: f" + greatest({n}, 0)") if pass_on else (lambda n: "")
+    return f"""WITH turns AS (SELECT conv_id, turn, role, text, '[' || role || '] ' || text AS line FROM conversations),
+parts AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'system'), '') AS system, arg_max(text, turn) FILTER (role = 'user') AS task, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant'), '') AS hints FROM turns GROUP BY conv_id),
+m AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, line) AS memory FROM (SELECT *, sum({tokens('line')}) OVER (PARTITION BY conv_id ORDER BY turn DESC, line DESC ROWS UNBOUNDED PRECEDING) AS up FROM turns) WHERE up <= 120 GROUP BY conv_id),
+p AS (SELECT parts.*, coalesce(memory, '') AS memory FROM parts LEFT JOIN m USING (conv_id)),
+s AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN CASE WHEN hints = '' THEN memory ELSE memory || {_quoted(chr(10) * 2 + C.SIMILAR)} || hints END
+  WHEN 1 THEN concat_ws(chr(10) || chr(10), nullif(memory, ''), CASE WHEN hints <> '' THEN {_quoted(C.PAST)} || hints END)
+  ELSE CASE WHEN hints = '' THEN memory ELSE {_quoted(C.RETRIEVED)} || hints || {_quoted(chr(10) * 2 + C.RECENT)} || memory END END AS session FROM p),
+a AS (SELECT *, {_within('system', '60')} AS sb FROM s), b AS (SELECT *, {tokens('sb')} AS st, 200{spare('60 - ' + tokens('sb'))} AS tm FROM a),
+c AS (SELECT *, {_within('task', 'tm')} AS tb FROM b), e AS (SELECT *, {tokens('tb')} AS tt, 140{spare('tm - ' + tokens('tb'))} AS sm FROM c),
+f AS (SELECT *, {_within('session', 'sm')} AS eb FROM e), g AS (SELECT *, {tokens('eb')} AS et FROM f)
+SELECT conv_id, md5(concat_ws({_quoted(C.BETWEEN)}, nullif(sb, ''), nullif(tb, ''), CASE WHEN eb <> '' THEN {_quoted(C.SESSION)} || eb END)) AS digest, st AS system_tokens, tt AS task_tokens, et AS session_tokens, st + tt + et AS total_tokens, round((st + tt + et) / 400.0, 6) AS utilization FROM g"""
+
+
+SQL["context_assembly"], SQL["context_passed_on"] = _context(False), _context(True)
