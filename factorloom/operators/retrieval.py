@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from factorloom.operators import vector_index
 from factorloom.operators.ordering import with_position
 from factorloom.sources.scratch import stored
 
-#: Hits that are broadcast.
-HITS = 200_000
+#: Hits that are broadcast; queries that need no index.
+HITS, FEW = 200_000, 8
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -53,10 +55,15 @@ def scoped_top_k(chunks: DataFrame, query: list[float], k: int, total: int, sect
 def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, by: list[str], key: str = "chunk_id", index: vector_index.Index | None = None) -> DataFrame:
     """The best `total` rows over several queries' best `per_query`, one row for each value of `by`: its best score.
 
-    queries (query_id, vector) is a stated set, searched in an index of the chunks' vectors; one is built if none is
-    given. The hits are joined to their chunks, broadcast if they are few.
+    queries (query_id, vector) is a stated set, searched in an index of the chunks' vectors. Without one, up to FEW
+    queries scan the chunks themselves, and more have an index built. Both ways give the same scores. The hits are joined
+    to their chunks, broadcast if they are few.
     """
-    hits = vector_index.search(index or vector_index.build(chunks, key), queries, per_query)
+    if index is None and len(few := queries.limit(FEW + 1).collect()) <= FEW:
+        kind = queries.schema["query_id"].dataType
+        hits = reduce(DataFrame.unionByName, [top_k(chunks, q.vector, per_query, key).select(F.lit(q.query_id).cast(kind).alias("query_id"), F.col(key).alias("key"), "score") for q in few] or [chunks.limit(0).select(F.lit(None).cast(kind).alias("query_id"), F.col(key).alias("key"), F.lit(0.0).alias("score"))])
+    else:
+        hits = vector_index.search(index or vector_index.build(chunks, key), queries, per_query)
     hits = stored(hits.select("query_id", F.col("key").alias(key), "score"), "hits")
     side = F.broadcast(hits) if hits.count() <= HITS else hits  # shuffled beyond that
     best = chunks.join(side, key)

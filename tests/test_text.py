@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,18 +88,19 @@ def test_short_turns_wait(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab. ?", min_size=0, max_size=400), max_size=6))
 def test_pack_keeps_limits(texts):
-    pieces = [(k, t.strip()) for k, t in enumerate(texts) if t.strip()]
-    out = list(ch.pack(pieces, 20, 100, 5))
-    assert all(len(t) <= 100 + 20 for _, _, t in out)
+    pieces = [t.strip() for t in texts if t.strip()]
+    unit, last, first, packed = ch.pack(np.zeros(len(pieces), int), pa.array(pieces, pa.string()), 20, 100, 5)
+    out = packed.to_pylist()
+    assert len(unit) == len(last) == len(first) == len(out) and all(len(t) <= 100 + 20 for t in out)
     # nothing is lost but a last waiting text of fewer than 5 characters; waiting texts may come after a later cut
     letters = lambda texts: sorted("".join("".join(t.split()) for t in texts))
-    lost = len(letters(t for _, t in pieces)) - len(letters(t for _, _, t in out))
+    lost = len(letters(pieces)) - len(letters(out))
     assert 0 <= lost < 5
 
 
 def test_sentence_cut():
-    assert ch.sentence_cut("a" * 60 + ". " + "b" * 60, 100) == "a" * 60 + "."
-    assert ch.sentence_cut("a" * 10 + ". " + "b" * 200, 100) == "a" * 10 + ". " + "b" * 88
+    assert ch.heads_of("a" * 60 + ". " + "b" * 60, 100) == (["a" * 60 + "."], "b" * 60)
+    assert ch.heads_of("a" * 10 + ". " + "b" * 200, 100) == (["a" * 10 + ". " + "b" * 88, "b" * 100], "b" * 12)
 
 
 def test_release_chunks(spark):

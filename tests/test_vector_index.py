@@ -68,3 +68,16 @@ def test_blocks_of_queries(spark, monkeypatch):
     queries = [(key, v) for key, v in vectors[:20]]
     got = {(r.query_id, r["rank"]): r.key for r in V.search(index, spark.createDataFrame(queries, "query_id long, vector array<float>"), 2).collect()}
     assert got == {(q, j + 1): key for q, v in queries for j, (key, _) in enumerate(plain(vectors, v, 2))}
+
+
+def test_several_queries_with_and_without_an_index(spark):
+    """The best rows over several queries are the same by a scan and by the index."""
+    from factorloom.operators import retrieval
+
+    vectors = [(k, v, k // 3) for k, v in rows(5, 300)[:-4]]
+    chunks = spark.createDataFrame(vectors, "chunk_id long, embedding array<float>, page long")
+    queries = spark.createDataFrame([(k, v) for k, v, _ in vectors[:6]], "query_id long, vector array<float>")
+    read = lambda index: [(r.query_id, r.chunk_id, r.score) for r in retrieval.multi_query_top_k(chunks, queries, 4, 9, ["page"], index=index).collect()]
+    assert read(None) == read(V.build(chunks, block=16)) and len(read(None)) == 9
+    none = retrieval.multi_query_top_k(chunks, queries.limit(0), 4, 9, ["page"])
+    assert none.collect() == []
