@@ -126,20 +126,20 @@ def newey_west_of(ics: Column, lags: int = LAGS) -> Column:
     return F.when(n < 2, 0.0).otherwise(total(ics) / n / F.sqrt(F.greatest(variance, F.lit(1e-12)) / n))
 
 
-#: Grouping ids of `summary` over (feature, year, quarter, sector, calendar, score).
-QUARTERS, SECTORS, CALENDARS, SCORES, WHOLE = 0b000111, 0b011011, 0b011101, 0b011110, 0b011111
+#: Grouping ids of `summary` over (feature, year, quarter, sector, calendar).
+QUARTERS, SECTORS, CALENDARS, WHOLE = 0b00011, 0b01101, 0b01110, 0b01111
 
 
 def summary(rows: DataFrame) -> DataFrame:
     """Every statistic of rows (feature, year, quarter, sector, calendar, move, raw, value, test) by feature and period,
-    sector, calendar year or score, in one aggregation: kind, keys, ic and n of test rows, shares, counts."""
+    sector or calendar year, in one aggregation: kind, keys, ic and n of test rows, shares, counts."""
     paired = F.col("test") & F.col("value").isNotNull() & F.col("move").isNotNull()
     x, y = F.when(paired, F.col("value")), F.when(paired, F.col("move"))
-    keys = ["feature", "year", "quarter", "sector", "calendar", "score"]
-    sets = [["feature", "year", "quarter"], ["feature", "sector"], ["feature", "calendar"], ["feature", "score"], ["feature"]]
-    found = rows.withColumn("score", F.col("value")).groupingSets(sets, *keys).agg(
+    keys = ["feature", "year", "quarter", "sector", "calendar"]
+    sets = [["feature", "year", "quarter"], ["feature", "sector"], ["feature", "calendar"], ["feature"]]
+    found = rows.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("kind"), pearson(x, y).alias("ic"), F.count(x).alias("n"), share(no_signal(F.col("value"))).alias("zeros"), share(no_signal(F.col("raw"))).alias("raw_zeros"),
-        F.count("value").alias("scored"), F.count(F.when(F.col("test"), F.col("raw"))).alias("n_test"),
+        F.count(F.when(F.col("test"), F.col("raw"))).alias("n_test"),
     )
     usable = (F.col("n") >= LEAST_PAIRS) & F.col("ic").isNotNull() & ~F.isnan("ic")
     return found.withColumn("ic", F.when(usable, F.col("ic")))
@@ -148,24 +148,27 @@ def summary(rows: DataFrame) -> DataFrame:
 def validation(panel: DataFrame, features: DataFrame, train_years: list[int], test_years: list[int]) -> DataFrame:
     """One row per feature with every statistic that the gates read, maps included; metrics unrounded.
 
-    The joined rows are stored once; bounds, and then one aggregation for all statistics, read them.
+    The joined rows are stored once; bounds, then one aggregation for all statistics of few groups, and one for the
+    counts of scores, of which there may be many, read them.
     """
     from factorloom.operators.panel import joined, winsor_bounds, winsorized
 
     test = F.col("year").isin(test_years)
     raw = stored(joined(panel, features).select("feature", "year", "quarter", "sector", F.year("earnings_date").alias("calendar"), "move", F.col("value").alias("raw"), "value", test.alias("test")), "joined")
-    found = stored(summary(winsorized(raw, winsor_bounds(raw, train_years))), "summary")
+    clipped = winsorized(raw, stored(winsor_bounds(raw, train_years), "bounds"))
+    found = summary(clipped)
     of = lambda kind: F.col("kind") == kind
     listed = lambda condition, **fields: F.array_sort(F.collect_list(F.when(condition, F.struct(*[c.alias(k) for k, c in fields.items()]))))
     as_map = lambda kind, key, value: F.map_from_entries(listed(of(kind) & key.isNotNull() & value.isNotNull(), key=key.cast("string"), value=value))
     quarters = listed(of(QUARTERS) & F.col("ic").isNotNull() & F.col("year").isNotNull() & F.col("quarter").isNotNull(), year=F.col("year"), quarter=F.col("quarter"), ic=F.col("ic"))
     whole = lambda c: F.max(F.when(of(WHOLE), F.col(c)))
-    scored = F.col("scored") / F.sum(F.when(of(SCORES), F.col("scored"))).over(Window.partitionBy("feature"))  # rows are groups here
-    rows = found.withColumn("share", scored).groupBy("feature").agg(
+    scores = score_distribution(clipped).groupBy("feature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("score").cast("string").alias("key"), F.col("share").alias("value"))))).alias("score_dist"))
+    rows = found.groupBy("feature").agg(
         quarters.alias("quarters"), whole("raw_zeros").alias("zero_ratio"), whole("n_test").alias("n_test"),
         as_map(SECTORS, F.col("sector"), F.col("ic")).alias("per_sector_ic"), as_map(QUARTERS, season(F.col("year"), F.col("quarter")), F.col("ic")).alias("season_ic"),
-        as_map(SCORES, F.col("score"), F.col("share")).alias("score_dist"), as_map(SECTORS, F.col("sector"), F.col("zeros")).alias("zero_by_sector"), as_map(CALENDARS, F.col("calendar"), F.col("zeros")).alias("zero_by_year"),
+        as_map(SECTORS, F.col("sector"), F.col("zeros")).alias("zero_by_sector"), as_map(CALENDARS, F.col("calendar"), F.col("zeros")).alias("zero_by_year"),
     )
+    rows = rows.join(scores, "feature", "left").withColumn("score_dist", F.coalesce("score_dist", F.create_map().cast("map<string,double>")))
     ics = F.transform("quarters", lambda q: q["ic"])
     mean = F.aggregate(ics, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(ics), F.lit(0))
     signs = F.transform(F.map_values("per_sector_ic"), lambda x: F.when((x > 0) == (F.col("ic_mean") >= 0), 1.0).otherwise(0.0))
