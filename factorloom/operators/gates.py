@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.sources.scratch import stored
+
 # Limits of the checks and of salvage.
 ZERO_UNIFORM, ZERO_STRICT, LEAST_T, LEAST_CONSISTENCY, LEAST_COVERAGE, MOST_DRAWDOWN = 0.70, 0.45, 1.5, 0.60, 0.05, 0.03
 SALVAGE_IC, SALVAGE_T, SALVAGE_IC_LOW, SALVAGE_T_LOW, SALVAGE_ZERO = 0.08, 2.0, 0.03, 1.0, 0.30
@@ -172,7 +174,8 @@ class Pipeline:
 
     def run_with_executor(self, rows: DataFrame, executor: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """rows that no pre gate blocks go through the executor, which may add columns, and then the post gates; blocked
-        ones keep nulls there."""
+        ones keep nulls there. rows are stored first, so that both ways see the same ones."""
+        rows = stored(rows, "gated")
         checked = replace(self, post=(), handlers=()).run(rows).select(*rows.columns, "blocked_by")
         done = replace(self, pre=()).run(executor(checked.filter("blocked_by is null").drop("blocked_by")))
         blocked = replace(self, post=()).run(rows).filter("blocked_by is not null")

@@ -13,6 +13,7 @@ from factorloom.operators import asof, chunking, context, evaluation, fusion, ga
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
+from factorloom.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +83,8 @@ def zero_ratio(s: SparkSession, d: str) -> DataFrame:
 
 
 def _winsorized(s: SparkSession, d: str) -> DataFrame:
-    rows = _rows(s, d)
+    """Stored once, as bounds read the joined rows several times."""
+    rows = stored(_rows(s, d), "joined")
     return panel.winsorized(rows, panel.winsor_bounds(rows, D.TRAIN))
 
 
