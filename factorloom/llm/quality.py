@@ -6,8 +6,8 @@ conjunctive rule. Lasso logistic regression keeps few rules, and those are compi
 over the statistics.
 
 Defined cases: null text counts as empty and is scored like any text. Documents without a label are scored, not
-learned from; a label whose document is absent is unused; repeated label rows weigh as often as they occur. With
-labels of one kind, or none, every score is that label's smoothed share. Only doc_id, text and quality are read.
+learned from; a label whose document is absent is unused; label rows that repeat count once, and of documents that
+share a labelled doc_id one teaches. With labels of one kind, or none, every score is that label's smoothed share. Only doc_id, text and quality are read.
 """
 
 from __future__ import annotations
@@ -166,12 +166,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
-    """Fit on about `sample` labelled documents (doc_id, text; doc_id, quality)."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
+    """Fit on about `sample` labelled documents (doc_id, text; doc_id, quality), twice as many at most.
+
+    Label rows that repeat count once. Of documents that share a labelled doc_id one teaches, chosen by a hash of its
+    text, so that an id of very many rows sends one text a task.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna().distinct()
     rate = min(1.0, sample / max(known.count(), 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    few = known.filter(draw < rate).limit(2 * sample)
-    rows = with_statistics(docs.join(F.broadcast(few), "doc_id"), ["doc_id", "quality"])  # 2 * sample rows at most
+    few = known.filter(draw < rate).orderBy(draw, "doc_id", "quality").limit(2 * sample)
+    met = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))  # 2 * sample rows at most
+    rows = with_statistics(met.select("doc_id", "quality", "m.text"), ["doc_id", "quality"])
     found = sorted(tuple(r) for r in rows.drop("doc_id").collect())
     data = np.array(found, np.float64).reshape(-1, len(STATISTICS) + 1)
     return fit(data[:, 1:], (data[:, 0] > 0.5).astype(np.float64))

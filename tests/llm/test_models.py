@@ -174,6 +174,15 @@ def test_quality(judged):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_quality_learns_once_from_repeats(spark, judged):
+    """Label rows that repeat, and documents that share an id, change nothing; what is fitted doesn't depend on the order."""
+    docs, labels = judged
+    hot = docs.limit(1).crossJoin(spark.range(500)).drop("id")
+    want = quality.train(docs, labels, 40)
+    got = quality.train(docs.unionByName(hot).repartition(7), labels.unionByName(labels).unionByName(labels.limit(3)).repartition(5), 40)
+    assert (got.intercept, got.weighted) == (want.intercept, want.weighted)
+
+
 def test_quality_edges(spark, judged, empty, repeated, clashing):
     _, labels = judged
     assert quality.score_quality(empty, labels).collect() == []
