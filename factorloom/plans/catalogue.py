@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, history, panel, portfolio, retrieval, scoring, vector_index
+from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, gram_index, history, panel, portfolio, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
-from factorloom.sources.scratch import stored
+from factorloom.sources.scratch import fresh_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,6 +447,26 @@ def keyword_search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_search(found, "G2_zero weak feat_12 BRAND#1", 5).select("line_no", F.col("score").cast("long").alias("score"))
 
 
+def _searches(s: SparkSession, d: str) -> tuple[gram_index.GramIndex, DataFrame]:
+    """All records as a memory, and a query for every name and brand of parts."""
+    found = D.records(s, d).withColumnRenamed("feature", "feature_name")
+    index = gram_index.GramIndex(s, fresh_path(s, "grams")).add(found)
+    asked = D.table(s, d, "part").select(F.concat_ws("/", "p_name", "p_brand").alias("query_id"), F.concat_ws(" ", "p_name", "p_brand", F.lit("G3_t 7"), F.concat(F.lit("FEAT_"), F.length("p_name")), F.lit("absent")).alias("query"))
+    return index, asked.distinct()
+
+
+@query
+def memory_search(s: SparkSession, d: str) -> DataFrame:
+    """The three best records of every query, by postings of 3-grams."""
+    return gram_index.search(*_searches(s, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "line_no", "score")
+
+
+@query
+def memory_postings(s: SparkSession, d: str) -> DataFrame:
+    """What the words of those queries read: lists and postings."""
+    return gram_index.postings_read(*_searches(s, d))
+
+
 @query
 def prompt_text(s: SparkSession, d: str) -> DataFrame:
     turns = D.turns(s, d).withColumn("rank", F.col("turn"))

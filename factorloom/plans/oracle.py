@@ -150,6 +150,13 @@ RECORDS = """rec AS (SELECT p_partkey AS line_no, 'feat_' || (p_partkey // 2) ||
   (p_partkey % 10) / 10.0 AS zero_ratio, (p_partkey % 4) / 4.0 AS direction_consistency, list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'G2_zero_ratio: ' || p_brand END, CASE WHEN p_partkey % 5 = 0 THEN 'G3_t_stat: weak' END, CASE WHEN p_partkey % 7 = 0 THEN 'something long without a colon in it' END], lambda f: f IS NOT NULL) AS failures,
   p_type AS cluster, 'fix ' || p_type AS diagnosis_fix, 'root of ' || p_brand AS diagnosis_root_cause FROM part), records AS (SELECT *, len(failures) = 0 AS passed, CASE WHEN len(failures) = 0 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM rec)"""
 SQL["keyword_search"] = f"WITH {RECORDS}, t AS (SELECT line_no, lower(concat_ws(' ', definition, feature, array_to_string(failures, ' '))) AS x FROM records), k AS (SELECT line_no, {' + '.join(f'CAST(contains(x, $${w}$$) AS BIGINT)' for w in ('g2_zero', 'weak', 'feat_12', 'brand#1'))} AS score FROM t) SELECT * FROM k WHERE score > 0 ORDER BY score DESC, line_no LIMIT 5"
+SEARCHES = f"""{RECORDS}, t AS (SELECT line_no, lower(concat_ws(' ', definition, feature, array_to_string(failures, ' '))) AS x FROM records),
+  q AS (SELECT DISTINCT p_name || '/' || p_brand AS query_id, unnest(list_distinct(string_split(lower(p_name || ' ' || p_brand || ' G3_t 7 FEAT_' || length(p_name) || ' absent'), ' '))) AS word FROM part), w AS (SELECT DISTINCT word FROM q)"""
+SQL["memory_search"] = f"""WITH {SEARCHES}, h AS (SELECT word, line_no FROM w JOIN t ON contains(x, word)), s AS (SELECT query_id, line_no, count(*) AS score FROM q JOIN h USING (word) GROUP BY query_id, line_no)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, line_no) AS rank, line_no, score FROM s QUALIFY rank <= 3"""
+SQL["memory_postings"] = f"""WITH {SEARCHES}, p AS (SELECT DISTINCT substr(x || chr(1) || chr(1), i, 3) AS gram, line_no FROM (SELECT x, line_no, unnest(range(1, length(x) + 1)) AS i FROM t)), c AS (SELECT gram, count(*) AS n FROM p GROUP BY gram),
+  g AS (SELECT word, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS gram FROM w WHERE length(word) >= 3), f AS (SELECT word, min(n) AS n, bool_and(n IS NOT NULL) AS whole FROM g LEFT JOIN c USING (gram) GROUP BY word)
+SELECT word, 1::BIGINT AS lists, CAST(n AS BIGINT) AS postings FROM f WHERE whole UNION ALL SELECT word, count(*), CAST(sum(n) AS BIGINT) FROM w JOIN c ON starts_with(gram, word) WHERE length(word) < 3 GROUP BY word"""
 
 
 def sql_regex(p: str) -> str:

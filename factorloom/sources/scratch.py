@@ -38,13 +38,19 @@ class Own(threading.local):
 OWN = Own()
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses, and that drop_stored deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    STORED.append(path)
+    OWN.paths.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("parquet.block.size", BLOCK).parquet(path)
-    STORED.append(path)
-    OWN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
