@@ -79,6 +79,14 @@ def winsor_bounds(rows: DataFrame, train_years: list[int], low: float = 0.01, hi
     cuts = train.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", around, 10_000).alias("c"))
     few = F.col("n") < 2000
     cuts = cuts.select("feature", "n", *[F.when(few, F.col("least" if k % 2 == 0 else "most")).otherwise(F.col("c")[k]).alias(c) for k, c in enumerate(("l0", "l1", "h0", "h1"))])
+    return exact_bounds(train, cuts, low, high)
+
+
+def exact_bounds(train: DataFrame, cuts: DataFrame, low: float, high: float) -> DataFrame:
+    """feature, low, high: exact interpolated quantiles of train (feature, value, no nulls), of which a feature has n.
+
+    cuts (feature, n, l0, l1, h0, h1) enclose them: l0 to l1 the low one, h0 to h1 the high one. Null where they don't.
+    """
     near_cuts = train.join(F.broadcast(cuts), "feature")  # a row a feature
     inside = {"low": F.col("value").between(F.col("l0"), F.col("l1")), "high": F.col("value").between(F.col("h0"), F.col("h1"))}
     side = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in inside.items()]))

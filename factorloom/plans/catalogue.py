@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, gram_index, history, panel, portfolio, retrieval, scoring, vector_index
+from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, gram_index, history, panel, portfolio, quantile_sketches, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -117,6 +117,17 @@ def winsorize_bounds(s: SparkSession, d: str) -> DataFrame:
     return panel.winsor_bounds(_rows(s, d), D.TRAIN).select("feature", r6("low"), r6("high"))
 
 
+@query
+def sketched_bounds(s: SparkSession, d: str) -> DataFrame:
+    """The same bounds of a panel that grows by a year at a time, by sketches kept for each file."""
+    rows, path = stored(_rows(s, d).select("feature", "year", "value"), "joined"), fresh_path(s, "years")
+    store = quantile_sketches.SketchStore(s, fresh_path(s, "sketches"), path, D.TRAIN)
+    for some in (D.TRAIN[:1], D.TRAIN[1:]):
+        rows.filter(F.col("year").isin(some)).write.mode("append").parquet(path)
+        store.update()
+    return store.bounds().select("feature", r6("low"), r6("high"))
+
+
 @query
 def winsorized_panel(s: SparkSession, d: str) -> DataFrame:
     return _winsorized(s, d).select("feature", "episode", r6("value"))

@@ -62,6 +62,7 @@ SELECT feature, map, key, round(sum(value), 6) AS value FROM m GROUP BY feature,
 COVERAGE = f"SELECT f.feature, count(p.episode) AS n_test, (SELECT count(*) FROM panel WHERE {TEST}) AS n_panel FROM features f LEFT JOIN (SELECT * FROM panel WHERE {TEST}) p USING (episode) GROUP BY f.feature"
 SQL["coverage"] = f"WITH {PANEL}, {FEATURES} SELECT feature, n_test, n_panel, round(n_test / n_panel, 6) AS coverage, n_test = 0 OR n_test / n_panel < 0.05 AS coverage_failure FROM ({COVERAGE})"
 SQL["winsorize_bounds"] = f"WITH {ROWS} SELECT feature, round(low, 6) AS low, round(high, 6) AS high FROM ({BOUNDS})"
+SQL["sketched_bounds"] = SQL["winsorize_bounds"]
 SQL["winsorized_panel"] = f"WITH {ROWS} SELECT feature, episode, round(least(greatest(value, low), high), 6) AS value FROM rows_ JOIN ({BOUNDS}) USING (feature)"
 SQL["zscore_panel"] = f"WITH {PANEL} SELECT episode, round({TARGET}, 6) AS target FROM panel"
 SQL["sector_demean"] = f"WITH {PANEL} SELECT episode, round(({NEUTRAL}) / 7, 6) AS move_neutral FROM panel"
