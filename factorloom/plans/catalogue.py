@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import text as T
 from factorloom.functions.columns import clip, no_signal, split_of
-from factorloom.operators import asof, chunking, context, evaluation, fusion, gates, gram_index, history, panel, portfolio, quantile_sketches, retrieval, scoring, vector_index
+from factorloom.operators import asof, chunking, context, diagnosis, evaluation, fusion, gates, gram_index, history, panel, portfolio, quantile_sketches, retrieval, scoring, vector_index
 from factorloom.plans import domain as D
 from factorloom.plans import oracle
 from factorloom.sources import readers
@@ -371,11 +371,20 @@ def salvage_report(s: SparkSession, d: str) -> DataFrame:
     return gates.zero_only_candidates(_salvage(s, d)).select("feature", "salvageable", gates.blocker().alias("blocker"))
 
 
+def _mode() -> Column:
+    sections = F.when(F.col("k") % 4 == 0, F.array(F.lit("prepared"), F.lit("qa"))).otherwise(F.array(F.lit("qa")))
+    return gates.failure_mode(sections, F.when(F.col("k") % 3 == 0, "beat vs consensus").otherwise("tone"))
+
+
 @query
 def failure_mode(s: SparkSession, d: str) -> DataFrame:
-    sections = F.when(F.col("k") % 4 == 0, F.array(F.lit("prepared"), F.lit("qa"))).otherwise(F.array(F.lit("qa")))
-    definition = F.when(F.col("k") % 3 == 0, "beat vs consensus").otherwise("tone")
-    return D.results(s, d).select("feature", gates.failure_mode(sections, definition).alias("mode"))
+    return D.results(s, d).select("feature", _mode().alias("mode"))
+
+
+@query
+def rule_diagnoses(s: SparkSession, d: str) -> DataFrame:
+    """Diagnoses of all results where no model is at hand."""
+    return diagnosis.diagnosed(gates.governance(D.results(s, d)), _mode()).select("feature", "mode", "fix", "avoid", "source")
 
 
 # -- retrieval

@@ -122,6 +122,8 @@ SQL["salvageable"] = f"WITH {SALVAGE} SELECT feature, salvageable FROM sal"
 SQL["salvage_report"] = f"""WITH {SALVAGE} SELECT feature, salvageable, CASE WHEN salvageable THEN NULL WHEN feature LIKE '%\\_v2' ESCAPE '\\' THEN 'already repaired' WHEN abs(ic_mean) <= 0.08 THEN 'weak ic' WHEN abs(t_stat) <= 2.0 THEN 'weak t' WHEN zt = 'uniform' THEN 'uniform zeros' ELSE 'tried before' END AS blocker FROM sal WHERE failed = 'G2_zero_ratio' AND NOT cf"""
 SQL["failure_mode"] = f"""WITH {RESULTS} SELECT feature, CASE WHEN cf THEN 'G1' WHEN k % 4 = 0 AND abs(ic_mean) < 0.03 THEN 'F' WHEN zero_ratio > 0.50 OR zero_scores > 0.55 THEN 'A' WHEN polar > 0.65 AND abs(ic_mean) < 0.04 THEN 'B' WHEN early >= 2 THEN 'E' WHEN dc < 0.60 THEN 'D'
   WHEN abs(ic_mean) < 0.02 AND zero_ratio < 0.20 AND abs(t_stat) < 0.8 THEN CASE WHEN k % 3 = 0 THEN 'G' ELSE 'C' END WHEN abs(t_stat) < 1.5 AND zero_ratio < 0.35 AND top < 0.60 THEN 'C' ELSE 'edge' END AS mode FROM res"""
+FIXES = ", ".join(f"('{k}', '{v}')" for k, v in G.FALLBACK_FIX.items())
+SQL["rule_diagnoses"] = f"SELECT feature, mode, fix, '' AS avoid, 'rule' AS source FROM ({SQL['failure_mode']}) JOIN (VALUES {FIXES}) AS x(mode, fix) USING (mode)"
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 CHUNKS = "chunks AS (SELECT vec_id AS chunk_id, embedding, CASE WHEN label % 2 = 0 THEN 'qa' ELSE 'prepared' END AS section_type, CASE WHEN label % 3 = 0 THEN 'analyst' ELSE 'mgmt' END AS speaker_role, 's' || (label % 5) AS sector, CAST(floor(vec_id / 7) AS BIGINT) AS episode, CAST(floor(vec_id / 3) AS BIGINT) AS page_num FROM embeddings)"
