@@ -20,6 +20,8 @@ from factorloom.llm.common import OWN, STORED, drop_stored, numbered, small_batc
 LEAST_SURE, CHANCE = 0.3, 1.2
 #: Most ids that are broadcast, some 16 MB.
 BROADCAST = 1_000_000
+#: Words whose ids a packing task remembers, some 25 MB; no worker keeps them, as the other stages need its memory.
+REMEMBERED = 100_000
 MASK = "[secret]"
 
 
@@ -93,7 +95,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed into sequences; a null or empty text is its end token."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=REMEMBERED, keep=False)
 
 
 STAGES = [

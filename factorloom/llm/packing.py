@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import SPACE, blobs, by_bytes, small_batches, stored
+from factorloom.llm.common import SPACE, blobs, by_bytes, small_batches, stored, trim
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker process remembers, some 90 MB.
@@ -50,6 +50,12 @@ class Encoder:
         """This worker process's encoder, kept with its memory from task to task."""
         return ENCODERS.get((path, remembered)) or ENCODERS.setdefault((path, remembered), Encoder(path, remembered))
 
+    @staticmethod
+    def forget(path: str, remembered: int = REMEMBERED) -> None:
+        """Gives that memory back: worker processes outlive the stage and go on to others."""
+        ENCODERS.pop((path, remembered), None)
+        trim()
+
     def learned(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words, by word."""
         out: dict[bytes, bytes] = {}
@@ -105,15 +111,16 @@ ENCODERS: dict[tuple[str, int], Encoder] = {}
 COMMA, STOP = (re.compile(mark + rb"(?<=[a-z]" + mark + rb")(?=[ \n])") for mark in (rb",", rb"\."))
 
 
-def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) -> DataFrame:
-    """The pieces of every document: doc_id, row_id, piece, start, length and the crc32 of its ids."""
+def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
+    """The pieces of every document: doc_id, row_id, piece, start, length and the crc32 of its ids. Unless `keep`, a task
+    leaves no words behind in its worker process."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, remembered)
         for batch in batches:
             for b in by_bytes(batch, "text", 2 << 20):
                 rows: list[list] = [[] for _ in range(6)]
@@ -124,6 +131,9 @@ def tokenize(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1) ->
                             column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(rows, kinds)], ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"])
+        del encoder
+        if not keep:
+            Encoder.forget(tokenizer, remembered)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)
@@ -185,8 +195,8 @@ def pack_pieces(pieces: DataFrame, n_pieces: int, most: int = 4096, open_bins: i
     return dealt.mapInArrow(run, fields + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = 4096, end: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = 4096, end: int = 1, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenize(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), most, end), "pieces")
+    pieces = stored(tokenize(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), most, end, remembered, keep), "pieces")
     packed = pack_pieces(pieces, pieces.count(), most)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -33,3 +33,28 @@ def test_two_runs_in_threads_and_stages_by_turns(spark, folders):
         for d, f in zip(found, folders):
             d.write.parquet(f"{f}/{name}")
             current.append(spark.read.parquet(f"{f}/{name}"))
+
+
+def test_packing_leaves_no_words_in_workers(spark, folders):
+    """Worker processes outlive the last stage; the next run's stages need the memory."""
+    p = importlib.import_module("corpus_pipeline")
+
+    def held(clear):
+        def run(batches):
+            import time
+
+            import pyarrow as pa
+
+            from factorloom.llm.packing import ENCODERS
+
+            time.sleep(0.3)  # so that every worker gets a task
+            for _ in batches:
+                yield pa.record_batch([pa.array([len(ENCODERS)], pa.int32())], ["n"])
+            if clear:
+                ENCODERS.clear()
+
+        return sum(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(run, "n int").collect())
+
+    held(True)
+    docs = spark.read.parquet(f"{folders[0]}/documents.parquet")
+    assert p.pack(spark, docs, folders[0]).count() > 0 and held(False) == 0
