@@ -1,10 +1,12 @@
 """Gradient-boosted regression trees by histograms, with L1 and L2 penalties on leaves.
 
-Columns are cut into at most BINS quantile bins once and stored as blocks of bytes. A tree grows leaf by leaf, the leaf
+Columns are cut into at most BINS quantile bins once. Rows of equal bins, a cell, always have one prediction, so a cell
+keeps its number of rows and the sum of their labels only: few columns have few cells, however many rows there are. Cells
+are stored as blocks of bytes. A tree grows leaf by leaf, the leaf
 of most gain first; each job adds up the gradients' sums and counts by leaf, column and bin in its tasks, so that a few
 thousand numbers a task reach the driver, whatever the number of rows. Where the depth limit alone decides the leaves,
-all leaves of a level are split after one job. Blocks keep each row's prediction as of the last fold; trees since then
-are evaluated in the tasks, and every FOLD trees the predictions are brought up to date and checkpointed. Up to PART rows
+all leaves of a level are split after one job. Blocks keep each cell's prediction as of the last fold; trees since then
+are evaluated in the tasks, and every FOLD trees the predictions are brought up to date and checkpointed. Up to PART cells
 are boosted in one task, by the same steps.
 
 For a leaf of n rows whose gradients (prediction less label) add up to G, with T(G) = sign(G) max(|G| - l1, 0): its value
@@ -32,8 +34,10 @@ from factorloom.sources.scratch import shared_dir, stored
 BINS, FOLD = 255, 20
 #: Partial results that the driver adds up itself; more are added up in tasks first.
 PARTIAL = 64
-#: Rows that one task boosts alone, as 600 jobs would take longer to start than to run.
+#: Cells that one task boosts alone, as 600 jobs would take longer to start than to run.
 PART = 100_000
+#: Cells of a block.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -172,7 +176,7 @@ def grow(histograms: Callable[[Tree, list[int]], tuple[np.ndarray, np.ndarray]],
                     asked.append(child)
 
 
-Block = tuple[np.ndarray, np.ndarray, np.ndarray]  # bins, labels, predictions as of the last fold
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # cells' bins, sums of labels, rows, predictions as of the last fold
 
 
 def block_histograms(blocks: Iterator[Block], since: list[Tree], tree: Tree, leaves: list[int], n_bins: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -180,10 +184,8 @@ def block_histograms(blocks: Iterator[Block], since: list[Tree], tree: Tree, lea
     sums = counts = None
     place = np.full(len(tree.column), -1)
     place[leaves] = np.arange(len(leaves))
-    for bins, label, before in blocks:
-        g = before - label
-        for t in since:
-            g = g + t.values_of(bins)
+    for bins, labels, rows, before in blocks:
+        g = rows * sum((t.values_of(bins) for t in since), before) - labels
         at = place[tree.leaves_of(bins)]
         inside = at >= 0
         if sums is None:
@@ -191,27 +193,49 @@ def block_histograms(blocks: Iterator[Block], since: list[Tree], tree: Tree, lea
         for c in range(len(bins)):
             key = at[inside] * n_bins + bins[c][inside]
             sums[:, c] += np.bincount(key, g[inside], len(leaves) * n_bins).reshape(-1, n_bins)
-            counts[:, c] += np.bincount(key, minlength=len(leaves) * n_bins).reshape(-1, n_bins)
+            counts[:, c] += np.bincount(key, rows[inside], len(leaves) * n_bins).astype(np.int64).reshape(-1, n_bins)
     if sums is not None:
         yield sums, counts
 
 
-def as_blocks(rows: DataFrame, names: list[str], label: str, edges: list[np.ndarray], base: float) -> RDD:
-    """Stored blocks of binned rows."""
+def cells_of(rows: DataFrame, names: list[str], label: str, edges: list[np.ndarray]) -> DataFrame:
+    """cell (a byte a column), n, labels of every combination of bins that rows have, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                bins = binned([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))], edges)
-                y = b.column(len(names)).to_numpy(zero_copy_only=False).astype(float)
-                yield pa.record_batch([pa.array([bins.tobytes()]), pa.array([y.tobytes()])], ["bins", "labels"])
+            bins = binned([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))], edges)
+            at = np.arange(b.num_rows + 1, dtype=np.int32) * len(names)
+            cells = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(bins.T.tobytes())])
+            yield pa.record_batch([cells, b.column(len(names))], ["cell", "label"])
 
-    blocks = stored(rows.select(*filled(names), F.col(label).cast("double").alias("__label")).mapInArrow(run, "bins binary, labels binary"), "blocks")
-    d = len(names)
+    found = rows.select(*filled(names), F.col(label).cast("double").alias("__label")).mapInArrow(run, "cell binary, label double")
+    return stored(found.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels")), "cells")
+
+
+def as_blocks(cells: DataFrame, d: int, base: float) -> RDD:
+    """Stored blocks of cells of d columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            bins = np.frombuffer(b"".join(t.column("cell").to_pylist()), np.uint8).reshape(-1, d).T
+            return pa.record_batch([pa.array([x]) for x in (bins.tobytes(), t.column("labels").to_numpy().tobytes(), t.column("n").to_numpy().astype(float).tobytes())], ["bins", "labels", "n"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= BLOCK:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    blocks = stored(cells.select("cell", "labels", "n").mapInArrow(run, "bins binary, labels binary, n binary"), "blocks")
 
     def unpacked(r) -> Block:
-        y = np.frombuffer(r.labels, float)
-        return np.frombuffer(r.bins, np.uint8).reshape(d, len(y)), y, np.full(len(y), base)
+        labels = np.frombuffer(r.labels, float)
+        return np.frombuffer(r.bins, np.uint8).reshape(d, len(labels)), labels, np.frombuffer(r.n, float), np.full(len(labels), base)
 
     return blocks.rdd.map(unpacked)
 
@@ -232,7 +256,7 @@ class Shared:
         self.since.append(tree)
         if len(self.since) == FOLD:
             recent, old = self.since, self.blocks
-            self.blocks, self.since = old.map(lambda b: (b[0], b[1], sum((t.values_of(b[0]) for t in recent), b[2]))).persist(StorageLevel.MEMORY_AND_DISK), []
+            self.blocks, self.since = old.map(lambda b: (*b[:3], sum((t.values_of(b[0]) for t in recent), b[3]))).persist(StorageLevel.MEMORY_AND_DISK), []
             self.blocks.checkpoint()
             self.blocks.count()
             old.unpersist()
@@ -249,7 +273,7 @@ class Own:
         return sum(g for g, _ in parts), sum(n for _, n in parts)
 
     def add(self, tree: Tree) -> None:
-        self.blocks = [(bins, y, before + tree.values_of(bins)) for bins, y, before in self.blocks]
+        self.blocks = [(*b[:3], b[3] + tree.values_of(b[0])) for b in self.blocks]
 
 
 def boost(data: Shared | Own, n_columns: int, s: Settings) -> list[Tree]:
@@ -262,16 +286,18 @@ def boost(data: Shared | Own, n_columns: int, s: Settings) -> list[Tree]:
 
 
 def fit(rows: DataFrame, names: list[str], label: str, settings: Settings = Settings()) -> Model:
-    """The model of rows with a label. Up to PART rows are boosted in one task, more of them by a job a level."""
+    """The model of rows with a label. Up to PART cells are boosted in one task, more of them by a job a level."""
     taught = rows.filter(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).select(*filled(names), F.col(label).cast("double").alias(label))
+    taught = stored(taught, "taught")  # read three times
     base, n = taught.agg(F.avg(label), F.count(F.lit(1))).first()
     if not n:
         return Model(names, [np.empty(0)] * len(names), 0.0, [])
     shared_dir(rows.sparkSession)  # where checkpoints go
     edges = quantile_edges(taught, names)
     n_bins, d = max(1, *(len(e) for e in edges)) + 1, len(names)
-    blocks = as_blocks(taught, names, label, edges, base)
-    if n <= PART:
+    cells = cells_of(taught, names, label, edges)
+    blocks = as_blocks(cells, d, base)
+    if cells.count() <= PART:
         return Model(names, edges, base, blocks.coalesce(1).mapPartitions(lambda x: boost(Own(list(x), n_bins), d, settings)).collect())
     data = Shared(blocks, n_bins)
     trees = boost(data, d, settings)

@@ -115,3 +115,18 @@ def test_importance_follows_from_the_model(spark):
     model = B.fit(table(spark, x, y), list("abcd"), "y", B.Settings(rounds=3, rate=0.3, columns=1.0))
     want = {n: sum(g for t in model.trees for c, g in zip(t.column, t.gain) if c == k) for k, n in enumerate("abcd")}
     assert dict(model.importance()) == pytest.approx(want) and model.importance()[0][0] in ("a", "b") and model.importance()[-1] == ("d", 0.0)
+
+
+def test_rows_of_equal_bins_are_one_cell(spark):
+    """What boosting passes over grows with the combinations of bins, not with the rows."""
+    from pyspark.sql import functions as F
+
+    x, y = data(300)
+    once = table(spark, x, y)
+    often = once.crossJoin(spark.range(7).select(F.col("id").alias("copy"))).withColumn("y", F.col("y") + F.col("copy") - 3)
+    edges = B.quantile_edges(once, list("abcd"), 8)
+    cells = B.cells_of(once, list("abcd"), "y", edges)
+    more = {r.cell: (r.n, r.labels) for r in B.cells_of(often, list("abcd"), "y", edges).collect()}
+    assert cells.count() == len(more) == len({tuple(v) for v in B.binned(list(x), edges).T}) < 300
+    for r in cells.collect():
+        assert more[r.cell][0] == 7 * r.n and abs(more[r.cell][1] - 7 * r.labels) < 1e-9
