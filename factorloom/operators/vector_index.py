@@ -14,7 +14,6 @@ score and are left out; equal scores go by key; fewer than k vectors give fewer
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +25,10 @@ from pyspark.sql import functions as F
 
 from factorloom.sources.scratch import stored
 
-BLOCK, CENTRES, QUERIES = 1024, 1024, 1000
+BLOCK, CENTRES, QUERIES = 1024, 1024, 16_384
+#: Queries whose bounds, and products whose scores, a task holds at once.
+AT_ONCE, PRODUCTS = 1000, 1 << 20
+NO_KEY = np.iinfo(np.int64).max
 BLOCKS = "mean binary, radius double, n int, keys array<long>, vectors binary"
 #: Relative slack for sums in another order.
 SLACK = 1e-9
@@ -100,21 +102,22 @@ def floors(index: Index, queries: np.ndarray, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         norm = np.sqrt((q * q).sum(axis=1))
-        low, n = [], []
+        means, radii, ns = [], [], []
         for b in batches:
             if b.num_rows:
-                mean = np.frombuffer(b"".join(b.column("mean").to_pylist()), np.float64).reshape(-1, size)
-                low.append(mean @ q.T - b.column("radius").to_numpy()[:, None] * norm)
-                n.append(b.column("n").to_numpy())
-        rows: list[tuple] = []
-        if low:
-            low, n = np.concatenate(low), np.concatenate(n)
-            for j in range(len(q)):  # as many of the task's blocks as hold k vectors
-                order = np.argsort(-low[:, j], kind="stable")
-                order = order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
-                rows += [(j, float(low[i, j]), int(n[i])) for i in order]
-        columns = list(zip(*rows)) or [[]] * 3
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int32()))], ["query", "low", "n"])
+                means.append(np.frombuffer(b"".join(b.column("mean").to_pylist()), np.float64).reshape(-1, size))
+                radii.append(b.column("radius").to_numpy().copy())
+                ns.append(b.column("n").to_numpy().astype(np.int64))
+        if means:
+            mean, radius, n = np.concatenate(means), np.concatenate(radii), np.concatenate(ns)
+            most = min(k, len(n))  # k blocks hold k vectors
+            for at in range(0, len(q), AT_ONCE):
+                low = mean @ q[at : at + AT_ONCE].T - radius[:, None] * norm[at : at + AT_ONCE]
+                best = np.argpartition(-low, most - 1, axis=0)[:most]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(low, best, 0), axis=0), 0)
+                held = n[best]
+                i, j = np.nonzero(np.cumsum(held, axis=0) - held < k)  # as many of the task's blocks as hold k vectors
+                yield pa.record_batch([pa.array((j + at).astype(np.int32)), pa.array(low[best[i, j], j]), pa.array(held[i, j].astype(np.int32))], ["query", "low", "n"])
 
     found = index.blocks.select("mean", "radius", "n").mapInArrow(run, "query int, low double, n int")
     reached = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, 0))
@@ -124,6 +127,41 @@ def floors(index: Index, queries: np.ndarray, k: int) -> np.ndarray:
     return out - SLACK * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
 
 
+class Best:
+    """A task's k best of each query so far, and the score that a vector must reach to be one."""
+
+    def __init__(self, queries: np.ndarray, least: np.ndarray, k: int):
+        self.q, self.columns, self.least, self.k = queries, np.ascontiguousarray(queries.T), least.copy(), k
+        self.scores, self.keys = np.full((len(queries), k), -np.inf), np.full((len(queries), k), NO_KEY)
+
+    def offer(self, need: np.ndarray, m: np.ndarray, keys: np.ndarray) -> None:
+        """Vectors to the queries `need`, all at once."""
+        k, rough = self.k, self.q[need] @ m.T
+        slack = SLACK * (1 + np.abs(rough))
+        mask = rough + slack >= self.least[need][:, None]
+        many = np.flatnonzero(mask.sum(axis=1) > 4 * k)
+        if len(many):
+            kth = np.partition(rough[many], len(m) - k, axis=1)[:, len(m) - k]
+            mask[many] &= rough[many] + 2 * slack[many] >= kth[:, None]
+        i, j = np.nonzero(mask)
+        if not len(i):
+            return
+        of, by = need[i], np.ascontiguousarray(m.T)
+        score = by[0][j] * self.columns[0][of]
+        for c in range(1, len(by)):  # in order, as SQL adds
+            score += by[c][j] * self.columns[c][of]
+        good = score >= self.scores[of, k - 1]
+        of, score, key = of[good], score[good], keys[j[good]]
+        met = np.unique(of)
+        who, score, key = np.concatenate((np.repeat(met, k), of)), np.concatenate((self.scores[met].reshape(-1), score)), np.concatenate((self.keys[met].reshape(-1), key))
+        order = np.lexsort((key, -score, who))
+        at = order[np.searchsorted(who[order], met)[:, None] + np.arange(k)]
+        self.scores[met], self.keys[met] = score[at], key[at]
+        last = self.scores[met, k - 1]
+        full = np.isfinite(last)
+        self.least[met[full]] = np.maximum(self.least[met[full]], last[full] - SLACK * (1 + np.abs(last[full])))
+
+
 def _search(index: Index, ids: list, queries: np.ndarray, k: int, counts: tuple | None) -> DataFrame:
     spark, size = index.blocks.sparkSession, index.size
     sent = spark.sparkContext.broadcast((ids, queries, floors(index, queries, k)))
@@ -131,36 +169,19 @@ def _search(index: Index, ids: list, queries: np.ndarray, k: int, counts: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, least = sent.value
         norm = np.sqrt((q * q).sum(axis=1))
-        least = least.copy()
-        heaps: list[list] = [[] for _ in ids]
+        best = Best(q, least, k)
         for batch in batches:
             for mean, radius, keys, vectors in zip(*(batch.column(c) for c in ("mean", "radius", "keys", "vectors"))):
                 most = q @ np.frombuffer(mean.as_buffer(), np.float64) + norm * radius.as_py()
-                need = np.flatnonzero(most + SLACK * (1 + np.abs(most)) >= least)
+                need = np.flatnonzero(most + SLACK * (1 + np.abs(most)) >= best.least)
                 if counts:
                     counts[0 if len(need) else 1].add(1)
-                if not len(need):
-                    continue
-                m = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, size)
-                keys = keys.values.to_numpy()
-                rough = m @ q[need].T
-                slack = SLACK * (1 + np.abs(rough))
-                for column, j in enumerate(need):
-                    at = np.flatnonzero(rough[:, column] + slack[:, column] >= least[j])
-                    if len(at) > 4 * k:
-                        kth = np.partition(rough[at, column], -k)[-k]
-                        at = at[rough[at, column] + 2 * slack[at, column] >= kth]
-                    heap = heaps[j]
-                    for score, key in zip(np.cumsum(m[at] * q[j], axis=1)[:, -1].tolist(), keys[at].tolist()):  # in order, as SQL adds
-                        if len(heap) < k:
-                            heapq.heappush(heap, (score, -key))
-                        elif (score, -key) > heap[0]:
-                            heapq.heapreplace(heap, (score, -key))
-                    if len(heap) == k:
-                        least[j] = max(least[j], heap[0][0] - SLACK * (1 + abs(heap[0][0])))
-        rows = [(ids[j], -key, score) for j, heap in enumerate(heaps) for score, key in heap]
-        columns = list(zip(*rows)) or [[]] * 3
-        yield pa.record_batch([pa.array(columns[0]) if rows else pa.array([], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["place", "key", "score"])
+                m, keys = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, size), keys.values.to_numpy()
+                width = max(1, PRODUCTS // len(m))
+                for at in range(0, len(need), width):
+                    best.offer(need[at : at + width], m, keys)
+        i, j = np.nonzero(best.keys != NO_KEY)
+        yield pa.record_batch([pa.array(np.array(ids, np.int64)[i]), pa.array(best.keys[i, j]), pa.array(best.scores[i, j])], ["place", "key", "score"])
 
     found = index.blocks.mapInArrow(run, "place long, key long, score double")
     best = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "key"))

@@ -81,3 +81,16 @@ def test_several_queries_with_and_without_an_index(spark):
     assert read(None) == read(V.build(chunks, block=16)) and len(read(None)) == 9
     none = retrieval.multi_query_top_k(chunks, queries.limit(0), 4, 9, ["page"])
     assert none.collect() == []
+
+
+def test_best_of_many_queries_at_once(spark):
+    """A block is offered to all queries that need it in one call, ties and copies included."""
+    r = np.random.default_rng(8)
+    q, m = r.integers(-2, 3, (50, 3)).astype(float), r.integers(-2, 3, (400, 3)).astype(float)
+    keys = r.permutation(400)
+    best = V.Best(q, np.full(50, -np.inf), 6)
+    for at in range(0, 400, 37):
+        best.offer(np.arange(50), m[at : at + 37], keys[at : at + 37])
+    for j in range(50):
+        want = plain([(int(k), v) for k, v in zip(keys, m)], q[j], 6)
+        assert list(zip(best.keys[j].tolist(), best.scores[j].tolist())) == want
