@@ -6,6 +6,10 @@ into distinct words; a word that is a substring of a text has all its grams ther
 rarest gram alone, and the texts of those records decide. A word of one or two characters reads the grams that begin
 with it. The answer is that of retrieval.keyword_search, for any number of queries at once.
 
+Records that hold the same of all queries' words have one score for every query, and of them only the k first can be
+among a query's best k. So scores are counted by such a signature, not by record: queries times signatures, where a
+memory that grows by like records has no more of them.
+
 Postings lie in SLOTS folders by a hash of the gram, sorted by gram within a file: a search lists only the slots of its
 grams (where they are at most LITERALS), and Parquet's statistics skip row groups in them. Ranges are cut by gram and
 record, so that a gram that a third of all records hold is spread over tasks. Records are added by appending; nothing is
@@ -23,9 +27,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.sources.scratch import stored
+
 SLOTS = 64
 #: Up to so many grams of a search prune the scan as literals; more grams lie in nearly all slots anyway.
 LITERALS = 1000
+#: Most rows of queries' words that are broadcast, so that signatures with a frequent word stay spread over tasks.
+BROADCAST = 200_000
+#: Most pairs of a query and a signature that a task may count.
+PAIRS = 1_000_000
 FILLER = "\0\0"
 GRAM = r"(?s)(?=(...))"
 
@@ -105,12 +115,28 @@ def hits(index: GramIndex, words: DataFrame) -> DataFrame:
     return held.select("word", "line_no").distinct()
 
 
+def signatures(held: DataFrame, k: int) -> DataFrame:
+    """signature, words, members: records of hits by the set of words that they hold; of each set the k first line_no in
+    order, the first of which names it."""
+    sets = held.groupBy("line_no").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    first = sets.withColumn("place", F.row_number().over(Window.partitionBy("words").orderBy("line_no"))).filter(F.col("place") <= k)
+    return first.groupBy("words").agg(F.array_sort(F.collect_list("line_no")).alias("members")).select(F.get("members", F.lit(0)).alias("signature"), "words", "members")
+
+
 def search(index: GramIndex, queries: DataFrame, k: int = 3) -> DataFrame:
     """query_id, rank (from 1), line_no, score: each query's k records that hold most of its distinct words."""
-    words = query_words(queries)
-    scores = words.join(hits(index, words), "word").groupBy("query_id", "line_no").agg(F.count(F.lit(1)).alias("score"))
+    words = stored(query_words(queries), "query_words")
+    sets = stored(signatures(hits(index, words), k), "signatures")
+    asked = F.broadcast(words) if words.count() <= BROADCAST else words
+    # a signature's words stay in one task, so that its counts are whole there
+    pairs = sets.count() * words.select("query_id").distinct().count()
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    scores = sets.repartition(parts, "signature").select("signature", F.explode("words").alias("word")).join(asked, "word").groupBy("query_id", "signature").agg(F.count(F.lit(1)).alias("score"))
+    # a signature's first record comes before its others, so that the k best records are in the k best signatures
+    near = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "signature"))).filter(F.col("place") <= k).drop("place")
+    found = near.join(sets.select("signature", F.explode("members").alias("line_no")), "signature")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "line_no")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "line_no", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "line_no", "score")
 
 
 def postings_read(index: GramIndex, queries: DataFrame) -> DataFrame:

@@ -62,3 +62,14 @@ def test_empty_memory_and_a_long_text(spark, tmp_path):
     assert g.search(found, asked).collect() == []
     long = spark.range(1).select(F.lit(7).cast("long").alias("line_no"), F.concat(F.repeat(F.lit("hay "), 1_000_000), F.lit("needle")).alias("definition"), F.lit(None).cast("string").alias("feature_name"), F.lit(None).cast("array<string>").alias("failures"))
     assert [(r.line_no, r.score) for r in g.search(found.add(long), asked).collect()] == [(7, 1)]
+
+
+def test_like_records_are_scored_once(spark, tmp_path):
+    """A memory that grows by like records has no more signatures to score; the k first of each are kept."""
+    said = [(k, ["tone of margin", "guidance", "evasive tone"][k % 3], "x", None) for k in range(300)]
+    found = g.GramIndex(spark, f"file://{tmp_path}/index").add(spark.createDataFrame(said, RECORD))
+    asked = spark.createDataFrame([("q", "tone evasive"), ("r", "guidance margin zzz")], "query_id string, query string")
+    sets = {tuple(r.words): (r.signature, r.members) for r in g.signatures(g.hits(found, g.query_words(asked)), 4).collect()}
+    assert sets == {("margin", "tone"): (0, [0, 3, 6, 9]), ("guidance",): (1, [1, 4, 7, 10]), ("evasive", "tone"): (2, [2, 5, 8, 11])}
+    got = [(r.query_id, r.line_no, r.score) for r in g.search(found, asked, 4).orderBy("query_id", "rank").collect()]
+    assert got == [("q", 2, 2), ("q", 5, 2), ("q", 8, 2), ("q", 11, 2), ("r", 0, 1), ("r", 1, 1), ("r", 3, 1), ("r", 4, 1)]
