@@ -251,6 +251,22 @@ def test_few_very_long_texts(spark):
         exact_counts(rows, language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_language_model_learns_every_token(spark, monkeypatch):
+    """The weights learn from all training tokens once a corpus is above FLOOR, whatever its texts' lengths, rows that
+    repeat and null ids and texts included."""
+    monkeypatch.setattr(language_model, "FLOOR", 2_000)
+    monkeypatch.setattr(language_model, "SHARD", 2_000)
+    monkeypatch.setattr(language_model, "CHUNK", 70)
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choice("the a river sea runs to slowly and stone".split()) for _ in range(r.choice([0, 1, 30, 200, 900])))) for k in range(300)]
+    rows += [rows[5]] * 3 + [(None, "no id"), (900, None)]
+    chunks, counted = language_model.chunks_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    words = language_model.vocabulary_of(counted.filter("chunk is null"))
+    want = sum(len((t or "").split()) + 1 for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2 or k is None)
+    assert words.n == want and want > 20_000
+    assert language_model.fitted(chunks, words)[1] == want
+
+
 def test_scores_hold(spark, spoken):
     """Shards and averages don't depend on how rows were dealt out."""
     one = {r.doc_id: r.score for r in language_model.score_documents(spoken).collect()}
@@ -285,6 +301,24 @@ def test_state_is_carried_across_windows():
     assert alone == pytest.approx(beside, rel=1e-4) and alone == pytest.approx(total, rel=1e-4)
 
 
+def test_training_is_the_gradient():
+    """One step in one window is Adam's first: each weight moves against the sign of the loss's numerical gradient."""
+    model, texts = Gru.new(9, 3), [np.array([1, 2, 8, 3, 40, 5], np.int32), np.array([4, 1, 7, 6], np.int32)]
+    loss = lambda m: -m.score(texts, 0, [np.zeros(1)] * 2).sum()
+    after = model.unpacked(model.packed())
+    assert train(after, texts, 0, 0, 10, 1, streams=1, rate=1e-3) == 10
+    for key in ("u", "x", "c", "w", "b", "cb"):
+        moved = (after.p[key] - model.p[key]).reshape(-1)
+        for k in np.random.default_rng(1).permutation(np.flatnonzero(moved))[:8]:
+            slope = []
+            for by in (0.02, -0.02):
+                other = model.unpacked(model.packed())
+                other.p[key].reshape(-1)[k] += by
+                slope.append(loss(other))
+            if abs(slope[0] - slope[1]) > 2e-4:
+                assert np.sign(slope[0] - slope[1]) == -np.sign(moved[k]), key
+
+
 def test_training_gradient():
     """Training lowers the loss on a pattern that needs the state."""
     model = Gru.new(6)
