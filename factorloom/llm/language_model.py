@@ -292,7 +292,7 @@ def fitted(chunks: DataFrame, words: Vocabulary) -> tuple[Gru, int]:
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
         texts = chunks.select("learn", "names", "lengths", "low", "high", "keys").mapInArrow(dealt(sent, k, shards), DEALT)
-        fits = texts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(shard_fits(sent, now, k, tokens, passes), "shard int, weights binary, tokens long")
+        fits = texts.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(shard_fits(sent, now, k, tokens, passes), "shard int, weights binary, tokens long")
         slots = fits.withColumn("slot", F.pmod("shard", F.lit(16)).cast("int")).groupBy("slot").applyInArrow(averaged, "slot int, weights binary, tokens long").toArrow()
         if slots.num_rows:
             mean = averaged(slots.rename_columns(["shard", "weights", "tokens"]).append_column("slot", pa.array([0] * slots.num_rows, pa.int32())))
